@@ -35,7 +35,7 @@ from vetgrid.functions.text import (
 )
 from vetgrid.rules.catalog import Rule
 
-_TEXT, _FOLDED, _LINES, _RULES, _HITS = "_text", "_folded", "_lines", "_rules", "_hits"
+_TEXT, _FOLDED, _LINES, _RULES = "_text", "_folded", "_lines", "_rules"
 
 
 def _any_of(tests: Sequence[Column]) -> Column:
@@ -124,13 +124,16 @@ def scan_text(
         F.col(content).alias(_TEXT),
         fold(F.col(content)).alias(_FOLDED),
     )
+    # A generator instead of a filter: it drops the files without candidates, evaluates the
+    # tests once, and no later predicate can be pushed below it and evaluate them again.
+    candidates = F.array_compact(
+        F.array(*[F.when(_may_match(r), F.lit(i)) for i, r in enumerate(rules)])
+    )
     picked = base.select(
         *keep,
         _TEXT,
-        F.array_compact(
-            F.array(*[F.when(_may_match(r), F.lit(i)) for i, r in enumerate(rules)])
-        ).alias(_RULES),
-    ).filter(F.size(_RULES) > 0)
+        F.explode(F.filter(F.array(candidates), lambda c: F.size(c) > 0)).alias(_RULES),
+    )
     split = picked.select(*keep, _TEXT, _RULES, lines_of(F.col(_TEXT)).alias(_LINES))
 
     found = F.flatten(F.array_compact(F.array(*[
