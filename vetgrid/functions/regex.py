@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 _QUANTIFIER = re.compile(r"\{\d+(?:,\d*)?\}")
 
 
-def to_java(pattern: str, flags: str = "") -> str:
+def to_java(pattern: str, flags: str = "", *, ascii_text: bool = False) -> str:
     """Java form of a Python pattern.
 
     ``d`` makes the line feed the only line end and ``U`` gives the shorthand classes their
-    Unicode meaning, as in Python. Braces that are no quantifier are escaped, as are opening
+    Unicode meaning, as in Python; it costs time and is left out for text known to be ASCII,
+    where it makes no difference. Braces that are no quantifier are escaped, as are opening
     brackets and ``&&`` inside a class, and named groups are respelled.
     """
     out, i, in_class = [], 0, False
@@ -56,7 +57,9 @@ def to_java(pattern: str, flags: str = "") -> str:
             out.append(c)
         i += 1
     letters = "d" + ("m" if "m" in flags else "") + ("s" if "s" in flags else "")
-    letters += "iuU" if "i" in flags else "U"
+    letters += "i" if "i" in flags else ""
+    if not ascii_text:
+        letters += "uU" if "i" in flags else "U"
     return f"(?{letters})" + "".join(out)
 
 
@@ -135,7 +138,9 @@ def required_literals(pattern: str, flags: str = "", keep: int = 3) -> list[tupl
     """
     parsed = sre_parser.parse(pattern, re.MULTILINE if "m" in flags else 0)
     groups = [g for g in _literal_groups(parsed) if all(g)]
-    groups = sorted(set(groups), key=lambda g: (-min(map(len, g)), len(g), g))
+    # Short texts are common in code, and many alternatives take many searches.
+    groups = sorted(set(groups), key=lambda g: (
+        min(map(len, g)) < 3, len(g), -min(map(len, g)), g))
     return groups[:keep]
 
 

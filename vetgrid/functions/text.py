@@ -41,14 +41,16 @@ def utf8(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def mark_matches(content: Column, java_pattern: str) -> Column:
+def mark_matches(content: Column, java_pattern: Column | str) -> Column:
     """The text with every non-overlapping match put between the two marks.
 
     The text keeps its line feeds, so line ``n`` of the result holds a start mark exactly if a
     match starts on line ``n`` of the input.
     """
-    clean = F.translate(content, MATCH_START + MATCH_END, "??")
-    return F.regexp_replace(clean, F.lit(java_pattern), F.lit(MATCH_START + "$0" + MATCH_END))
+    clean = F.replace(content, F.lit(MATCH_START), F.lit("?"))
+    clean = F.replace(clean, F.lit(MATCH_END), F.lit("?"))
+    pattern = F.lit(java_pattern) if isinstance(java_pattern, str) else java_pattern
+    return F.regexp_replace(clean, pattern, F.lit(MATCH_START + "$0" + MATCH_END))
 
 
 def match_lines(content: Column, pattern: str, flags: str = "im") -> Column:

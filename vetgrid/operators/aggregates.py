@@ -44,13 +44,15 @@ def summary(findings: DataFrame, scans: DataFrame) -> DataFrame:
     cells = findings.groupBy("status", "owasp_category", "severity").agg(
         F.count(F.lit(1)).alias("n"))
     opened = F.when(_is_open(), F.col("n"))
-    sections = F.array(
-        F.struct(F.lit("total_findings").alias("section"), F.lit("all").alias("key"),
-                 F.col("n").alias("n")),
-        F.struct(F.lit("by_status"), F.col("status"), F.col("n")),
-        F.struct(F.lit("open_by_category"), F.col("owasp_category"), opened),
-        F.struct(F.lit("open_by_severity"), F.col("severity"), opened),
-    )
+    sections = F.array(*[
+        F.struct(F.lit(section).alias("section"), key.alias("key"), n.alias("n"))
+        for section, key, n in (
+            ("total_findings", F.lit("all"), F.col("n")),
+            ("by_status", F.col("status"), F.col("n")),
+            ("open_by_category", F.col("owasp_category"), opened),
+            ("open_by_severity", F.col("severity"), opened),
+        )
+    ])
     counted = (
         cells.select(F.inline(sections)).filter("n IS NOT NULL")
         .groupBy("section", "key").agg(F.sum("n").alias("count"))

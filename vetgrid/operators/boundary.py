@@ -100,7 +100,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     nowhere stay with a NULL file. Each distinct target is looked up once, so a component that
     very many files import is one row of the lookup join.
     """
-    folder = F.substring_index(F.col("path"), "/", F.size(F.split("path", "/")) - 1)
+    folder = F.regexp_replace("path", r"/?[^/]*$", "")
     targets = imports.withColumn("target", _joined_path(folder, F.col("specifier")))
     lookup = targets.select("target").distinct().select(
         "target", F.posexplode(_candidates(F.col("target"))).alias("rank", "candidate"))

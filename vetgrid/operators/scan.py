@@ -2,15 +2,16 @@
 
 A file meets the rules in three narrow steps, without a shuffle:
 
-1. one pass of substring tests over the folded text picks the rules that can match at all;
-2. the picked rules run as literal regexes, by line and over the whole text;
+1. substring tests over the folded text pick the rules that can match at all;
+2. each picked rule runs as a regex, by line and over the whole text;
 3. the hits leave as small rows with their context, and the text stays behind.
+
+The rule set is one constant array, so the plan has the same size for ten rules or a thousand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,55 +36,30 @@ from vetgrid.functions.text import (
 )
 from vetgrid.rules.catalog import Rule
 
-_TEXT, _FOLDED, _LINES, _RULES = "_text", "_folded", "_lines", "_rules"
-
-
-def _any_of(tests: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
-
-
-def _may_match(rule: Rule) -> Column:
-    """File-level test without regexes: glob, and the literals every match holds."""
-    test = _any_of([glob_match(F.col("_name"), glob) for glob in rule.globs])
-    for group in required_literals(rule.pattern, rule.flags):
-        test = test & _any_of([F.contains(F.col(_FOLDED), F.lit(text)) for text in group])
-    return test
-
-
-def _hits(rule: Rule, position: int) -> Column:
-    """Array of ``(rule, line_number, line_content)`` for one rule in one file."""
-    pattern = to_java(rule.pattern, rule.flags)
-    lines = F.col(_LINES)
+def _rule_array(rules: Sequence[Rule], globs: Sequence[str]) -> Column:
+    """What the search needs of each rule, as a constant."""
+    def texts(values: Sequence[str]) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<string>")
 
-    def hit(number: Column, text: Column) -> Column:
-        return F.struct(
-            F.lit(position).alias("rule"), number.alias("line_number"), text.alias("line_content")
-        )
-
-    def allowed(line: Column) -> Column:
-        if rule.exclude_pattern is None:
-            return F.lit(True)
-        return ~line.rlike(to_java(rule.exclude_pattern, rule.flags))
+    def java(pattern: str | None, flags: str) -> Column:
+        """One form for ASCII text, one for any text."""
+        if pattern is None:
+            return F.lit(None).cast("struct<plain:string,full:string>")
+        return F.struct(F.lit(to_java(pattern, flags, ascii_text=True)).alias("plain"),
+                        F.lit(to_java(pattern, flags)).alias("full"))
 
-    if not can_cross_lines(rule.pattern):
-        found = F.transform(
-            lines, lambda line, i: F.when(line.rlike(pattern) & allowed(line), hit(i + 1, line))
+    return F.array(*[
+        F.struct(
+            F.lit(i).alias("position"),
+            F.array(*[F.lit(globs.index(g)) for g in r.globs]).alias("globs"),
+            F.array(*[texts(g) for g in required_literals(r.pattern, r.flags)])
+            .cast("array<array<string>>").alias("literals"),
+            java(r.pattern, r.flags).alias("pattern"),
+            java(r.exclude_pattern, r.flags).alias("exclude"),
+            F.lit(can_cross_lines(r.pattern)).alias("crosses"),
         )
-        return F.array_compact(found)
-
-    # A start mark in a line means a match of the whole-text search begins there.
-    marked = lines_of(mark_matches(F.col(_TEXT), pattern))
-    pairs = F.arrays_zip(lines.alias("line"), marked.alias("mark"))
-
-    def either(pair: Column, i: Column) -> Column:
-        line, mark = pair["line"], pair["mark"]
-        in_line = line.rlike(pattern)
-        begins = F.contains(mark, F.lit(MATCH_START))
-        matched = F.regexp_extract(mark, f"{MATCH_START}([^{MATCH_END}]*)", 1)
-        text = F.when(in_line, line).otherwise(matched)
-        return F.when((begins | in_line) & allowed(line), hit(i + 1, text))
-
-    return F.array_compact(F.transform(pairs, either))
+        for i, r in enumerate(rules)
+    ])
 
 
 def _rule_dimension(rules: Sequence[Rule]) -> Column:
@@ -100,6 +76,32 @@ def _rule_dimension(rules: Sequence[Rule]) -> Column:
     ])
 
 
+def _candidates(base: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> DataFrame:
+    """One row for each file and rule that can match there: ``(keep, _text, _rule)``.
+
+    ``explode`` drops the files without candidates, evaluates the tests once, and keeps later
+    predicates from being pushed below it, where they would evaluate them again.
+    """
+    globs = sorted({g for r in rules for g in r.globs})
+    file_globs = F.array_compact(F.array(*[
+        F.when(glob_match(F.col("_name"), g), F.lit(i)) for i, g in enumerate(globs)]))
+    named = base.withColumn("_globs", file_globs)
+
+    def may_match(rule: Column) -> Column:
+        return F.arrays_overlap(rule["globs"], F.col("_globs")) & F.forall(
+            rule["literals"],
+            lambda group: F.exists(group, lambda text: F.contains(F.col("_folded"), text)),
+        )
+
+    picked = F.filter(_rule_array(rules, globs), may_match)
+    return named.select(*keep, "_text", F.explode(picked).alias("_rule"))
+
+
+def _found(pattern: Column, text: Column) -> Column:
+    # Unlike ``rlike``, this keeps the compiled form of a pattern that is no literal.
+    return F.regexp_instr(text, pattern) > 0
+
+
 def scan_text(
     files: DataFrame,
     rules: Sequence[Rule],
@@ -121,33 +123,45 @@ def scan_text(
     base = files.select(
         *keep,
         file_name(F.col(path)).alias("_name"),
-        F.col(content).alias(_TEXT),
-        fold(F.col(content)).alias(_FOLDED),
+        F.col(content).alias("_text"),
+        fold(F.col(content)).alias("_folded"),
     )
-    # A generator instead of a filter: it drops the files without candidates, evaluates the
-    # tests once, and no later predicate can be pushed below it and evaluate them again.
-    candidates = F.array_compact(
-        F.array(*[F.when(_may_match(r), F.lit(i)) for i, r in enumerate(rules)])
-    )
-    picked = base.select(
-        *keep,
-        _TEXT,
-        F.explode(F.filter(F.array(candidates), lambda c: F.size(c) > 0)).alias(_RULES),
+    is_ascii = F.octet_length("_text") == F.length("_text")
+
+    def form(name: str) -> Column:
+        return F.when(is_ascii, F.col(f"_rule.{name}.plain")).otherwise(F.col(f"_rule.{name}.full"))
+
+    candidates = _candidates(base, rules, keep).select(
+        *keep, "_text", F.col("_rule.position").alias("_position"),
+        F.col("_rule.crosses").alias("_crosses"),
+        form("pattern").alias("_pattern"), form("exclude").alias("_exclude"))
+    pattern, exclude = F.col("_pattern"), F.col("_exclude")
+    # A start mark in a line means that a match of the whole-text search begins there.
+    marks = F.when(
+        F.col("_crosses"), lines_of(mark_matches(F.col("_text"), pattern))
+    ).otherwise(F.array().cast("array<string>"))
+    split = candidates.select(
+        *keep, "_position", "_pattern", "_exclude", lines_of(F.col("_text")).alias("_lines"),
+        marks.alias("_marks"))
+    lines = F.col("_lines")
+
+    tested = F.transform(
+        F.arrays_zip(lines.alias("line"), F.col("_marks").alias("mark")),
+        lambda z, i: F.struct(
+            (i + 1).alias("line_number"), z["line"].alias("line"), z["mark"].alias("mark"),
+            _found(pattern, z["line"]).alias("in_line")),
     )
-    split = picked.select(*keep, _TEXT, _RULES, lines_of(F.col(_TEXT)).alias(_LINES))
+    hit = F.filter(tested, lambda t: (
+        t["in_line"] | F.coalesce(F.contains(t["mark"], F.lit(MATCH_START)), F.lit(False))
+    ) & (exclude.isNull() | ~_found(exclude, t["line"])))
 
-    found = F.flatten(F.array_compact(F.array(*[
-        F.when(F.array_contains(_RULES, i), _hits(r, i)) for i, r in enumerate(rules)
-    ])))
-    lines = F.col(_LINES)
-
-    def with_context(h: Column) -> Column:
-        n = h["line_number"]
+    def in_context(t: Column) -> Column:
+        n = t["line_number"]
+        begun = F.regexp_extract(t["mark"], f"{MATCH_START}([^{MATCH_END}]*)", 1)
         fields = [
-            h["rule"].alias("rule"),
             n.alias("line_number"),
-            h["line_content"].alias("line_content"),
-            F.element_at(lines, n).alias("line"),
+            F.when(t["in_line"], t["line"]).otherwise(begun).alias("line_content"),
+            t["line"].alias("line"),
             F.when(n > 1, F.element_at(lines, F.greatest(n - 1, F.lit(1)))).alias("above"),
             snippet(lines, n).alias("code_snippet"),
         ]
@@ -155,22 +169,20 @@ def scan_text(
             fields.append(snippet(lines, n, *context_lines).alias("context"))
         return F.struct(*fields)
 
-    hits = split.select(*keep, _LINES, found.alias("_found")).select(
-        *keep, F.explode(F.transform("_found", with_context)).alias("h")
-    )
+    hits = split.select(
+        *keep, "_position",
+        F.explode(F.transform(hit, in_context)).alias("h"))
     codes = F.array_union(
         suppression_codes(F.col("h.line")),
         F.coalesce(suppression_codes(F.col("h.above")), F.array().cast("array<string>")),
     )
     rows = hits.select(
         *keep,
-        F.element_at(_rule_dimension(rules), F.col("h.rule") + 1).alias("r"),
+        F.element_at(_rule_dimension(rules), F.col("_position") + 1).alias("r"),
         "h.*",
         codes.alias("_codes"),
     )
-    off = F.array_contains("_codes", F.col("r.rule_id")) | F.array_contains(
-        "_codes", F.col("r.owasp_category")
-    )
+    off = F.arrays_overlap("_codes", F.array("r.rule_id", "r.owasp_category"))
     columns = [*keep, "r.*", "line_number", "line_content", "code_snippet"]
     if context_lines is not None:
         columns.append("context")

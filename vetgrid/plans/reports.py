@@ -161,7 +161,7 @@ def report_lines(findings: DataFrame, scans: DataFrame, generated_at: str) -> Da
     """
     spark = findings.sparkSession
     opened = findings.filter("status = 'open'")
-    zero, at = F.lit(0), F.monotonically_increasing_id
+    zero = F.lit(0)
 
     dates = scan_history_range(scans).filter("scans > 0")
     history = _rows(dates, 0, F.lit(1), zero, F.format_string(
@@ -189,14 +189,12 @@ def report_lines(findings: DataFrame, scans: DataFrame, generated_at: str) -> Da
     categories = _rows(open_by_category(findings), 3, zero, F.coalesce(code, F.lit(99)),
                        F.format_string("| %s | %s | %d |", "owasp_category",
                                        category_label(F.col("owasp_category")), "count"))
-    files = _rows(top_files(findings), 4, -F.col("count"), at(),
+    files = _rows(top_files(findings), 4, -F.col("count"), zero,
                   F.format_string("| `%s` | %d |", "file_path", "count"))
 
     order = [F.desc("rank"), F.desc("found_at"), F.asc("id")]
     best = opened.withColumn("rank", rank).orderBy(*order).limit(_DETAILS)
-    numbered = best.select(
-        F.explode(F.array(F.struct("*"))).alias("f")
-    ).agg(F.array_sort(F.collect_list("f"), _by_rank).alias("l")).select(
+    numbered = best.select(F.struct("*").alias("f")).agg(F.array_sort(F.collect_list("f"), _by_rank).alias("l")).select(
         F.posexplode("l").alias("i", "f"))  # at most twenty rows
     details = numbered.select("i", F.posexplode(_detail_lines()).alias("line", "text"))
     detail = _rows(details, 5, F.col("i"), F.col("line"), F.col("text"))
@@ -261,7 +259,7 @@ def _detail_lines() -> Column:
 
 
 def ordered_text(lines: DataFrame) -> DataFrame:
-    return lines.orderBy("section", "block", "line").select("text")
+    return lines.orderBy("section", "block", "line", "text").select("text")
 
 
 def write_report(findings: DataFrame, scans: DataFrame, folder: str, generated_at: str) -> None:

@@ -114,8 +114,8 @@ def drop_ignored(rows: DataFrame, ignores: DataFrame) -> DataFrame:
     rel, name = F.col("rel_path"), file_name(F.col("rel_path"))
     hit = F.exists(
         F.col("ignore_patterns"),
-        lambda p: rel.rlike(_glob_regex_of(p))
-        | name.rlike(_glob_regex_of(p))
+        lambda p: F.rlike(rel, _glob_regex_of(p))
+        | F.rlike(name, _glob_regex_of(p))
         | (F.endswith(p, F.lit("/"))
            & F.contains(F.concat(F.lit("/"), rel), F.concat(F.lit("/"), p))),
     )

@@ -107,8 +107,11 @@ def dependency_sources(files: DataFrame) -> DataFrame:
 
 def parse_errors(lines: DataFrame, line: str = "value") -> DataFrame:
     """Error records from JSON lines; lines that do not parse are left out."""
-    parsed = lines.select(F.from_json(F.col(line), ERRORS).alias("e")).select("e.*")
-    return parsed.filter(F.col("error_id").isNotNull())
+    bad = "_broken"
+    record = F.from_json(
+        F.col(line), f"{ERRORS}, {bad} STRING", {"columnNameOfCorruptRecord": bad})
+    parsed = lines.select(record.alias("e")).select("e.*")
+    return parsed.filter(F.col(bad).isNull() & F.col("error_id").isNotNull()).drop(bad)
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:

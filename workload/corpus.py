@@ -25,6 +25,14 @@ def pick(values: list[str], index: Column) -> Column:
 def files(spark: SparkSession, sf_dir: str, *, version: int = 1, pages: bool = True) -> DataFrame:
     """``(project, path, rel_path, content, size, doc_id)``; ``version`` 2 is a later snapshot."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    result = from_documents(docs, version)
+    if pages:
+        result = result.unionByName(_from_pages(
+            spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")))
+    return result.withColumn("size", F.octet_length("content").cast("long"))
+
+
+def from_documents(docs: DataFrame, version: int = 1) -> DataFrame:
     doc = F.col("doc_id")
     entry = doc % K
     number = F.floor(doc / K)
@@ -65,25 +73,22 @@ def files(spark: SparkSession, sf_dir: str, *, version: int = 1, pages: bool = T
     )
     if version == 2:
         result = result.filter(doc % 11 != 3)
-    if pages:
-        page = F.col("page_id")
-        site = F.concat(F.lit("site"), F.floor(page / 50).cast("string"))
-        rel_page = F.concat(F.lit("pages/"), page.cast("string"), F.lit(".html"))
-        markup = F.concat(
-            F.col("html"),
-            F.when(page % 3 == 0, '\n<script src="https://cdn.example.net/w.js"></script>')
-            .otherwise(""),
-        )
-        result = result.unionByName(
-            spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select(
-                site.alias("project"),
-                F.concat(site, F.lit("/"), rel_page).alias("path"),
-                rel_page.alias("rel_path"),
-                markup.alias("content"),
-                (-page - 1).alias("doc_id"),
-            )
-        )
-    return result.withColumn("size", F.octet_length("content").cast("long"))
+    return result
+
+
+def _from_pages(pages: DataFrame) -> DataFrame:
+    page = F.col("page_id")
+    site = F.concat(F.lit("site"), F.floor(page / 50).cast("string"))
+    rel = F.concat(F.lit("pages/"), page.cast("string"), F.lit(".html"))
+    script = '\n<script src="https://cdn.example.net/w.js"></script>'
+    markup = F.concat(F.col("html"), F.when(page % 3 == 0, script).otherwise(""))
+    return pages.select(
+        site.alias("project"),
+        F.concat(site, F.lit("/"), rel).alias("path"),
+        rel.alias("rel_path"),
+        markup.alias("content"),
+        (-page - 1).alias("doc_id"),
+    )
 
 
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
