@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vetgrid.functions.constants import constant
 from vetgrid.functions.regex import to_java
 from vetgrid.rules.catalog import CATEGORIES, SEVERITIES
 
@@ -79,16 +80,20 @@ def suppression_codes(line: Column) -> Column:
     return F.transform(F.split(names, ","), strip)
 
 
+def _scale() -> Column:
+    return constant(SEVERITIES, "array<string>")
+
+
 def severity_rank(severity: Column) -> Column:
     """1 (low) to 4 (critical); 0 for unknown words."""
-    return F.array_position(F.array(*map(F.lit, SEVERITIES)), severity).cast("int")
+    return F.array_position(_scale(), severity).cast("int")
 
 
 def shift_severity(severity: Column, delta: Column | int) -> Column:
     """Severity moved by ``delta`` levels within the scale; unknown words pass through."""
     rank = severity_rank(severity)
     moved = F.greatest(F.lit(1), F.least(F.lit(len(SEVERITIES)), rank + delta))
-    return F.when(rank > 0, F.element_at(F.array(*map(F.lit, SEVERITIES)), moved)).otherwise(severity)
+    return F.when(rank > 0, F.element_at(_scale(), moved)).otherwise(severity)
 
 
 # Paths of lower risk.
@@ -120,8 +125,9 @@ def fingerprint(path: Column, line_number: Column, rule_id: Column) -> Column:
 
 
 def category_label(category: Column, default: Column | None = None) -> Column:
-    labels = F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])
-    return F.coalesce(labels[category], default if default is not None else category)
+    known = F.array_position(constant(list(CATEGORIES), "array<string>"), category)
+    label = F.element_at(constant(list(CATEGORIES.values()), "array<string>"), known.cast("int"))
+    return F.coalesce(F.when(known > 0, label), default if default is not None else category)
 
 
 def slug(title: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetgrid.functions.constants import constant
 from vetgrid.functions.text import file_name, file_stem, has_any, lines_of, strip
 
 # Directive lines at the head of a module, and file names.
@@ -119,13 +120,14 @@ PYTHON_ROLES = (
 
 def role_context(role: Column, roles: tuple[tuple[str, str, str, str], ...]) -> Column:
     """``struct(label, trust, risk)`` for a role; unknown roles get their name as label."""
-    table = F.create_map(*[
-        x for name, label, trust, risk in roles
-        for x in (F.lit(name), F.struct(F.lit(label).alias("label"), F.lit(trust).alias("trust"),
-                                        F.lit(risk).alias("risk")))
-    ])
+    names = constant([name for name, *_ in roles], "array<string>")
+    texts = constant(
+        [{"label": label, "trust": trust, "risk": risk} for _, label, trust, risk in roles],
+        "array<struct<label: string, trust: string, risk: string>>",
+    )
     unknown = F.struct(F.upper(role).alias("label"), F.lit("").alias("trust"), F.lit("").alias("risk"))
-    return F.coalesce(table[role], unknown)
+    known = F.array_position(names, role)
+    return F.when(known > 0, F.element_at(texts, known.cast("int"))).otherwise(unknown)
 
 
 def project_types(files: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetgrid.functions.constants import constant
 from vetgrid.functions.regex import (
     can_cross_lines,
     fold,
@@ -36,44 +37,46 @@ from vetgrid.functions.text import (
 )
 from vetgrid.rules.catalog import Rule
 
+_FORMS = "struct<plain: string, full: string>"
+_RULE_TYPE = (
+    "array<struct<position: int, globs: array<int>, literals: array<array<string>>, "
+    f"pattern: {_FORMS}, exclude: {_FORMS}, crosses: boolean>>"
+)
+_DIMENSION_TYPE = (
+    "array<struct<rule_id: string, owasp_category: string, severity: string, title: string, "
+    "description: string, suggested_fix: string>>"
+)
+
+
 def _rule_array(rules: Sequence[Rule], globs: Sequence[str]) -> Column:
     """What the search needs of each rule, as a constant."""
-    def texts(values: Sequence[str]) -> Column:
-        return F.array(*map(F.lit, values)).cast("array<string>")
-
-    def java(pattern: str | None, flags: str) -> Column:
+    def forms(pattern: str | None, flags: str) -> dict | None:
         """One form for ASCII text, one for any text."""
         if pattern is None:
-            return F.lit(None).cast("struct<plain:string,full:string>")
-        return F.struct(F.lit(to_java(pattern, flags, ascii_text=True)).alias("plain"),
-                        F.lit(to_java(pattern, flags)).alias("full"))
-
-    return F.array(*[
-        F.struct(
-            F.lit(i).alias("position"),
-            F.array(*[F.lit(globs.index(g)) for g in r.globs]).alias("globs"),
-            F.array(*[texts(g) for g in required_literals(r.pattern, r.flags)])
-            .cast("array<array<string>>").alias("literals"),
-            java(r.pattern, r.flags).alias("pattern"),
-            java(r.exclude_pattern, r.flags).alias("exclude"),
-            F.lit(can_cross_lines(r.pattern)).alias("crosses"),
-        )
+            return None
+        return {"plain": to_java(pattern, flags, ascii_text=True), "full": to_java(pattern, flags)}
+
+    return constant([
+        {
+            "position": i,
+            "globs": [globs.index(g) for g in r.globs],
+            "literals": required_literals(r.pattern, r.flags),
+            "pattern": forms(r.pattern, r.flags),
+            "exclude": forms(r.exclude_pattern, r.flags),
+            "crosses": can_cross_lines(r.pattern),
+        }
         for i, r in enumerate(rules)
-    ])
+    ], _RULE_TYPE)
 
 
 def _rule_dimension(rules: Sequence[Rule]) -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(r.id).alias("rule_id"),
-            F.lit(r.owasp_category).alias("owasp_category"),
-            F.lit(r.severity).alias("severity"),
-            F.lit(r.title).alias("title"),
-            F.lit(r.description).alias("description"),
-            F.lit(r.suggested_fix).alias("suggested_fix"),
-        )
+    return constant([
+        {
+            "rule_id": r.id, "owasp_category": r.owasp_category, "severity": r.severity,
+            "title": r.title, "description": r.description, "suggested_fix": r.suggested_fix,
+        }
         for r in rules
-    ])
+    ], _DIMENSION_TYPE)
 
 
 def _candidates(base: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetgrid.functions.constants import constant
 from vetgrid.functions.text import has_any, lines_of, strip
 from vetgrid.operators.config_checks import detect_framework
 
@@ -88,10 +89,12 @@ _CHECKLIST = (
 
 def review_checklist(structure: DataFrame, *, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """Checklist items for each file, by its framework."""
-    items = F.array(*[
-        F.struct(F.lit(fw).alias("fw"), F.lit(i).alias("position"), F.lit(check).alias("check"),
-                 F.lit(question).alias("question"), F.lit(signs).alias("look_for"))
-        for i, (fw, check, question, signs) in enumerate(_CHECKLIST, start=1)
-    ])
+    items = constant(
+        [
+            {"fw": fw, "position": i, "check": check, "question": question, "look_for": signs}
+            for i, (fw, check, question, signs) in enumerate(_CHECKLIST, start=1)
+        ],
+        "array<struct<fw: string, position: int, check: string, question: string, look_for: string>>",
+    )
     fitting = F.filter(items, lambda i: (i["fw"] == "") | (i["fw"] == F.col("framework")))
     return structure.select(*keep, "framework", F.inline(fitting)).drop("fw")

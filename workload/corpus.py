@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vetgrid.functions.constants import constant
 from vetgrid.session import spread
 from workload.profiles import NETWORK_HEADS, PROFILES
 
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), index.cast("int") + 1)
+    return F.element_at(constant(values, "array<string>"), index.cast("int") + 1)
 
 
 def files(spark: SparkSession, sf_dir: str, *, version: int = 1, pages: bool = True) -> DataFrame:
