@@ -24,6 +24,8 @@ def _sql(value: object) -> str:
         return repr(value)
     if isinstance(value, str):
         quoted = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+        # ``${name}`` in the text would be taken for a variable of the session.
+        quoted = quoted.replace("$", "\\u0024")
         return f"'{quoted}'"
     if isinstance(value, dict):
         return "named_struct(" + ", ".join(
