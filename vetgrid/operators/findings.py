@@ -56,32 +56,52 @@ def audit_rows(
     )
 
 
-def one_per_fingerprint(candidates: DataFrame, order: str = "ord") -> DataFrame:
-    """Candidates of one batch, one row for each fingerprint.
+def _row_hash(rows: DataFrame) -> Column:
+    return F.sha2(F.concat_ws("|", *[
+        F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(rows.columns)]), 256)
 
-    The first candidate gives the row, the last one the scan and the snippet. The reduction is
-    an aggregate, so copies of a hot fingerprint are folded before the shuffle.
+
+def batch_rows(candidates: DataFrame, order: str = "ord") -> DataFrame:
+    """Candidates of one batch by ``match_key``, with ``copies``.
+
+    Copies of a fingerprint become one row: the first one (by ``order``) gives the row, the last
+    one the scan and the snippet. The reduction is an aggregate, so copies of a hot fingerprint
+    are folded before the shuffle. Candidates without a fingerprint all stay; their key is a
+    hash of the whole row, which spreads them evenly and matches nothing that is stored.
     """
     if order not in candidates.columns:
         candidates = candidates.withColumn(order, F.lit(0))
     plain = [c for c in candidates.columns if c not in ("fingerprint", order)]
-    first = F.struct(*plain)
+    first = F.struct("fingerprint", *plain)
     last = F.struct("scan_id", "code_snippet")
     rank = F.struct(F.col(order), F.xxhash64("rule_id", "title", "code_snippet"))
-    grouped = candidates.groupBy("fingerprint").agg(
+    key = F.coalesce("fingerprint", F.concat(F.lit("row:"), _row_hash(candidates)))
+    grouped = candidates.groupBy(key.alias("key")).agg(
         F.min_by(first, rank).alias("f"), F.max_by(last, rank).alias("l"),
-        F.count(F.lit(1)).alias("copies"),
+        F.count(F.lit(1)).alias("n"),
     )
+    loose = F.col("f.fingerprint").isNull()
+    times = F.sequence(F.lit(1), F.when(loose, F.col("n").cast("int")).otherwise(1))
     columns = [
-        F.col(f"l.{c}" if c in ("scan_id", "code_snippet") else f"f.{c}").alias(c) for c in plain
+        F.col(f"l.{c}" if c in ("scan_id", "code_snippet") else f"f.{c}").alias(c)
+        for c in ("fingerprint", *plain)
     ]
-    return grouped.select("fingerprint", *columns, "copies")
-
-
-def _new_rows(candidates: DataFrame, now: Column, finding_id: Column) -> DataFrame:
-    given = set(candidates.columns)
+    return grouped.select(
+        F.col("key"), *columns, F.when(loose, 1).otherwise(F.col("n")).alias("copies"),
+        F.explode(times).alias("nth"),
+    ).select(
+        F.when(F.col("fingerprint").isNotNull(), F.col("key"))
+        .otherwise(F.concat_ws("#", "key", "nth")).alias("match_key"),
+        *["fingerprint", *plain], "copies")
+
+
+def _new_rows(batch: DataFrame, now: Column) -> DataFrame:
+    """Batch rows as findings. Without a fingerprint the id is the caller's or made from the row."""
+    made_id = F.coalesce("fingerprint", F.sha2("match_key", 256))
     made = {
-        "id": finding_id, "status": F.lit("open"), "found_at": now, "updated_at": now,
+        "id": F.when(F.col("fingerprint").isNull(), F.coalesce("id", made_id)).otherwise(made_id)
+        if "id" in batch.columns else made_id,
+        "status": F.lit("open"), "found_at": now, "updated_at": now,
         "category_type": F.lit("security"), "fixed_at": _null("timestamp"),
         "fix_commit_sha": _null("string"), "notes": _null("string"),
     }
@@ -89,11 +109,11 @@ def _new_rows(candidates: DataFrame, now: Column, finding_id: Column) -> DataFra
     for name in FINDING_COLUMNS:
         if name in made:
             columns.append(made[name].alias(name))
-        elif name in given:
+        elif name in batch.columns:
             columns.append(F.col(name))
         else:
             columns.append(_null("double" if name == "confidence" else "string").alias(name))
-    return candidates.select(*columns)
+    return batch.select("match_key", *columns)
 
 
 def merge_findings(stored: DataFrame, candidates: DataFrame, now: Column) -> Change:
@@ -101,35 +121,26 @@ def merge_findings(stored: DataFrame, candidates: DataFrame, now: Column) -> Cha
 
     A new fingerprint is inserted with an audit row. A stored finding that is open or in
     progress gets the batch's scan, snippet and time; other stored findings stay as they are.
-    Candidates without a fingerprint are always inserted; they take no part in the join, so
-    they cannot pile up in one partition.
+    Candidates without a fingerprint are always inserted. Both sides are read once: one full
+    outer join on a key that is unique and evenly spread.
     """
-    keyed = one_per_fingerprint(candidates.filter("fingerprint IS NOT NULL"))
-    loose = candidates.filter("fingerprint IS NULL")
-
-    fresh_keyed = _new_rows(keyed, now, F.col("fingerprint")).alias("n")
-    old = stored.filter("fingerprint IS NOT NULL").alias("o")
-    joined = old.join(fresh_keyed, F.col("o.fingerprint") == F.col("n.fingerprint"), "full_outer")
+    fresh = _new_rows(batch_rows(candidates), now)
+    old_key = F.coalesce("fingerprint", F.concat(F.lit("old:"), "id"))
+    old = stored.select(old_key.alias("match_key"), *FINDING_COLUMNS).alias("o")
+    joined = old.join(fresh.alias("n"), "match_key", "full_outer")
     known, seen = F.col("o.id").isNotNull(), F.col("n.id").isNotNull()
-    refresh = known & seen & F.col("o.status").isin(*_REFRESHED)
-
-    def merged(name: str) -> Column:
-        if name in ("scan_id", "updated_at", "code_snippet"):
-            return F.when(known & ~refresh, F.col(f"o.{name}")).otherwise(F.col(f"n.{name}"))
-        return F.when(known, F.col(f"o.{name}")).otherwise(F.col(f"n.{name}"))
+    take_new = seen & (~known | F.col("o.status").isin(*_REFRESHED))
 
-    # ``o`` rows without a partner keep their own values.
     def value(name: str) -> Column:
-        return F.when(seen, merged(name)).otherwise(F.col(f"o.{name}")).alias(name)
-
-    by_key = joined.select(*[value(c) for c in FINDING_COLUMNS])
-    inserted = _new_rows(loose, now, _loose_id(loose))
-    rest = stored.filter("fingerprint IS NULL").select(*FINDING_COLUMNS)
-    findings = by_key.unionByName(rest).unionByName(inserted)
+        if name in ("scan_id", "updated_at", "code_snippet"):
+            test = take_new
+        else:
+            test = ~known
+        return F.when(test, F.col(f"n.{name}")).otherwise(F.col(f"o.{name}")).alias(name)
 
-    created = new_candidates(stored, keyed).select(
-        F.col("fingerprint").alias("id"), "severity", "title"
-    ).unionByName(inserted.select("id", "severity", "title"))
+    findings = joined.select(*[value(c) for c in FINDING_COLUMNS])
+    created = fresh.join(
+        stored.select(F.col("fingerprint").alias("match_key")), "match_key", "left_anti")
     audit = audit_rows(
         created, F.col("id"), F.lit("created"), _null("string"),
         F.concat_ws(": ", "severity", "title"), now,
@@ -137,14 +148,6 @@ def merge_findings(stored: DataFrame, candidates: DataFrame, now: Column) -> Cha
     return Change(findings, audit)
 
 
-def _loose_id(loose: DataFrame) -> Column:
-    """Caller's id where there is one, else a hash of the row (``ord`` tells equal rows apart)."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(loose.columns)
-             if c != "id"]
-    made = F.sha2(F.concat_ws("|", F.lit("manual"), *parts), 256)
-    return F.coalesce(F.col("id"), made) if "id" in loose.columns else made
-
-
 def new_candidates(stored: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates whose fingerprint is not stored yet."""
     return candidates.join(stored.select("fingerprint"), "fingerprint", "left_anti")
@@ -152,14 +155,11 @@ def new_candidates(stored: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def flag_candidates(stored: DataFrame, candidates: DataFrame) -> DataFrame:
     """Batch rows with ``is_new``, ``reappeared`` (stored as fixed) and ``copies``."""
-    keyed = one_per_fingerprint(candidates.filter("fingerprint IS NOT NULL"))
-    known = stored.select("fingerprint", F.col("status").alias("stored_status"))
-    flagged = keyed.join(known, "fingerprint", "left")
-    loose = candidates.filter("fingerprint IS NULL").drop("ord")
-    rows = flagged.unionByName(
-        loose.withColumns({"copies": F.lit(1).cast("long"), "stored_status": _null("string")})
-    )
-    return rows.withColumns({
+    known = stored.select(
+        F.col("fingerprint").alias("match_key"), F.col("status").alias("stored_status")
+    ).filter("match_key IS NOT NULL")
+    flagged = batch_rows(candidates).join(known, "match_key", "left").drop("match_key")
+    return flagged.withColumns({
         "is_new": F.col("stored_status").isNull(),
         "reappeared": F.coalesce(F.col("stored_status") == "fixed", F.lit(False)),
     })

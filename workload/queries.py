@@ -16,7 +16,7 @@ from vetgrid.operators.scan import scan_text, to_findings
 from vetgrid.plans import reports, scans
 from vetgrid.rules import ALL_RULES, Rule, rules_dataframe, select_rules
 from vetgrid.schemas import FINDINGS
-from vetgrid.session import spread, stage_folder
+from vetgrid.session import spread, stage_folder, stage_table
 from vetgrid.sources import files as src
 from vetgrid.sources import records
 from vetgrid.streaming import continuous
@@ -365,7 +365,8 @@ def verify_fixes(spark, sf):
     config = config_checks.config_findings(
         config_checks.check_config(corpus.files(spark, sf)), scan_id="c")
     others = fnd.merge_findings(spark.createDataFrame([], FINDINGS), config, at(FIRST)).findings
-    rows = rows.unionByName(others)
+    # As in practice, the findings are a table and not a scan.
+    rows = stage_table(rows.unionByName(others), "verify")
     files = corpus.files(spark, sf, version=2)
     fresh = scan_text(fnd.files_to_verify(files, rows), ALL_RULES)
     outcome = fnd.verify_findings(rows, files, fresh, [r.id for r in ALL_RULES])
