@@ -99,7 +99,7 @@ def test_boundary(make_files):
         "p/app/Card.tsx": "'use client'\n", "p/ui/kit/index.tsx": "\"use client\"", "p/app/srv.ts": "x",
         "p/app/s.css": "x", "p/app/client.tsx": "'use client'\nimport Card from './Card'\n<Card user={u}/>",
         "p/lib/x.tsx": "import Card from '../app/Card'\n<Card user={u}/>"})
-    rows = boundary.boundary_crossings(files)
+    rows = boundary.boundary_crossings(boundary.boundary_facts(files))
     got = {(r.client_component, r.client_file, r.line, r.risk_level, tuple(p.name for p in r.props)) for r in rows.collect()}
     assert got == {
         ("Card", "p/app/Card.tsx", 7, "high", ("user", "n")), ("D", "p/ui/kit/index.tsx", 9, "medium", ("x",)),

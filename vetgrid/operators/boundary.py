@@ -32,18 +32,34 @@ def is_sensitive(text: Column) -> Column:
     return text.rlike(_SENSITIVE)
 
 
-def server_files(files: DataFrame) -> DataFrame:
-    """Scripts below ``app/`` that are no client components."""
-    head = F.substring("content", 1, 200)
-    return files.filter(
-        F.startswith("rel_path", F.lit("app/"))
-        & file_suffix(F.col("rel_path")).isin(*_SCRIPTS)
-        & (file_name(F.col("rel_path")) != "middleware.ts")
-        & ~is_client_component(F.col("content"))
+def _is_server_file(rel_path: Column, content: Column, client: Column) -> Column:
+    """A script below ``app/`` that is no client component."""
+    head = F.substring(content, 1, 200)
+    return (
+        F.startswith(rel_path, F.lit("app/"))
+        & file_suffix(rel_path).isin(*_SCRIPTS)
+        & (file_name(rel_path) != "middleware.ts")
+        & ~client
         & ~has_any(head, ("'use client'", '"use client"'))
     )
 
 
+def boundary_facts(files: DataFrame) -> DataFrame:
+    """``(project, path, client, imports, tags)``: all that the analysis needs of each file.
+
+    This is the only step that reads the texts. Everything after it joins these small rows, and
+    reads them several times: stage them (``vetgrid.session.stage_table``) for large inputs.
+    """
+    text = F.col("content")
+    marked = files.withColumn("client", is_client_component(text))
+    server = _is_server_file(F.col("rel_path"), text, F.col("client"))
+    return marked.select(
+        "project", "path", "client",
+        F.when(server, _imports(text)).alias("imports"),
+        F.when(server, _tags(text)).alias("tags"),
+    )
+
+
 def _upper_first(name: Column) -> Column:
     return name.rlike(r"^\p{Lu}")
 
@@ -56,15 +72,17 @@ def _imported_names(default: Column, named: Column) -> Column:
     return F.filter(F.concat(F.array(default), last), _upper_first)
 
 
-def component_imports(servers: DataFrame) -> DataFrame:
-    """``(path, ord, component, specifier)``: capitalised names imported by relative path."""
-    text = F.col("content")
-    found = F.arrays_zip(
+def _imports(text: Column) -> Column:
+    return F.arrays_zip(
         F.regexp_extract_all(text, F.lit(_IMPORT), 1).alias("default"),
         F.regexp_extract_all(text, F.lit(_IMPORT), 2).alias("named"),
         F.regexp_extract_all(text, F.lit(_IMPORT), 3).alias("specifier"),
     )
-    one = servers.select("path", F.posexplode(found).alias("ord", "i"))
+
+
+def component_imports(facts: DataFrame) -> DataFrame:
+    """``(path, ord, component, specifier)``: capitalised names imported by relative path."""
+    one = facts.select("path", F.posexplode("imports").alias("ord", "i"))
     return one.select(
         "path", "ord", F.explode(_imported_names(F.col("i.default"), F.col("i.named")))
         .alias("component"), F.col("i.specifier").alias("specifier"),
@@ -93,7 +111,7 @@ def _candidates(base: Column) -> Column:
     return F.array(*paths)
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_imports(imports: DataFrame, facts: DataFrame) -> DataFrame:
     """Imports with ``client_file``: the first existing candidate.
 
     Imports that lead to a file which is no client component are dropped; imports that lead
@@ -104,8 +122,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     targets = imports.withColumn("target", _joined_path(folder, F.col("specifier")))
     lookup = targets.select("target").distinct().select(
         "target", F.posexplode(_candidates(F.col("target"))).alias("rank", "candidate"))
-    present = files.select(
-        F.col("path").alias("candidate"), is_client_component(F.col("content")).alias("client"))
+    present = facts.select(F.col("path").alias("candidate"), "client")
     best = (
         lookup.join(present, "candidate").groupBy("target")
         .agg(F.min_by(F.struct("candidate", "client"), "rank").alias("b"))
@@ -116,21 +133,24 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
         "path", "ord", "component", "client_file")
 
 
-def component_tags(servers: DataFrame) -> DataFrame:
-    """``(project, path, component, line, props)``: JSX tags with at least one ``name={value}`` prop."""
+def _tags(text: Column) -> Column:
     # A tag ends at the first ``>``. Only its name is consumed, so that a tag inside a prop of
     # another one is found as well.
     tag = r"(?dsU)<(\p{Lu}\w*)(?=\s+(.*?)/?>)"
-    marked = lines_of(mark_matches(F.col("content"), tag))
-    # Matches may share a line; the number of marks before a tag gives its line.
-    line_numbers = F.flatten(F.transform(marked, lambda text, i: F.array_repeat(
-        i + 1, F.size(F.split(text, MATCH_START)) - 1)))
-    tags = F.arrays_zip(
+    marked = lines_of(mark_matches(text, tag))
+    # Matches may share a line; each start mark stands for one tag.
+    line_numbers = F.flatten(F.transform(marked, lambda line, i: F.array_repeat(
+        i + 1, F.size(F.split(line, MATCH_START)) - 1)))
+    return F.arrays_zip(
         line_numbers.alias("line"),
-        F.regexp_extract_all("content", F.lit(tag), 1).alias("component"),
-        F.regexp_extract_all("content", F.lit(tag), 2).alias("body"),
+        F.regexp_extract_all(text, F.lit(tag), 1).alias("component"),
+        F.regexp_extract_all(text, F.lit(tag), 2).alias("body"),
     )
-    one = servers.select("project", "path", F.inline(tags))
+
+
+def component_tags(facts: DataFrame) -> DataFrame:
+    """``(project, path, component, line, props)``: JSX tags with at least one ``name={value}`` prop."""
+    one = facts.select("project", "path", F.inline("tags"))
     body = F.col("body")
     props = F.transform(
         F.arrays_zip(
@@ -147,15 +167,14 @@ def component_tags(servers: DataFrame) -> DataFrame:
         F.size("props") > 0)
 
 
-def boundary_crossings(files: DataFrame) -> DataFrame:
+def boundary_crossings(facts: DataFrame) -> DataFrame:
     """``(project, server_file, client_component, client_file, line, props, risk_level)``."""
-    servers = server_files(files)
-    imports = resolve_imports(component_imports(servers), files)
+    imports = resolve_imports(component_imports(facts), facts)
     # A later import of the same name replaces an earlier one.
     named = imports.groupBy("path", "component").agg(
         F.max_by(F.struct("client_file"), F.col("ord")).alias("t"))
     risky = F.exists("props", lambda p: p["sensitive"])
-    return component_tags(servers).join(named, ["path", "component"]).select(
+    return component_tags(facts).join(named, ["path", "component"]).select(
         "project",
         F.col("path").alias("server_file"),
         F.col("component").alias("client_component"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vetgrid.functions.constants import constant
 from vetgrid.functions.text import category_label, display_time, sarif_level, severity_rank
 from vetgrid.operators.aggregates import (
     open_by_category,
@@ -131,6 +132,8 @@ def write_sarif(findings: DataFrame, folder: str, *, limit: int | None = 500,
 # -- Markdown -----------------------------------------------------------------------------
 
 _DETAILS = 20
+# Blocks of a section sort by number; headings come before all others.
+_FIRST_BLOCK = -(1 << 62)
 
 
 def _rows(df: DataFrame, section: int, block: Column, line: Column, text: Column) -> DataFrame:
@@ -147,12 +150,6 @@ def _fixed(spark: SparkSession, section: int, block: int, lines: list[str]) -> D
     ).select("section", "block", F.col("line").cast("long").alias("line"), "text")
 
 
-def _heading_if(rows: DataFrame, spark: SparkSession, section: int, lines: list[str]) -> DataFrame:
-    """A heading that appears only if its section has rows."""
-    present = rows.limit(1).select(F.lit(1).alias("_one"))
-    return _fixed(spark, section, -1, lines).join(present, F.lit(True), "left_semi")
-
-
 def report_lines(findings: DataFrame, scans: DataFrame, generated_at: str) -> DataFrame:
     """The Markdown report as ordered rows ``(section, block, line, text)``.
 
@@ -216,18 +213,38 @@ def report_lines(findings: DataFrame, scans: DataFrame, generated_at: str) -> Da
         "3. **Medium findings**: plan for the coming weeks",
         "4. **Low findings**: fix when the code is touched",
     ])
-    headings = {
-        2: (severities, ["", "### Open by Severity", "", "| Severity | Count |", "|---|---|"]),
-        3: (categories, ["", "### Open by Category", "", "| Category | Name | Count |", "|---|---|---|"]),
-        4: (files, ["", "### Top Files (most open findings)", "", "| File | Findings |", "|---|---|"]),
-        5: (detail, ["", "## Findings Detail", ""]),
-        7: (decided, ["", "## Triaged Findings", ""]),
-    }
     result = top.unionByName(history).unionByName(
         _fixed(spark, 1, 0, ["", "## Executive Summary", ""])).unionByName(summary)
-    for section, (rows, lines) in headings.items():
-        result = result.unionByName(_heading_if(rows, spark, section, lines)).unionByName(rows)
-    return result.unionByName(rest).unionByName(advice)
+    for rows in (_headings(findings), severities, categories, files, detail, rest, decided, advice):
+        result = result.unionByName(rows)
+    return result
+
+
+# Headings by section, and the count that has to be above zero for them to appear.
+_HEADINGS = (
+    (2, "open", ["", "### Open by Severity", "", "| Severity | Count |", "|---|---|"]),
+    (3, "open", ["", "### Open by Category", "", "| Category | Name | Count |", "|---|---|---|"]),
+    (4, "open", ["", "### Top Files (most open findings)", "", "| File | Findings |", "|---|---|"]),
+    (5, "open", ["", "## Findings Detail", ""]),
+    (7, "triaged", ["", "## Triaged Findings", ""]),
+)
+
+
+def _headings(findings: DataFrame) -> DataFrame:
+    counts = findings.agg(
+        F.count_if(F.col("status") == "open").alias("open"),
+        F.count_if(F.col("status").isin("accepted", "false_positive") & (F.col("notes") != ""))
+        .alias("triaged"),
+    )
+    lines = constant(
+        [{"section": section, "of": of, "line": i, "text": text}
+         for section, of, texts in _HEADINGS for i, text in enumerate(texts)],
+        "array<struct<section: int, of: string, line: bigint, text: string>>",
+    )
+    wanted = F.filter(lines, lambda x: F.when(x["of"] == "open", F.col("open") > 0)
+                      .otherwise(F.col("triaged") > 0))
+    return counts.select(F.inline(wanted)).select(
+        "section", F.lit(_FIRST_BLOCK).alias("block"), "line", "text")
 
 
 def _by_rank(a: Column, b: Column) -> Column:

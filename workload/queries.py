@@ -563,16 +563,20 @@ def checklist(spark, sf):
     return structure.review_checklist(rows).select("path", "framework", "position", "check")
 
 
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    return stage_table(boundary.boundary_facts(corpus.files(spark, sf)), "boundary")
+
+
 @query
 def boundary_imports(spark, sf):
-    files = corpus.files(spark, sf)
-    found = boundary.component_imports(boundary.server_files(files))
-    return boundary.resolve_imports(found, files).select("path", "component", "client_file")
+    known = facts(spark, sf)
+    found = boundary.resolve_imports(boundary.component_imports(known), known)
+    return found.select("path", "component", "client_file")
 
 
 @query
 def boundary_crossings(spark, sf):
-    rows = boundary.boundary_crossings(corpus.files(spark, sf))
+    rows = boundary.boundary_crossings(facts(spark, sf))
     return rows.select(
         "server_file", "client_component", "client_file", "line", "risk_level",
         F.array_join(F.transform("props", lambda p: F.concat_ws("=", p["name"], p["value"])), ";")
@@ -581,14 +585,14 @@ def boundary_crossings(spark, sf):
 
 @query
 def boundary_summary(spark, sf):
-    files = corpus.files(spark, sf)
-    rows = boundary.in_web_projects(boundary.boundary_crossings(files), projects.project_types(files))
+    types = projects.project_types(corpus.files(spark, sf))
+    rows = boundary.in_web_projects(boundary.boundary_crossings(facts(spark, sf)), types)
     return boundary.boundary_summary(rows)
 
 
 @query
 def sensitive_props(spark, sf):
-    return boundary.sensitive_props(boundary.boundary_crossings(corpus.files(spark, sf)))
+    return boundary.sensitive_props(boundary.boundary_crossings(facts(spark, sf)))
 
 
 # -- dependencies --------------------------------------------------------------------------------
