@@ -22,8 +22,7 @@ def sql():
 
 
 def test_registry():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"report_lines", "sarif_documents"}
+    assert set(oracle_sql()) == set(queries())
 
 
 def test_entry(spark):

@@ -348,7 +348,57 @@ def gate_sql() -> str:
 
 EXCLUDE_RULE = next(r for r in ALL_RULES if r.exclude_pattern)
 
+MINUTES = "strftime({0}, '%Y-%m-%d %H:%M UTC')"
+RANK = "list_position(['low', 'medium', 'high', 'critical'], severity)"
+
+
+def texts(section: int, *lines: str) -> str:
+    return " UNION ALL ".join(f"SELECT {section} AS section, {lit(t)} AS text" for t in lines)
+
+
+REPORT = f"""{BULK_SCANS}, top AS (SELECT *, row_number() OVER (ORDER BY {RANK} DESC, found_at DESC, id) AS i
+    FROM findings WHERE status = 'open'),
+  detail AS (SELECT top.*, label FROM top JOIN {LABELS} USING (owasp_category) WHERE i <= 20),
+  triaged AS (SELECT * FROM findings WHERE status IN ('accepted', 'false_positive') AND notes <> '')
+  {texts(0, '# Security Scan Report', '', '**Generated:** 2025-06-01 12:00 UTC  ')}
+  UNION ALL SELECT 0, '**Scan history:** ' || count(*) || ' scans, first: ' || strftime(min(started_at), '%Y-%m-%d')
+    || ', latest: ' || strftime(max(started_at), '%Y-%m-%d') || '  ' FROM scans
+  UNION ALL {texts(1, '', '## Executive Summary', '')}
+  UNION ALL SELECT 1, '- **Total findings:** ' || count(*) FROM findings
+  UNION ALL SELECT 1, '- **Open:** ' || count(*) FROM findings WHERE status = 'open'
+  UNION ALL SELECT 1, '- **Fixed:** ' || count(*) FROM findings WHERE status = 'fixed'
+  UNION ALL SELECT 1, '- **Accepted/False Positive:** ' || count(*) FROM findings WHERE status IN ('accepted', 'false_positive')
+  UNION ALL {texts(2, '', '### Open by Severity', '', '| Severity | Count |', '|---|---|')}
+  UNION ALL SELECT 2, '| ' || upper(severity) || ' | ' || count(*) || ' |' FROM top GROUP BY severity
+  UNION ALL {texts(3, '', '### Open by Category', '', '| Category | Name | Count |', '|---|---|---|')}
+  UNION ALL SELECT 3, '| ' || owasp_category || ' | ' || label || ' | ' || count(*) || ' |'
+    FROM top JOIN {LABELS} USING (owasp_category) GROUP BY owasp_category, label
+  UNION ALL {texts(4, '', '### Top Files (most open findings)', '', '| File | Findings |', '|---|---|')}
+  UNION ALL SELECT 4, '| `' || file_path || '` | ' || n || ' |' FROM (
+    SELECT file_path, count(*) AS n FROM top GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+  UNION ALL {texts(5, '', '## Findings Detail', '')}
+  UNION ALL SELECT 5, unnest(list_filter([
+      '### ' || i || '. [' || upper(severity) || '] ' || title, '',
+      '- **Category:** ' || owasp_category || ' — ' || label, '- **File:** `' || file_path || '`',
+      '- **Line:** ' || line_number, '- **Found:** ' || {MINUTES.format('found_at')},
+      CASE WHEN updated_at <> found_at THEN '- **Last updated:** ' || {MINUTES.format('updated_at')} END,
+      '- **Description:** ' || description, '- **Suggested Fix:** ' || suggested_fix,
+      chr(10) || '```' || chr(10) || code_snippet || chr(10) || '```' || chr(10), ''],
+    lambda x: x IS NOT NULL)) FROM detail
+  UNION ALL SELECT 6, '*...and ' || (count(*) - 20) || ' more open findings.*' FROM top HAVING count(*) > 20
+  UNION ALL {texts(7, '', '## Triaged Findings', '')}
+  UNION ALL SELECT 7, unnest(['- **[' || CASE WHEN status = 'accepted' THEN 'Accepted Risk' ELSE 'False Positive' END
+      || ']** ' || title || ' (`' || file_path || '`)', '  - *Rationale:* ' || notes,
+      '  - *Triaged:* ' || {MINUTES.format('updated_at')}]) FROM triaged
+  UNION ALL {texts(8, '', '## Remediation Priority', '', '1. **Critical findings**: fix at once',
+    '2. **High findings**: fix before the next release', '3. **Medium findings**: plan for the coming weeks',
+    '4. **Low findings**: fix when the code is touched')}"""
+
 ORACLE = {
+    "report_lines": REPORT,
+    "sarif_documents": f"""{BULK} SELECT '2.1.0' AS version, rule_id,
+          CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'low' THEN 'note' ELSE 'warning' END AS level,
+          id FROM (SELECT * FROM findings ORDER BY found_at DESC, id LIMIT 500)""",
     "file_eligibility": base() + f"""SELECT path, {SKIPPED} AS skipped,
         {SUFFIX} IN {in_list(CODE_EXTENSIONS)} AS known_extension, false AS "binary",
         size > 20480 AS over_20_kb FROM files""",

@@ -786,13 +786,23 @@ def sarif_rules(spark, sf):
 @query
 def sarif_documents(spark, sf):
     rows = fnd.newest(corpus.lifecycle(spark, sf), 500)
-    return reports.sarif_documents(rows, shards=2)
+    documents = reports.sarif_documents(rows, shards=2)
+    run = (
+        "version STRING, runs ARRAY<STRUCT<tool: STRUCT<driver: STRUCT<rules: ARRAY<STRUCT<id: STRING>>>>, "
+        "results: ARRAY<STRUCT<ruleId: STRING, level: STRING, properties: STRUCT<`finding-id`: STRING>>>>>"
+    )
+    parsed = documents.select(F.from_json("document", run).alias("d"))
+    return parsed.select(
+        F.col("d.version").alias("version"), F.inline(F.col("d.runs")[0]["results"])
+    ).select("version", F.col("ruleId").alias("rule_id"), "level",
+             F.col("properties.finding-id").alias("id"))
 
 
 @query
 def report_lines(spark, sf):
-    return reports.report_lines(
+    lines = reports.report_lines(
         corpus.lifecycle(spark, sf), scan_table(spark, sf), "2025-06-01 12:00 UTC")
+    return lines.select("section", "text")
 
 
 def run_stream(stream: DataFrame, name: str) -> DataFrame:
