@@ -9,7 +9,14 @@ from vetgrid.operators import aggregates as agg
 from vetgrid.operators import findings as fnd
 from vetgrid.operators.scan import scan_text, to_findings
 from vetgrid.plans.scans import complete_scans, open_scan, scan_changes, scan_files, scan_path
-from vetgrid.plans.snapshots import empty_snapshot, merge_into, update_into
+from vetgrid.plans.snapshots import (
+    delete_from,
+    empty_snapshot,
+    merge_into,
+    read_baseline_file,
+    update_into,
+    write_baseline,
+)
 from vetgrid.rules import ALL_RULES
 from vetgrid.schemas import AUDIT_LOG, FINDINGS, UPDATES
 
@@ -211,10 +218,20 @@ def test_snapshots(spark, tmp_path, make_files):
     counts = {r["status"]: r["count"] for r in agg.by_status(v3.findings(spark)).collect()}
     assert counts == {"open": 1, "accepted": 1}
     assert v3.audit(spark).count() == 4
+    known = write_baseline(v3, spark, str(tmp_path / "baseline"))
+    assert rows_of(fnd.beyond_baseline(scan_files(files, scan_id="s4"), known), "line_number") == [(1,)]
+    v4 = delete_from(v3, v3.findings(spark).filter("status = 'accepted'").select("id"), str(tmp_path / "v4"))
+    assert v4.findings(spark).count() == 1 and v4.audit(spark).count() == 1
     with pytest.raises(ValueError):
         update_into(v3, updates, v3.folder, at(4))
 
 
+def test_baseline_file(spark, tmp_path):
+    path = tmp_path / "baseline.json"
+    path.write_text('{\n "version": 1,\n "fingerprints": ["a", "b"],\n "count": 2\n}')
+    assert rows_of(read_baseline_file(spark, str(path)), "fingerprint") == [("a",), ("b",)]
+
+
 def test_incremental_and_single_path(spark, make_files):
     old = make_files({"p/a.py": "eval(x)", "p/b.py": "x = 1"})
     new = make_files({"p/a.py": "eval(x)", "p/b.py": "exec(y)", "p/c.py": "eval(z)"})

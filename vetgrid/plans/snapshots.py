@@ -9,8 +9,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-
-from vetgrid.operators.findings import Change, merge_findings, update_findings
+from pyspark.sql import functions as F
+
+from vetgrid.operators.findings import (
+    Change,
+    baseline,
+    delete_findings,
+    merge_findings,
+    update_findings,
+)
 from vetgrid.schemas import AUDIT_LOG, FINDINGS
 from vetgrid.session import stage_table
 
@@ -62,6 +69,28 @@ def update_into(last: Snapshot, updates: DataFrame, folder: str, now: Column) ->
     return _write(last, update_findings(last.findings(spark), staged, now), folder)
 
 
+def delete_from(last: Snapshot, ids: DataFrame, folder: str) -> Snapshot:
+    """Next version without the listed findings and their audit rows."""
+    spark = ids.sparkSession
+    left = delete_findings(last.findings(spark), last.audit(spark), ids)
+    left.findings.write.parquet(f"{folder}/findings")
+    left.audit.write.parquet(f"{folder}/audit_log")
+    return Snapshot(folder)
+
+
+def write_baseline(last: Snapshot, spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of the open findings as a table, for ``beyond_baseline``."""
+    baseline(last.findings(spark)).write.parquet(folder)
+    return spark.read.schema("fingerprint STRING").parquet(folder)
+
+
+def read_baseline_file(spark: SparkSession, path: str) -> DataFrame:
+    """Fingerprints from a baseline document ``{"version", "fingerprints", "count"}``."""
+    schema = "version INT, fingerprints ARRAY<STRING>, count BIGINT"
+    document = spark.read.schema(schema).option("multiLine", True).json(path)
+    return document.select(F.explode("fingerprints").alias("fingerprint"))
+
+
 def write_bucketed(findings: DataFrame, table: str, buckets: int) -> None:
     """Findings as a catalog table bucketed by fingerprint, so that merges need no shuffle."""
     findings.write.bucketBy(buckets, "fingerprint").sortBy("fingerprint").saveAsTable(table)

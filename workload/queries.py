@@ -291,7 +291,9 @@ def baseline_diff(spark, sf):
 def updates(spark: SparkSession, sf: str) -> DataFrame:
     """``lineitem`` as triage updates: order keys are findings, line numbers give the order."""
     line = F.col("l_linenumber")
-    return corpus.table(spark, sf, "lineitem").select(
+    items = corpus.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return spread(items, "l_orderkey").select(
         F.col("l_orderkey").cast("string").alias("finding_id"),
         F.when(line % 3 == 0, corpus.pick([*fnd.STATUSES, "closed"], F.col("l_partkey") % 6)).alias("status"),
         F.when(line % 2 == 0, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias("notes"),
@@ -762,15 +764,21 @@ def all_finding_kinds(spark, sf):
 
 @query
 def sarif_results(spark, sf):
-    rows = reports.sarif_results(corpus.lifecycle(spark, sf))
-    part = lambda path: F.get_json_object("result", path)
-    return rows.select(
-        "id", part("$.ruleId").alias("rule_id"), part("$.level").alias("level"),
-        part("$.message.text").alias("message"),
-        part("$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"),
-        part("$.locations[0].physicalLocation.region.startLine").alias("start_line"),
-        part("$.properties.owasp-label").alias("label"),
-        part("$.fixes[0].description.text").alias("fix"))
+    rows = reports.sarif_results(spread(corpus.lifecycle(spark, sf), "id"))
+    result = (
+        "ruleId STRING, level STRING, message STRUCT<text: STRING>, locations ARRAY<STRUCT<"
+        "physicalLocation: STRUCT<artifactLocation: STRUCT<uri: STRING>, region: STRUCT<startLine: STRING>>>>, "
+        "properties STRUCT<`owasp-label`: STRING>, fixes ARRAY<STRUCT<description: STRUCT<text: STRING>>>"
+    )
+    parsed = rows.select("id", F.from_json("result", result).alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return parsed.select(
+        "id", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"),
+        F.col("r.message.text").alias("message"),
+        place["artifactLocation"]["uri"].alias("uri"),
+        place["region"]["startLine"].alias("start_line"),
+        F.col("r.properties.owasp-label").alias("label"),
+        F.get("r.fixes", 0)["description"]["text"].alias("fix"))
 
 
 @query
