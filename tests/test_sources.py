@@ -15,8 +15,8 @@ from vetgrid.sources.files import (
     in_skipped_folder,
     is_excluded,
     only_changed,
-    read_tree,
 )
+from vetgrid.sources.trees import list_tree, read_tree
 
 
 def test_read_tree(spark, tmp_path):
@@ -26,8 +26,17 @@ def test_read_tree(spark, tmp_path):
     (tmp_path / "src" / "big.py").write_bytes(b"x" * (MAX_FILE_KB * 1024 + 1))
     (tmp_path / "src" / "edge.py").write_bytes(b"x" * (MAX_FILE_KB * 1024))
     (tmp_path / "src" / "late.py").write_bytes(b"y" * 1024 + b"\x00")
+    (tmp_path / "src" / ".env").write_text("KEY=1")
+    (tmp_path / "src" / "__init__.py").write_text("")
+    (tmp_path / "src" / "node_modules" / "x.js").write_text("eval(x)")
+    (tmp_path / "_private" / ".ci" / "deep").mkdir(parents=True)
+    (tmp_path / "_private" / ".ci" / "deep" / "job.yml").write_text("é")
     rows = {r.rel_path: r for r in read_tree(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"src/a.py", "src/b.bin", "src/edge.py", "src/late.py"}
+    assert set(rows) == {"src/a.py", "src/b.bin", "src/edge.py", "src/late.py", "src/.env",
+                         "src/__init__.py", "_private/.ci/deep/job.yml"}
+    assert rows["src/__init__.py"].content == "" and rows["src/__init__.py"].size == 0
+    assert rows["_private/.ci/deep/job.yml"].content == "é"
+    assert list_tree(spark, str(tmp_path)).count() == 8
     assert rows["src/a.py"].content == "eval(x)��\n"
     assert rows["src/b.bin"].is_binary and not rows["src/late.py"].is_binary
     assert rows["src/a.py"].path == f"{tmp_path}/src/a.py"

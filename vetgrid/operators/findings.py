@@ -148,11 +148,6 @@ def merge_findings(stored: DataFrame, candidates: DataFrame, now: Column) -> Cha
     return Change(findings, audit)
 
 
-def new_candidates(stored: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates whose fingerprint is not stored yet."""
-    return candidates.join(stored.select("fingerprint"), "fingerprint", "left_anti")
-
-
 def flag_candidates(stored: DataFrame, candidates: DataFrame) -> DataFrame:
     """Batch rows with ``is_new``, ``reappeared`` (stored as fixed) and ``copies``."""
     known = stored.select(

@@ -1,14 +1,14 @@
-"""Source trees as tables, and which of their files are scanned."""
+"""Which files of a table of sources are scanned, and which of them changed."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetgrid.functions.regex import glob_match
-from vetgrid.functions.text import file_name, file_suffix, lines_of, strip, utf8
+from vetgrid.functions.text import file_name, file_suffix, lines_of, strip
 
 # Folders that are never scanned.
 SKIPPED_FOLDERS = (
@@ -30,29 +30,6 @@ IGNORE_FILE = ".owaspignore"
 _BINARY_HEAD = 1024
 
 
-def read_tree(spark: SparkSession, root: str, *, max_file_kb: int = MAX_FILE_KB) -> DataFrame:
-    """All files under ``root`` as ``(path, rel_path, content, size, is_binary)``.
-
-    The size cap is a filter on ``length``, which the source applies before it opens a file.
-    """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .filter(F.col("length") <= max_file_kb * 1024)
-    )
-    base = root.rstrip("/") + "/"
-    local = F.regexp_replace("path", "^file:/+", "/")
-    return raw.select(
-        local.alias("path"),
-        F.when(F.startswith(local, F.lit(base)), F.substring(local, len(base) + 1, 1 << 30))
-        .otherwise(local).alias("rel_path"),
-        utf8(F.col("content")).alias("content"),
-        F.col("length").alias("size"),
-        is_binary(F.col("content")).alias("is_binary"),
-    )
-
-
 def is_binary(content: Column) -> Column:
     """A NUL byte in the first 1024 bytes."""
     head = F.substring(content.cast("binary"), 1, _BINARY_HEAD)
