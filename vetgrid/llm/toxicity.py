@@ -30,7 +30,8 @@ from vetgrid.llm import words as W
 
 SAMPLE = 20_000  # labelled rows that a model is fitted on
 STEMS = 2_000  # learned lexicon entries
-SUPPORT = 3  # toxic rows that a learned stem needs
+SUPPORT = 3  # toxic rows that a learned stem needs at least
+SHARE = 0.02  # and of all toxic rows, so that a few copies of one text teach nothing
 PRIOR = 2.0  # weight of a word of the plain list that was never seen in labelled rows
 FEATURES = ("insult", "insult_target", "insult_negated", "insult_reported", "threat", "threat_target", "matched")
 
@@ -207,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def _learned(in_toxic: dict, in_clean: dict, positives: int, negatives: int) -> Lexicon:
     odds = {s: math.log((n + 0.5) / (positives + 1)) - math.log((in_clean.get(s, 0) + 0.5) / (negatives + 1))
             for s, n in in_toxic.items()}
-    telling = [s for s in odds if odds[s] > 2.5 and in_clean.get(s, 0) * 20 <= in_toxic[s]]
+    telling = [s for s in odds if odds[s] > 2.5 and in_toxic[s] >= SHARE * positives and in_clean.get(s, 0) * 20 <= in_toxic[s]]
     insults: dict[str, float] = {}
     for stem in sorted(telling, key=lambda s: (-in_toxic[s], len(s), s)):
         # A longer stem that says no more than a chosen prefix of it is left out.
