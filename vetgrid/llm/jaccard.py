@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: token-combination prefixes, then exact verification.
+r"""N-gram Jaccard join: token-combination prefixes, then exact verification.
 
 The tokens of a document are its distinct hashed word shingles. If two sets have a Jaccard
 similarity of ``percent`` or more, each keeps at least ``ceil(percent * size / 100)`` of its tokens
@@ -17,9 +17,13 @@ long as all tasks use the same. They are counted over all documents, batch by ba
 ``heavy`` most frequent ones are broadcast (12 bytes each), whatever the size of the input.
 
 Equal sets are one node. In a bucket (a signature) every node is first compared with the bucket's
-least node, its hub, which is linear in the bucket. What these links connect needs no further
-comparison; pairs of a bucket that are still in different components are then all verified, so no
-link between different texts that could change a component is lost.
+hub, the node with the smallest share of rare tokens, which is the original among its near copies.
+That is linear in the bucket. What these links connect needs no further comparison. A comparison
+also gives the node's difference from the hub, and two nodes of one hub have the overlap
+``|h| - |h \ x| - |h \ y| + |dx & dy|`` with dx and dy their symmetric differences from the hub. So nodes that
+are still in different components, wherever they share a hub, are all verified exactly from these
+small differences, in blocks of bounded size, and only links that join components come out. No link
+between different texts that could change a component is lost.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ from vetgrid.session import stage_table
 
 HEAVY = 100_000  # broadcast bound: 1.2 MB
 BATCH_REPEATS = 4  # documents of one Arrow batch that make a token worth counting
+BLOCK = 512  # nodes of a hub that meet at once, with as many others
+COLUMNS = 4096  # tokens of one membership matrix: 16 MB for 1024 nodes
 CLASSES = ((64, 1), (512, 8), (4096, 32), (1 << 62, 128))  # sets below a size: classes of frequent tokens
 
 Tokens = tuple[np.ndarray, np.ndarray]
@@ -69,13 +75,11 @@ def jaccard_classes(docs: DataFrame, *, width: int = 4, percent: int = 85, heavy
     members = stage_table(bucket_members(source, common, width, percent), "jaccard-buckets")
     texts = stage_table(_texts_of(source, facts, members), "jaccard-texts")
 
-    hubs = members.filter("node <> hub").filter(_may_link("n", "hub_n", percent)).select(
-        F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stage_table(verified(hubs, texts, width, percent), "jaccard-hub-links")
-    roots = components(links)
-    rest = stage_table(verified(_unconnected(members, roots, percent), texts, width, percent), "jaccard-links")
-    merged = components(links.unionByName(rest))
-    return _with_components(facts, merged)
+    pairs = members.filter("node <> hub").select("node", "hub").distinct()
+    compared = stage_table(differences(pairs, texts, width, percent), "jaccard-differences")
+    links = compared.filter("link").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    rest = stage_table(between_components(compared, components(links), percent), "jaccard-links")
+    return _with_components(facts, components(links.unionByName(rest)))
 
 
 def frequent_tokens(source: DataFrame, width: int, heavy: int) -> Tokens:
@@ -98,8 +102,8 @@ def frequent_tokens(source: DataFrame, width: int, heavy: int) -> Tokens:
     return tokens[order], top["n"].to_numpy(np.int64)[order]
 
 
-def signatures(tokens: np.ndarray, common: Tokens, percent: int) -> np.ndarray:
-    """Signatures of a set; two sets of at least the similarity share one."""
+def signatures(tokens: np.ndarray, common: Tokens, percent: int) -> tuple[np.ndarray, int]:
+    """Signatures of a set, and how many of its tokens are rare; similar sets share a signature."""
     n = len(tokens)
     need = n - -(-percent * n // 100) + 1
     keys, counts = common
@@ -107,9 +111,10 @@ def signatures(tokens: np.ndarray, common: Tokens, percent: int) -> np.ndarray:
     if len(keys):
         at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
         rank = np.where(keys[at] == tokens, counts[at], 0)
+    rares = int((rank == 0).sum())
     rare = tokens[rank == 0][:need]
     if len(rare) == need or not n:
-        return W.mix(rare)
+        return W.mix(rare), rares
     need -= len(rare)
     often = tokens[rank > 0]
     often = often[np.lexsort((often, rank[rank > 0]))]
@@ -125,7 +130,7 @@ def signatures(tokens: np.ndarray, common: Tokens, percent: int) -> np.ndarray:
             i, j = np.triu_indices(len(group), 1)
             parts.append(W.mix(group[i] * W.MULTIPLIERS[0, 0] + group[j] * W.MULTIPLIERS[0, 1]
                                + np.uint64(classes)))
-    return np.concatenate(parts)
+    return np.concatenate(parts), rares
 
 
 def _schemes(n: int, percent: int) -> set[int]:
@@ -136,14 +141,14 @@ def _schemes(n: int, percent: int) -> set[int]:
 
 
 def bucket_members(source: DataFrame, common: Tokens, width: int, percent: int) -> DataFrame:
-    """``(sig, node, n, hub, hub_n)`` for buckets with more than one node."""
+    """``(node, hub)`` for each bucket with more than one node, hubs included."""
     spark = source.sparkSession
     shared = spark.sparkContext.broadcast(common)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # 16 bytes for each set that this task has emitted
         for batch in batches:
-            sigs, nodes, sizes = [], [], []
+            sigs, nodes, shares = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = token_set(text, width) if text else ()
                 # Below this size one more token is too many: only equal sets link, and they are one node.
@@ -153,41 +158,20 @@ def bucket_members(source: DataFrame, common: Tokens, width: int, percent: int)
                 if node in seen:
                     continue
                 seen.add(node)
-                own = signatures(tokens, shared.value, percent)
+                own, rares = signatures(tokens, shared.value, percent)
                 sigs.append(own)
                 nodes += [node] * len(own)
-                sizes.append(np.full(len(own), len(tokens), np.int32))
+                shares.append(np.full(len(own), 1000 * rares // len(tokens), np.int32))
             if sigs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(np.concatenate(sigs))), W.binaries(nodes), pa.array(np.concatenate(sizes))],
-                    ["sig", "node", "n"])
+                    [pa.array(W.signed(np.concatenate(sigs))), W.binaries(nodes), pa.array(np.concatenate(shares))],
+                    ["sig", "node", "rare"])
 
-    rows = source.select("text").mapInArrow(emit, "sig long, node binary, n int")
-    bucket = Window.partitionBy("sig").orderBy("n", "node")
+    rows = source.select("text").mapInArrow(emit, "sig long, node binary, rare int")
+    bucket = Window.partitionBy("sig").orderBy("rare", "node")
     first, last = (f("node").over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
                    for f in (F.first, F.last))
-    return rows.select(
-        "sig", "node", "n", first.alias("hub"), last.alias("top"),
-        F.first("n").over(bucket).alias("hub_n"),
-    ).filter("hub <> top").drop("top").distinct()
-
-
-def _may_link(n: str, m: str, percent: int):
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-
-def _unconnected(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket whose ends are in different components; hub pairs are known already."""
-    placed = members.join(roots, "node", "left").select(
-        "sig", "node", "n", "hub", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    left = placed.join(mixed.select("sig"), "sig")
-    right = left.select("sig", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "root")))
-    return left.join(right, "sig").filter(
-        (F.col("node") < F.col("node_2")) & (F.col("root") != F.col("root_2"))
-        & (F.col("hub") != F.col("node")) & (F.col("hub") != F.col("node_2"))
-        & _may_link("n", "n_2", percent)
-    ).select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+    return rows.select("node", first.alias("hub"), last.alias("top")).filter("hub <> top").drop("top").distinct()
 
 
 def _facts(width: int):
@@ -229,25 +213,89 @@ def _texts_of(source: DataFrame, facts: DataFrame, members: DataFrame) -> DataFr
     return packed.join(wanted, match).select("node", "packed").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that have the similarity, by their whole sets."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b")), "b")
+def differences(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(node, hub, link, hub_n, n, missing, diff)`` for each pair ``(node, hub)``: whether it has the
+    similarity, sizes, the hub's tokens that the node lacks, and the tokens that only one has."""
+    both = pairs.join(texts.withColumnRenamed("packed", "text"), "node").join(
+        texts.select(F.col("node").alias("hub"), F.col("packed").alias("hub_text")), "hub")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         last: tuple = (None, None)
         for batch in batches:
-            keep = []
-            for a, b, text_a, text_b in W.rows([batch], "a", "b", "text_a", "text_b"):
-                if b != last[0]:  # rows arrive in the order of b
-                    last = b, token_set(open_.decompress(text_b), width)
-                one, two = token_set(open_.decompress(text_a), width), last[1]
-                common = len(one) + len(two) - len(np.union1d(one, two))
-                keep.append(100 * common >= percent * (len(one) + len(two) - common))
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary")
+            out: tuple = ([], [], [], [], [])
+            for hub, text, hub_text in W.rows([batch], "hub", "text", "hub_text"):
+                if hub != last[0]:  # rows arrive in the order of the hub
+                    last = hub, token_set(open_.decompress(hub_text), width)
+                own, other = token_set(open_.decompress(text), width), last[1]
+                diff = np.setxor1d(own, other, assume_unique=True)
+                common = (len(own) + len(other) - len(diff)) // 2
+                row = (100 * common >= percent * (len(own) + len(other) - common), len(other), len(own),
+                       len(other) - common, diff.tobytes())
+                for column, value in zip(out, row):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("hub"), pa.array(out[0], pa.bool_()),
+                 *(pa.array(c, pa.int64()) for c in out[1:4]), W.binaries(out[4])],
+                ["node", "hub", "link", "hub_n", "n", "missing", "diff"])
+
+    return both.select("node", "hub", "text", "hub_text").mapInArrow(
+        compare, "node binary, hub binary, link boolean, hub_n long, n long, missing long, diff binary")
+
+
+def between_components(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes of one hub that are in different components so far."""
+    placed = compared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = placed.groupBy("hub").agg(
+        F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter(
+        "m > 1 and low <> high").select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(groups, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Every block meets every block of its hub once: (own, other) with own <= other.
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "hub", "node", "root", "hub_n", "n", "missing", "diff",
+        F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        nodes, roots_, diffs = (table.column(c).to_pylist() for c in ("node", "root", "diff"))
+        n, missing = (table.column(c).to_numpy() for c in ("n", "missing"))
+        hub_n = table.column("hub_n")[0].as_py()
+        both = hub_n - missing[:, None] - missing[None, :] + _shared([np.frombuffer(d, np.uint64) for d in diffs])
+        _, root = np.unique(np.array(roots_, object), return_inverse=True)
+        near = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (root[:, None] != root[None, :])
+        joined, a, b = list(range(int(root.max()) + 1)), [], []
+        for i, j in np.argwhere(np.triu(near)):
+            x, y = _find(joined, root[i]), _find(joined, root[j])
+            if x != y:
+                joined[x] = y
+                a.append(nodes[i])
+                b.append(nodes[j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return met.groupBy("hub", "one", "two").applyInArrow(verify, "a binary, b binary")
+
+
+def _find(joined: list[int], x: int) -> int:
+    while joined[x] != x:
+        joined[x] = x = joined[joined[x]]
+    return x
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs, by products of membership matrices in column parts."""
+    tokens, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.cumsum(counts > 1) - 1
+    keep = counts[places] > 1
+    owners, columns = owners[keep], column[places[keep]]
+    result = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(columns, kind="stable")
+    owners, columns = owners[order], columns[order]
+    for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
+        a, b = np.searchsorted(columns, (start, start + COLUMNS))
+        member = np.zeros((len(sets), COLUMNS), np.float32)
+        member[owners[a:b], columns[a:b] - start] = 1
+        result += member @ member.T
+    return result.astype(np.int64)
 
 
 def _with_components(facts: DataFrame, roots: DataFrame) -> DataFrame:
