@@ -149,8 +149,9 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     found = found.select(F.col("doc_id").alias("found_id"), F.array_sort(
         "values", lambda a, b: F.length(b) - F.length(a)).alias("found_values"))
     joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["found_id"]), "left")
-    clean = F.when(F.col("found_values").isNull(), F.col("text")).otherwise(F.aggregate(
-        "found_values", F.col("text"), lambda text, value: F.replace(text, value, F.lit(mark))))
+    values = found["found_values"]
+    clean = F.when(values.isNull(), docs["text"]).otherwise(F.aggregate(
+        values, docs["text"], lambda text, value: F.replace(text, value, F.lit(mark))))
     return joined.select(*[clean.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 

@@ -45,6 +45,8 @@ def grid(rows: int) -> tuple[int, int]:
 def longest_walk(spark: SparkSession, rows: int, seed: int) -> int:
     """Steps after which every number is back in range: only the cells beyond ``rows``, fewer than the
     square root of it, can lengthen a walk, so these are followed until none is left outside."""
+    if not rows:
+        return 1
     a, b = grid(rows)
     outside, steps = spark.range(rows, a * b).select(F.col("id").alias("p")), 1
     while not outside.isEmpty():

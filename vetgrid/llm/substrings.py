@@ -345,11 +345,11 @@ def kept_texts(docs: DataFrame, *, width: int = 20) -> DataFrame:
             kept.append(_kept_text(data, *W.spans(data), np.frombuffer(run, np.int32).reshape(-1, 2)).decode())
         return pd.Series(kept, dtype=object)
 
-    joined = rows.join(removed, KEY, "left").select("row.*", "removed")
-    same = joined.filter("removed is null").select(*names)
+    joined = rows.join(removed, KEY, "left").select("row", "removed")
+    same = joined.filter("removed is null").select("row.*")
     changed = joined.filter("removed is not null")
     return same.unionByName(changed.select(*[
-        cut("text", "removed").alias("text") if c == "text" else F.col(c) for c in names]))
+        cut("row.text", "removed").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
