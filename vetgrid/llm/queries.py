@@ -28,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op5_substring_dedup": """
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 wins AS (
   SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS h
@@ -42,16 +42,16 @@ lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
 each AS (
   SELECT w.doc_id, words, len(coalesce(ps, [])) AS n_removed,
          list_transform(list_filter(list_zip(words, range(1, len(words) + 1)),
-                                    z -> NOT list_contains(coalesce(ps, []), z[2])), z -> z[1]) AS kept
+                                    lambda z: NOT list_contains(coalesce(ps, []), z[2])), lambda z: z[1]) AS kept
   FROM w LEFT JOIN lists USING (doc_id))
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
 FROM each""",
     "op6_exact_top_k": """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
