@@ -110,8 +110,8 @@ def repeated_anchors(source: DataFrame, width: int) -> DataFrame:
             head[order[opens]] = True
             for known in (False, True):  # one row of each anchor asks the others; repeats are known
                 pick = again if known else head
-                # Known rows only pass through, so they are spread evenly.
-                key = W.mix(anchor + at.astype(np.uint64) + doc.astype(np.uint64)) if known else anchor
+                # Known rows only pass through, so they go by their document.
+                key = W.mix(doc.astype(np.uint64)) if known else anchor
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(W.signed(key)[pick]), pa.array(doc[pick]), pa.array(at[pick]),
                      pa.array(np.full(int(pick.sum()), known))], ["anchor", "doc_id", "at", "known"])
@@ -200,7 +200,7 @@ def _candidates(width: int):
                 continue
             one, two, doc, key, at = (np.concatenate(c) for c in zip(*parts))
             again = _after_first(one, two, doc, key, at)
-            spread = W.mix(one + at.astype(np.uint64) + key.astype(np.uint64))
+            spread = W.mix(doc.astype(np.uint64) + key.astype(np.uint64))  # known rows go by their document
             yield pa.RecordBatch.from_arrays(
                 [pa.array(W.signed(np.where(again, spread, one))), pa.array(W.signed(two)), pa.array(doc),
                  pa.array(key), pa.array(at), pa.array(again)],
