@@ -177,6 +177,8 @@ def test_baseline_gate_listing(spark, empty, batch):
     assert rows_of(fnd.filter_findings(stored, path_part="src/A"), "line_number") == [(1,)]
     assert rows_of(fnd.filter_findings(stored, path_part="a_1", severity="high", status="open", category="A05", scan_id="s1"), "line_number") == [(1,)]
     assert fnd.newest(stored, 2).count() == 2
+    assert fnd.newest(stored).count() == stored.count()
+    assert fnd.filter_findings(stored, path_part="src\\a").count() == 0
     assert "notes" not in fnd.compact(stored).columns
     assert tuple(fnd.gate(stored).first()) == (3, False)
     assert tuple(fnd.gate(stored, "critical").first()) == (0, True)

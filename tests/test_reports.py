@@ -52,6 +52,7 @@ def test_empty_report(spark):
     text = "\n".join(r.text for r in lines)
     assert "No security findings recorded." in text
     assert "### Open by" not in text and "## Findings Detail" not in text
+    assert "## Remediation Priority" not in text
 
 
 def test_sarif(spark, stored, tmp_path):

@@ -370,18 +370,18 @@ def filter_findings(
     """Findings by status, severity, category, path and scan.
 
     ``path_part`` is looked for anywhere in the path, without regard to the case of ASCII
-    letters, and may hold the wildcards ``%`` and ``_``.
+    letters, and may hold the wildcards ``%`` and ``_``; a backslash stands for itself.
     """
     equal = {"status": status, "severity": severity, "owasp_category": category,
              "scan_id": scan_id}
     tests = [F.col(name) == value for name, value in equal.items() if value]
     if path_part:
-        tests.append(F.col("file_path").ilike(f"%{path_part}%"))
+        tests.append(F.col("file_path").ilike("%" + path_part.replace("\\", "\\\\") + "%"))
     return findings.filter(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
-def newest(findings: DataFrame, limit: int | None = 50) -> DataFrame:
-    """Newest findings first; the limit is part of the listing."""
+def newest(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest findings first: all of them, or a listing of ``limit`` rows."""
     ordered = findings.orderBy(F.desc("found_at"), "id")
     return ordered if limit is None else ordered.limit(limit)
 
@@ -430,5 +430,7 @@ def complete_scans(scans: DataFrame, findings: DataFrame, now: Column) -> DataFr
     }).drop("_count")
 
 
-def newest_scans(scans: DataFrame, limit: int = 20) -> DataFrame:
-    return scans.orderBy(F.desc("started_at"), "id").limit(limit)
+def newest_scans(scans: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest scans first: all of them, or a listing of ``limit`` rows."""
+    ordered = scans.orderBy(F.desc("started_at"), "id")
+    return ordered if limit is None else ordered.limit(limit)

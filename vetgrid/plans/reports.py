@@ -120,9 +120,9 @@ def sarif_documents(findings: DataFrame, rules: Sequence[Rule] = ALL_RULES, *,
         F.coalesce("results", F.lit("")), F.lit("]}]}")).alias("document"))
 
 
-def write_sarif(findings: DataFrame, folder: str, *, limit: int | None = 500,
+def write_sarif(findings: DataFrame, folder: str, *, limit: int | None = None,
                 results_per_document: int = 5000) -> None:
-    """Write SARIF documents as text files: the newest ``limit`` findings, or all of them."""
+    """Write SARIF documents as text files: all findings, or the newest ``limit`` of them."""
     chosen = findings if limit is None else newest(findings, limit)
     count = chosen.count()
     shards = max(1, -(-count // results_per_document))
@@ -207,12 +207,13 @@ def report_lines(findings: DataFrame, scans: DataFrame, generated_at: str) -> Da
     )).alias("line", "text"))
     decided = _rows(entries, 7, F.xxhash64("id").bitwiseAND((1 << 62) - 1), F.col("line"), F.col("text"))
 
+    some = findings.limit(1).select(F.lit(8).alias("section"))
     advice = _fixed(spark, 8, 0, [
         "", "## Remediation Priority", "",
         "1. **Critical findings**: fix at once", "2. **High findings**: fix before the next release",
         "3. **Medium findings**: plan for the coming weeks",
         "4. **Low findings**: fix when the code is touched",
-    ])
+    ]).join(some, "section", "left_semi")
     result = top.unionByName(history).unionByName(
         _fixed(spark, 1, 0, ["", "## Executive Summary", ""])).unionByName(summary)
     for rows in (_headings(findings), severities, categories, files, detail, rest, decided, advice):

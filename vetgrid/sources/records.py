@@ -119,15 +119,16 @@ def read_errors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recent_errors(
-    errors: DataFrame, *, error_id: str | None = None, tool_name: str | None = None, limit: int = 20
+    errors: DataFrame, *, error_id: str | None = None, tool_name: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """The newest error records, optionally of one id or one tool."""
+    """Error records, newest first, optionally of one id or one tool, all or ``limit`` of them."""
     keep: Column = F.lit(True)
     if error_id:
         keep = keep & (F.col("error_id") == error_id)
     if tool_name:
         keep = keep & (F.col("tool_name") == tool_name)
-    return errors.filter(keep).orderBy(F.desc("timestamp"), F.desc("error_id")).limit(limit)
+    ordered = errors.filter(keep).orderBy(F.desc("timestamp"), F.desc("error_id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def read_categories(spark: SparkSession, path: str) -> DataFrame:

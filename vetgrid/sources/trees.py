@@ -37,7 +37,7 @@ def read_tree(spark: SparkSession, root: str, *, max_file_kb: int = MAX_FILE_KB)
     if "://" in root and not root.startswith("file://"):
         raw = _read_objects(spark, root, max_file_kb)
     else:
-        root = "/" + root.removeprefix("file://").strip("/")
+        root = os.path.abspath(root.removeprefix("file://"))
         raw = _read_mounted(spark, root, max_file_kb)
     base = root.rstrip("/") + "/"
     path, content = F.col("path"), F.col("content")

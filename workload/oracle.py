@@ -398,7 +398,7 @@ ORACLE = {
     "report_lines": REPORT,
     "sarif_documents": f"""{BULK} SELECT '2.1.0' AS version, rule_id,
           CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'low' THEN 'note' ELSE 'warning' END AS level,
-          id FROM (SELECT * FROM findings ORDER BY found_at DESC, id LIMIT 500)""",
+          id FROM findings""",
     "file_eligibility": base() + f"""SELECT path, {SKIPPED} AS skipped,
         {SUFFIX} IN {in_list(CODE_EXTENSIONS)} AS known_extension, false AS "binary",
         size > 20480 AS over_20_kb FROM files""",
@@ -552,8 +552,7 @@ ORACLE = {
     "list_findings": f"""{BULK} SELECT id, file_path, {SECONDS.format('found_at')} AS found_at FROM findings
         WHERE status = 'open' AND severity = 'high' AND file_path ILIKE '%SRC/m1_%'
         ORDER BY findings.found_at DESC, id LIMIT 50""",
-    "compact_findings": f"""{BULK} SELECT 16::INTEGER AS columns, id, title FROM findings
-        ORDER BY found_at DESC, id LIMIT 100""",
+    "compact_findings": f"""{BULK} SELECT 16::INTEGER AS columns, id, title FROM findings""",
     "findings_with_audit": f"""{BULK}, {AUDIT} SELECT f.id, label AS owasp_label, a.id AS entry_id, action, new_value,
           {MICROS.format('ts')} AS entry_at FROM findings f JOIN {LABELS} USING (owasp_category)
         LEFT JOIN audit a ON a.finding_id = f.id""",

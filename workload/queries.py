@@ -175,7 +175,7 @@ def recent_errors(spark, sf):
     broken = F.when(key % 10 == 0, F.expr("left(line, 20)")).otherwise(F.col("line"))
     lines = events.select("event_id", record.alias("line")).select(
         broken.alias("value"))
-    errors = records.recent_errors(records.parse_errors(lines), tool_name="tool1")
+    errors = records.recent_errors(records.parse_errors(lines), tool_name="tool1", limit=20)
     return errors.select("error_id", "timestamp", "error_type", F.col("context")["user"].alias("user"))
 
 
@@ -446,7 +446,7 @@ def scan_history_range(spark, sf):
 
 @query
 def scan_history(spark, sf):
-    return fnd.newest_scans(scan_table(spark, sf)).select(
+    return fnd.newest_scans(scan_table(spark, sf), 20).select(
         "id", shown("started_at"), "findings_count")
 
 
@@ -454,12 +454,12 @@ def scan_history(spark, sf):
 def list_findings(spark, sf):
     rows = fnd.filter_findings(corpus.lifecycle(spark, sf), status="open", severity="high",
                                path_part="SRC/m1_")
-    return fnd.newest(rows).select("id", "file_path", shown("found_at"))
+    return fnd.newest(rows, 50).select("id", "file_path", shown("found_at"))
 
 
 @query
 def compact_findings(spark, sf):
-    rows = fnd.compact(fnd.newest(corpus.lifecycle(spark, sf), 100))
+    rows = fnd.compact(corpus.lifecycle(spark, sf))
     return rows.select(F.lit(len(rows.columns)).alias("columns"), "id", "title")
 
 
@@ -793,8 +793,8 @@ def sarif_rules(spark, sf):
 
 @query
 def sarif_documents(spark, sf):
-    rows = fnd.newest(corpus.lifecycle(spark, sf), 500)
-    documents = reports.sarif_documents(rows, shards=2)
+    rows = corpus.lifecycle(spark, sf)
+    documents = reports.sarif_documents(rows, shards=max(2, -(-rows.count() // 5000)))
     run = (
         "version STRING, runs ARRAY<STRUCT<tool: STRUCT<driver: STRUCT<rules: ARRAY<STRUCT<id: STRING>>>>, "
         "results: ARRAY<STRUCT<ruleId: STRING, level: STRING, properties: STRUCT<`finding-id`: STRING>>>>>"
