@@ -16,20 +16,22 @@ Which tokens are frequent decides cost only, never results: any order and any cl
 long as all tasks use the same. They are counted over all documents, batch by batch, and only the
 ``heavy`` most frequent ones are broadcast (12 bytes each), whatever the size of the input.
 
-Equal sets are one node. In a bucket (a signature) every node is first compared with the bucket's
-hub, the node with the smallest share of rare tokens, which is the original among its near copies.
-That is linear in the bucket. What these links connect needs no further comparison. A comparison
-also gives the node's difference from the hub, and two nodes of one hub have the overlap
-``|h| - |h \ x| - |h \ y| + |dx & dy|`` with dx and dy their symmetric differences from the hub. So nodes that
-are still in different components, wherever they share a hub, are all verified exactly from these
-small differences, in blocks of bounded size, and only links that join components come out. No link
-between different texts that could change a component is lost.
+Equal sets are one node. Nodes of a bucket (a signature) whose sizes are near enough meet in groups,
+one for each size band, under a hub: the node with the smallest share of rare tokens, which is the
+original among its near copies. Large groups are first compared with their hub only, which is linear
+and connects nearly all nodes of a hot group. Pairs that are connected by then need no comparison.
+In every group the nodes outside the hub's component still meet each other and the rest, in blocks of
+bounded size, and are verified exactly; only links that join components come out. No link between
+different texts that could change a component is lost. Whole texts travel compressed to these
+meetings, which is a tenth of their token sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,10 @@ from vetgrid.session import stage_table
 
 HEAVY = 100_000  # broadcast bound: 1.2 MB
 BATCH_REPEATS = 4  # documents of one Arrow batch that make a token worth counting
-BLOCK = 512  # nodes of a hub that meet at once, with as many others
-COLUMNS = 4096  # tokens of one membership matrix: 16 MB for 1024 nodes
+STAR = 32  # nodes of a group that meet without being compared with the hub first
+BLOCK = 256  # nodes of a group that meet at once, with as many others
+BLOCK_TOKENS = 4_000_000  # tokens of a block, about; one longer text is a block of its own
+COLUMNS = 4096  # tokens of one membership matrix: 8 MB for 512 nodes
 CLASSES = ((64, 1), (512, 8), (4096, 32), (1 << 62, 128))  # sets below a size: classes of frequent tokens
 
 Tokens = tuple[np.ndarray, np.ndarray]
@@ -75,10 +79,8 @@ def jaccard_classes(docs: DataFrame, *, width: int = 4, percent: int = 85, heavy
     members = stage_table(bucket_members(source, common, width, percent), "jaccard-buckets")
     texts = stage_table(_texts_of(source, facts, members), "jaccard-texts")
 
-    pairs = members.filter("node <> hub").select("node", "hub").distinct()
-    compared = stage_table(differences(pairs, texts, width, percent), "jaccard-differences")
-    links = compared.filter("link").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    rest = stage_table(between_components(compared, components(links), percent), "jaccard-links")
+    links = stage_table(hub_links(members, texts, width, percent), "jaccard-stars")
+    rest = stage_table(between_components(members, components(links), texts, width, percent), "jaccard-links")
     return _with_components(facts, components(links.unionByName(rest)))
 
 
@@ -141,14 +143,17 @@ def _schemes(n: int, percent: int) -> set[int]:
 
 
 def bucket_members(source: DataFrame, common: Tokens, width: int, percent: int) -> DataFrame:
-    """``(node, hub)`` for each bucket with more than one node, hubs included."""
+    """``(node, n, hub, band)`` for each group of more than one node, hubs included; n is the set size.
+
+    A node of a size band is in the group of that band and of the next one, so that any two nodes of
+    a bucket with sizes near enough to link are in one group."""
     spark = source.sparkSession
     shared = spark.sparkContext.broadcast(common)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # 16 bytes for each set that this task has emitted
         for batch in batches:
-            sigs, nodes, shares = [], [], []
+            sigs, nodes, shares, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = token_set(text, width) if text else ()
                 # Below this size one more token is too many: only equal sets link, and they are one node.
@@ -162,16 +167,23 @@ def bucket_members(source: DataFrame, common: Tokens, width: int, percent: int)
                 sigs.append(own)
                 nodes += [node] * len(own)
                 shares.append(np.full(len(own), 1000 * rares // len(tokens), np.int32))
+                sizes.append(np.full(len(own), len(tokens), np.int32))
             if sigs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(np.concatenate(sigs))), W.binaries(nodes), pa.array(np.concatenate(shares))],
-                    ["sig", "node", "rare"])
+                    [pa.array(W.signed(np.concatenate(sigs))), W.binaries(nodes), pa.array(np.concatenate(shares)),
+                     pa.array(np.concatenate(sizes))], ["sig", "node", "rare", "n"])
+
+    def ends(window):
+        whole = window.orderBy("rare", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return F.first("node").over(whole).alias("hub"), F.last("node").over(whole).alias("top")
 
-    rows = source.select("text").mapInArrow(emit, "sig long, node binary, rare int")
-    bucket = Window.partitionBy("sig").orderBy("rare", "node")
-    first, last = (f("node").over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-                   for f in (F.first, F.last))
-    return rows.select("node", first.alias("hub"), last.alias("top")).filter("hub <> top").drop("top").distinct()
+    rows = source.select("text").mapInArrow(emit, "sig long, node binary, rare int, n int")
+    # Both windows need one exchange. Bands are a trace wider than the size ratio, for rounding.
+    shared_sigs = rows.select("*", *ends(Window.partitionBy("sig"))).filter("hub <> top").drop("hub", "top")
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.000001 or 1.0)).cast("int")
+    banded = shared_sigs.withColumn("band", F.explode(F.array(band, band + 1)))
+    return banded.select("node", "n", "band", *ends(Window.partitionBy("sig", "band"))).filter(
+        "hub <> top").drop("top").distinct()
 
 
 def _facts(width: int):
@@ -213,65 +225,92 @@ def _texts_of(source: DataFrame, facts: DataFrame, members: DataFrame) -> DataFr
     return packed.join(wanted, match).select("node", "packed").dropDuplicates(["node"])
 
 
-def differences(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(node, hub, link, hub_n, n, missing, diff)`` for each pair ``(node, hub)``: whether it has the
-    similarity, sizes, the hub's tokens that the node lacks, and the tokens that only one has."""
-    both = pairs.join(texts.withColumnRenamed("packed", "text"), "node").join(
-        texts.select(F.col("node").alias("hub"), F.col("packed").alias("hub_text")), "hub")
+def hub_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` of the nodes of large groups with their hubs, each block next to a copy of the hub."""
+    large = members.groupBy("hub", "band").count().filter(F.col("count") > STAR).groupBy("hub").agg(
+        F.ceil(F.sum("count") / BLOCK).cast("int").alias("blocks"))
+    nodes = members.filter("node <> hub").select("node", "hub").distinct().join(large, "hub").select(
+        "hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
+    hubs = large.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                        F.col("hub").alias("node"))
+    met = nodes.unionByName(hubs).join(texts, "node").repartition("hub", "block").sortWithinPartitions(
+        "hub", "block", F.col("node") != F.col("hub"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        last: tuple = (None, None)
+        hub_set = np.empty(0, np.uint64)
         for batch in batches:
-            out: tuple = ([], [], [], [], [])
-            for hub, text, hub_text in W.rows([batch], "hub", "text", "hub_text"):
-                if hub != last[0]:  # rows arrive in the order of the hub
-                    last = hub, token_set(open_.decompress(hub_text), width)
-                own, other = token_set(open_.decompress(text), width), last[1]
-                diff = np.setxor1d(own, other, assume_unique=True)
-                common = (len(own) + len(other) - len(diff)) // 2
-                row = (100 * common >= percent * (len(own) + len(other) - common), len(other), len(own),
-                       len(other) - common, diff.tobytes())
-                for column, value in zip(out, row):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("hub"), pa.array(out[0], pa.bool_()),
-                 *(pa.array(c, pa.int64()) for c in out[1:4]), W.binaries(out[4])],
-                ["node", "hub", "link", "hub_n", "n", "missing", "diff"])
-
-    return both.select("node", "hub", "text", "hub_text").mapInArrow(
-        compare, "node binary, hub binary, link boolean, hub_n long, n long, missing long, diff binary")
-
-
-def between_components(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between nodes of one hub that are in different components so far."""
-    placed = compared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = placed.groupBy("hub").agg(
-        F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).filter(
-        "m > 1 and low <> high").select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(groups, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Every block meets every block of its hub once: (own, other) with own <= other.
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "hub", "node", "root", "hub_n", "n", "missing", "diff",
-        F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-
-    def verify(table: pa.Table) -> pa.Table:
-        nodes, roots_, diffs = (table.column(c).to_pylist() for c in ("node", "root", "diff"))
-        n, missing = (table.column(c).to_numpy() for c in ("n", "missing"))
-        hub_n = table.column("hub_n")[0].as_py()
-        both = hub_n - missing[:, None] - missing[None, :] + _shared([np.frombuffer(d, np.uint64) for d in diffs])
-        _, root = np.unique(np.array(roots_, object), return_inverse=True)
-        near = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (root[:, None] != root[None, :])
-        joined, a, b = list(range(int(root.max()) + 1)), [], []
-        for i, j in np.argwhere(np.triu(near)):
-            x, y = _find(joined, root[i]), _find(joined, root[j])
-            if x != y:
-                joined[x] = y
-                a.append(nodes[i])
-                b.append(nodes[j])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return met.groupBy("hub", "one", "two").applyInArrow(verify, "a binary, b binary")
+            a, b = [], []
+            for hub, node, packed in W.rows([batch], "hub", "node", "packed"):
+                own = token_set(open_.decompress(packed), width)
+                if node == hub:  # the first row of its block
+                    hub_set = own
+                    continue
+                both = len(np.intersect1d(own, hub_set, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(hub_set) - both):
+                    a.append(node)
+                    b.append(hub)
+            yield pa.RecordBatch.from_arrays([W.binaries(a), W.binaries(b)], ["a", "b"])
+
+    return met.select("hub", "node", "packed").mapInArrow(compare, "a binary, b binary")
+
+
+def between_components(
+    members: DataFrame, roots: DataFrame, texts: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links ``(a, b)`` between nodes of one group that are in different components so far.
+
+    Nodes outside the hub's component (apart) are dealt into ``blocks`` blocks, the others into
+    ``rest`` further ones. A block of nodes apart meets itself and every other block once."""
+    placed = members.join(roots, "node", "left").join(
+        roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").select(
+        "hub", "band", "node", "n", F.coalesce("root", "node").alias("root"),
+        (F.coalesce("root", "node") != F.coalesce("hub_root", "hub")).alias("apart"))
+
+    def blocks(of):
+        count, tokens = F.count(F.when(of, 1)), F.coalesce(F.sum(F.when(of, F.col("n").cast("long"))), F.lit(0))
+        return F.greatest(F.ceil(count / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+
+    whole = F.when((F.count("*") <= BLOCK) & (F.sum(F.col("n").cast("long")) <= BLOCK_TOKENS), 0)
+    groups = placed.groupBy("hub", "band").agg(
+        blocks(F.col("apart")).alias("blocks"), whole.otherwise(blocks(~F.col("apart"))).alias("rest")).filter("blocks > 0")
+    own = F.when(F.col("apart") | (F.col("rest") == 0), F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(
+        F.col("blocks") + F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    last = F.when(F.col("apart"), F.col("blocks") + F.col("rest")).otherwise(F.col("blocks")) - 1
+    dealt = placed.join(groups, ["hub", "band"]).withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), last))).select(
+        F.xxhash64("hub", "band", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"),
+        "hub", "band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node", "root")
+    met = dealt.join(texts, "node").repartition("meeting").sortWithinPartitions("meeting", "hub", "band", "one", "two")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        rows = W.rows(batches, "hub", "band", "one", "two", "node", "root", "packed")
+        for _, group in groupby(rows, lambda r: r[:4]):
+            nodes, roots_, sets = zip(*((r[4], r[5], token_set(open_.decompress(r[6]), width)) for r in group))
+            if len(set(roots_)) == 1:
+                continue
+            a, b = _joining(nodes, roots_, sets, percent)
+            if a:
+                yield pa.RecordBatch.from_arrays([W.binaries(a), W.binaries(b)], ["a", "b"])
+
+    return met.mapInArrow(verify, "a binary, b binary")
+
+
+def _joining(nodes, roots, sets, percent: int) -> tuple[list, list]:
+    """Similar pairs that join components, one for each step of joining."""
+    n = np.array([len(s) for s in sets])
+    both = _shared(sets)
+    _, root = np.unique(np.array(roots, object), return_inverse=True)
+    near = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (root[:, None] != root[None, :])
+    joined, a, b = list(range(int(root.max()) + 1)), [], []
+    for i, j in np.argwhere(np.triu(near)):
+        x, y = _find(joined, root[i]), _find(joined, root[j])
+        if x != y:
+            joined[x] = y
+            a.append(nodes[i])
+            b.append(nodes[j])
+    return a, b
 
 
 def _find(joined: list[int], x: int) -> int:
@@ -287,7 +326,7 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     column = np.cumsum(counts > 1) - 1
     keep = counts[places] > 1
     owners, columns = owners[keep], column[places[keep]]
-    result = np.zeros((len(sets), len(sets)), np.float32)
+    result = np.zeros((len(sets), len(sets)))
     order = np.argsort(columns, kind="stable")
     owners, columns = owners[order], columns[order]
     for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
