@@ -133,7 +133,7 @@ def test_hilbert_curve():
 
 def test_packing(table, prose):
     tokenizer = Tokenizer.from_file(WORDS)
-    rows = prose + [(300, "x <|endoftext|> ΣΑΣ")]
+    rows = prose + [(300, "x <|endoftext|> ΣΑΣ"), (301, "a\x01b \x01 c"), (302, "\x01")]
     pieces = packing.packed(table(rows), WORDS).collect()
     sequences = defaultdict(list)
     for p in pieces:

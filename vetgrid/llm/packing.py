@@ -32,6 +32,7 @@ BINS = 256  # hashed token counts of a document
 DIMENSIONS = 4
 BITS = 12  # a key has DIMENSIONS * BITS bits
 END = 1  # id behind each document
+MARK = "\x01"  # a word between words that are encoded together; texts that hold it go word by word
 
 
 class _Words(dict):
@@ -44,6 +45,8 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def encode(self, text: bytes) -> np.ndarray:
         words = text.split()
@@ -52,14 +55,28 @@ class _Words(dict):
         new = [w for w in set(words) if w not in self]
         own = self
         if new:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            ids = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, found)}
+            ids = self._each(new) if self.mark is None or MARK.encode() in text else self._together(new)
             if len(ids) <= 10_000 and max(map(len, new)) <= SHORT:
                 self.update(ids)
             else:  # an unusual text is not remembered
                 own = {**{w: self[w] for w in set(words) if w in self}, **ids}
         return np.frombuffer(b"".join(map(own.__getitem__, words)), self.kind)
 
+    def _each(self, new: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, found)}
+
+    def _together(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """One call for all words. The mark's id stands for its byte alone, so it can end words only."""
+        joined = f" {MARK} ".join([*map(bytes.decode, new), ""])
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) != len(new):
+            return self._each(new)
+        data, size = ids.tobytes(), ids.itemsize
+        starts = (np.concatenate(([0], ends[:-1] + 1)) * size).tolist()
+        return {w: data[a:b] for w, a, b in zip(new, starts, (ends * size).tolist())}
+
 
 @lru_cache(2)
 def _words(path: str) -> _Words:
