@@ -13,6 +13,7 @@ partition its offset, and the pieces are then cut where the tokens are.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,15 @@ from vetgrid.session import stage_table
 
 REMEMBERED = 1_000_000  # words that a worker remembers before it starts anew
 SHORT = 48  # bytes of a word that is worth remembering
-BINS = 256  # hashed token counts of a document
+BINS = 256  # hashed token counts of a document, a power of two
 DIMENSIONS = 4
 BITS = 12  # a key has DIMENSIONS * BITS bits
 END = 1  # id behind each document
+CLOSING = [b".", b",", b";", b":", b"!", b"?"]
+# Letters of ASCII and small ones of Latin-1: the tokenizer folds only their case, and cuts only before the closing mark.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+[.,;:!?]?")
+# Byte-level letters of the bytes from 128 on that stand for no printable Latin-1 character.
+BYTES = {**{128 + i: 290 + i for i in range(33)}, 173: 323}
 MARK = "\x01"  # a word between words that are encoded together; texts that hold it go word by word
 
 
@@ -41,40 +48,52 @@ class _Words(dict):
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.merges = Tokenizer(self.tokenizer.model)  # for plain words: merges only, nothing to fold or cut
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def encode(self, text: bytes) -> np.ndarray:
         words = text.split()
         if len(self) >= REMEMBERED:
             self.clear()
-        new = [w for w in set(words) if w not in self]
-        own = self
-        if new:
-            ids = self._each(new) if self.mark is None or MARK.encode() in text else self._together(new)
-            if len(ids) <= 10_000 and max(map(len, new)) <= SHORT:
-                self.update(ids)
-            else:  # an unusual text is not remembered
-                own = {**{w: self[w] for w in set(words) if w in self}, **ids}
-        return np.frombuffer(b"".join(map(own.__getitem__, words)), self.kind)
+        found = list(map(self.get, words))
+        if None in found:
+            new = self._learn({w for w, ids in zip(words, found) if ids is None}, text)
+            found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
+        return np.frombuffer(b"".join(found), self.kind)
+
+    def _learn(self, new: set[bytes], text: bytes) -> dict[bytes, bytes]:
+        """Ids of words that are not remembered."""
+        plain = list(filter(PLAIN.fullmatch, new))
+        joined = b"".join([p + b" 0 " for p in plain]).lower()
+        for close in CLOSING:
+            joined = joined.replace(close, b" " + close)
+        ids = self._together(self.merges, plain, joined.decode("latin-1").translate(BYTES), "0")
+        others = list(new.difference(plain))
+        if MARK.encode() in text:
+            ids |= self._each(others)
+        elif others:
+            ids |= self._together(self.tokenizer, others, "".join([f"{p.decode()} {MARK} " for p in others]), MARK)
+        if len(ids) <= 10_000 and max(map(len, ids)) <= SHORT:  # an unusual text is not remembered
+            self.update(ids)
+        return ids
 
     def _each(self, new: list[bytes]) -> dict[bytes, bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, found)}
 
-    def _together(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """One call for all words. The mark's id stands for its byte alone, so it can end words only."""
-        joined = f" {MARK} ".join([*map(bytes.decode, new), ""])
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.flatnonzero(ids == self.mark)
+    def _together(self, tokenizer, new: list[bytes], joined: str, mark: str) -> dict[bytes, bytes]:
+        """One call for all words of ``joined``. Each ends in ``mark``, whose id none of them holds."""
+        end = tokenizer.encode(mark, add_special_tokens=False).ids
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(ids == end[0]) if len(end) == 1 else ()
         if len(ends) != len(new):
             return self._each(new)
         data, size = ids.tobytes(), ids.itemsize
-        starts = (np.concatenate(([0], ends[:-1] + 1)) * size).tolist()
+        starts = (np.concatenate(([0], ends[:-1] + 1)) * size).tolist() if new else ()
         return {w: data[a:b] for w, a, b in zip(new, starts, (ends * size).tolist())}
 
 
@@ -87,14 +106,14 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, curve, n, ids)``: tokens of each document with the end id, and its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path)
+        words, press = _words(path), zstandard.ZstdCompressor(1)
         matrix = np.random.Generator(np.random.PCG64(7)).standard_normal((BINS, DIMENSIONS))
         for batch in batches:
             packed, counts, vectors = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = np.append(words.encode(text or b""), np.array([END], words.kind))
-                bins = np.bincount(ids % BINS, minlength=BINS)
-                packed.append(zlib.compress(ids.tobytes(), 1))
+                bins = np.bincount(ids & (BINS - 1), minlength=BINS)
+                packed.append(press.compress(ids.tobytes()))
                 counts.append(len(ids))
                 vectors.append(np.sqrt(bins / len(ids)))
             if counts:
@@ -164,11 +183,11 @@ def _pieces(docs: DataFrame, path: str, capacity: int, cut, column: str) -> Data
         "row", (F.col("before") + F.col("inside")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = _words(path).kind
+        kind, open_ = _words(path).kind, zstandard.ZstdDecompressor()
         for batch in batches:
             out: tuple = ([], [], [], [], [], [], [])
             for doc, n, ids, first in W.rows([batch], "doc_id", "n", "ids", "first"):
-                whole = np.frombuffer(zlib.decompress(ids), kind).astype("<u4")
+                whole = np.frombuffer(open_.decompress(ids), kind).astype("<u4")
                 start = 0
                 while start < n:
                     offset = (first + start) % capacity
