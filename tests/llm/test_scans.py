@@ -19,6 +19,25 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxicity_held_out_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.op4_toxicity(spark, sf).filter("held_out").join(
+        spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").join(
+        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    recall = {r["lang"]: (r["hit"], r["n"]) for r in rows.filter("toxic = 1").groupBy("lang").agg(
+        F.sum("predicted").alias("hit"), F.count("*").alias("n")).collect()}
+    assert {"en", "de", "fr", "es"} <= set(recall)
+    assert all(hit >= 0.7 * n for hit, n in recall.values()), recall
+
+
+def test_copies_teach_no_stem(spark, table):
+    rows = [(i, "zwibbel " * 3) for i in range(20)] + [(i, f"brumfel word{i}") for i in range(20, 24)]
+    rows += [(i, f"calm text number {i}") for i in range(100, 160)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+    insults = toxicity.fit(table(rows), labels).lexicon.insults
+    assert "brum" in insults and "zwib" not in insults
+
+
 def test_grammar():
     matcher = toxicity.Matcher(toxicity.Lexicon({"idiot": 2.0}, {"kill": 2.0}))
     kinds = lambda text: {n for n, v in zip(toxicity.FEATURES, matcher.features(text)) if v} - {"matched"}

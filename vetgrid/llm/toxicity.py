@@ -29,9 +29,8 @@ from pyspark.sql import types as T
 from vetgrid.llm import words as W
 
 SAMPLE = 20_000  # labelled rows that a model is fitted on
-STEMS = 2_000  # learned lexicon entries
-SUPPORT = 3  # toxic rows that a learned stem needs at least
-SHARE = 0.02  # and of all toxic rows, so that a few copies of one text teach nothing
+SUPPORT = 3  # distinct toxic texts that a learned stem needs at least, so that copies of one teach nothing
+ODDS = 2.5  # and the log odds against clean texts
 PRIOR = 2.0  # weight of a word of the plain list that was never seen in labelled rows
 FEATURES = ("insult", "insult_target", "insult_negated", "insult_reported", "threat", "threat_target", "matched")
 
@@ -168,7 +167,11 @@ def _stems(text: str) -> set[str]:
 
 
 def _counted(rows: DataFrame, wanted: set[str] | None) -> dict[str, int]:
-    """Rows in which each stem occurs; only stems of ``wanted``, if given."""
+    """Distinct texts in which each stem occurs; only stems of ``wanted``, if given.
+
+    Every stem with enough support is fetched, the number is bounded by the words of ``SAMPLE`` rows:
+    a limit by frequency would leave out the languages with few toxic rows.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
@@ -178,10 +181,9 @@ def _counted(rows: DataFrame, wanted: set[str] | None) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["stem", "n"])
 
-    counted = rows.select("text").mapInArrow(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
     kept = counted.filter(F.col("n") >= SUPPORT) if wanted is None else counted
-    # Frequent stems first: only such can become entries, and the number that is fetched is bounded.
-    return {r["stem"]: r["n"] for r in kept.orderBy(F.desc("n"), "stem").limit(50 * STEMS).collect()}
+    return {r["stem"]: r["n"] for r in kept.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -192,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.join(F.broadcast(marked), "doc_id").select("doc_id", "text", "toxic").repartition("doc_id").persist()
-    toxic, clean = (rows.filter(F.col("toxic") == x) for x in (1, 0))
+    toxic, clean = (rows.filter(F.col("toxic") == x).select("text").distinct() for x in (1, 0))
     positives, negatives = toxic.count(), clean.count()
     lexicon = Lexicon({w: PRIOR for w in INSULTS}, {w: PRIOR for w in THREATS})
     weights = (1.0,) * (len(FEATURES) - 1) + (1.0, -3.0)
@@ -205,14 +207,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(lexicon, weights)
 
 
+def _by_chance(n: int, m: int, share: float) -> float:
+    """Probability that of ``n + m`` texts at least ``n`` are toxic if each is with probability ``share``."""
+    return sum(math.exp(math.lgamma(n + m + 1) - math.lgamma(k + 1) - math.lgamma(n + m - k + 1)
+                        + k * math.log(share) + (n + m - k) * math.log1p(-share)) for k in range(n, n + m + 1))
+
+
 def _learned(in_toxic: dict, in_clean: dict, positives: int, negatives: int) -> Lexicon:
     odds = {s: math.log((n + 0.5) / (positives + 1)) - math.log((in_clean.get(s, 0) + 0.5) / (negatives + 1))
             for s, n in in_toxic.items()}
-    telling = [s for s in odds if odds[s] > 2.5 and in_toxic[s] >= SHARE * positives and in_clean.get(s, 0) * 20 <= in_toxic[s]]
+    # Less than one word of all that were tried may pass by chance; a word is tried by up to six prefixes. This asks the
+    # same of rare and of frequent languages, a share of all toxic rows does not.
+    share, tried = positives / (positives + negatives), len(odds) / 6
+    telling = [s for s in odds if odds[s] > ODDS and in_clean.get(s, 0) * 20 <= in_toxic[s]
+               and _by_chance(in_toxic[s], in_clean.get(s, 0), share) * tried < 1]
     insults: dict[str, float] = {}
     for stem in sorted(telling, key=lambda s: (-in_toxic[s], len(s), s)):
         # A longer stem that says no more than a chosen prefix of it is left out.
-        if len(insults) < STEMS and not any(stem[:n] in insults for n in range(4, len(stem))):
+        if not any(stem[:n] in insults for n in range(4, len(stem))):
             insults[stem] = odds[stem]
     for word in INSULTS:
         if not any(word[:n] in insults for n in range(3, len(word) + 1)):
