@@ -11,8 +11,10 @@ from vetgrid.llm.forest import op8_nearest_neighbours
 from vetgrid.llm.jaccard import op1_jaccard_join
 from vetgrid.llm.licenses import op3_license_scan
 from vetgrid.llm.packing import op10_packing
+from vetgrid.llm.ranking import op13_ranked_search
 from vetgrid.llm.secrets import op7_secret_scan
 from vetgrid.llm.sharding import op2_sharding
+from vetgrid.llm.spelling import op11_spelling_variants
 from vetgrid.llm.substrings import op5_substring_dedup
 from vetgrid.llm.topk import op6_exact_top_k
 from vetgrid.llm.toxicity import op4_toxicity
@@ -20,7 +22,8 @@ from vetgrid.llm.toxicity import op4_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_jaccard_join, op2_sharding, op3_license_scan, op4_toxicity, op5_substring_dedup, op6_exact_top_k,
-        op7_secret_scan, op8_nearest_neighbours, op9_byte_bpe, op10_packing)
+        op7_secret_scan, op8_nearest_neighbours, op9_byte_bpe, op10_packing, op11_spelling_variants,
+        op13_ranked_search)
 }
 
 # CRC-32, tokenizers, trained models and iterative merging are beyond DuckDB's SQL or far too slow
@@ -58,4 +61,27 @@ pairs AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op13_ranked_search": r"""
+WITH words AS (
+  SELECT row_number() OVER () AS doc, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-@\[-`{-\x7F]+')) AS term
+  FROM documents),
+counts AS (SELECT doc, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+df AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-/:-@\[-`{-\x7F]+')) AS term
+  FROM benchmark),
+weighed AS (
+  SELECT item_id, term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM items JOIN df USING (term), total),
+scores AS (
+  SELECT item_id, doc_id, doc,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM weighed JOIN counts USING (term) JOIN sizes USING (doc), total GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }
