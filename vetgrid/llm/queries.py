@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vetgrid.llm.bytebpe import op9_byte_bpe
+from vetgrid.llm.chat import op12_chat_formatting
 from vetgrid.llm.forest import op8_nearest_neighbours
 from vetgrid.llm.jaccard import op1_jaccard_join
 from vetgrid.llm.licenses import op3_license_scan
@@ -23,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_jaccard_join, op2_sharding, op3_license_scan, op4_toxicity, op5_substring_dedup, op6_exact_top_k,
         op7_secret_scan, op8_nearest_neighbours, op9_byte_bpe, op10_packing, op11_spelling_variants,
-        op13_ranked_search)
+        op12_chat_formatting, op13_ranked_search)
 }
 
 # CRC-32, tokenizers, trained models and iterative merging are beyond DuckDB's SQL or far too slow
@@ -61,6 +62,23 @@ pairs AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op12_chat_formatting": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+written AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned,
+         regexp_replace(text, '([<\[]\\*)(/?s>|/?INST\]|/?SYS\]|ASSISTANT\]|/?ROLE\]|BODY\]|IMG\]|AUDIO\]|DOC\])',
+                        '\1\\\2', 'g') AS escaped
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(length(learned)) AS BIGINT) AS loss_chars,
+       sha256(string_agg(learned, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(length(escaped) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 16
+                                  ELSE 19 + length(role) END) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id""",
     "op13_ranked_search": r"""
 WITH words AS (
   SELECT row_number() OVER () AS doc, doc_id, unnest(regexp_extract_all(
