@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from vetgrid.operators import aggregates as agg
 from vetgrid.operators import findings as fnd
+from vetgrid.operators.replay import replayed
 from vetgrid.operators.scan import scan_text
 from vetgrid.plans.scans import complete_scans, open_scan, scan_changes, scan_files, scan_path
 from vetgrid.plans.snapshots import (
@@ -116,12 +118,67 @@ def test_updates(spark, empty, batch):
     assert (got[2].status, got[2].notes, got[2].suggested_fix, got[2].updated_at.day) == ("open", "", "fix", 5)
     assert (got[3].status, got[3].updated_at.day) == ("open", 1)
     audit = rows_of(change.audit.filter(F.col("finding_id") == ids[1]), "action", "old_value", "new_value")
-    assert audit == [("fix_suggested", None, "new fix"), ("note_added", None, "n" * 200),
-                     ("status_changed", "open", "fixed")]
+    assert audit == [("fix_suggested", None, "new fix"), ("note_added", None, "n" * 300),
+                     ("status_changed", "in_progress", "fixed"), ("status_changed", "open", "in_progress")]
+    cut = fnd.update_findings(stored, updates, at(5), audit_text=200).audit
+    assert rows_of(cut.filter("action = 'note_added'"), "new_value") == [("",), ("n" * 200,)]
     assert fnd.rejected_updates(updates).count() == 1
     assert change.audit.select("id").distinct().count() == change.audit.count()
 
 
+def test_fixed_and_reopened_in_one_batch(spark, empty, batch):
+    stored = fnd.merge_findings(empty, batch(("a.py", 1, "R")), at(1)).findings
+    key = stored.first().id
+    updates = spark.createDataFrame([
+        (key, "open", None, None, None, 9), (key, "fixed", None, None, None, 3), (key, "fixed", None, None, None, 5)], UPDATES)
+    change = fnd.update_findings(stored, updates, at(5))
+    assert rows_of(change.audit, "old_value", "new_value") == [("fixed", "open"), ("open", "fixed")]
+    assert rows_of(change.findings, "status", F.dayofmonth("fixed_at")) == [("open", 5)]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 60, 100_000])
+def test_replay_against_one_update_at_a_time(spark, empty, batch, chunk):
+    """A hot finding, ties, empty and null fields, unknown findings; chunks change nothing."""
+    draw = random.Random(8)
+    stored = fnd.merge_findings(empty, batch(*[(f"f{i}.py", i, "R") for i in range(6)]), at(1)).findings
+    ids = [r.id for r in stored.orderBy("line_number").collect()]
+    rows = [(draw.choice([ids[0]] * 4 + ids + ["unknown"]), draw.choice([None, "", *fnd.STATUSES]),
+             draw.choice([None, "", "note"]), draw.choice([None, "", "sha"]), draw.choice([None, "", "fix"]), n)
+            for n in draw.sample(range(10_000), 400)]
+    updates = spark.createDataFrame(rows, UPDATES).repartition(3)
+    state = {r.id: {"status": r.status, "notes": r.notes, "fix_commit_sha": None, "suggested_fix": r.suggested_fix}
+             for r in stored.collect()}
+    log = []
+    for key, status, notes, sha, fix, _ in sorted(rows, key=lambda r: r[5]):
+        if key not in state:
+            continue
+        if status and status != state[key]["status"]:
+            log.append((key, "status_changed", state[key]["status"], status))
+            state[key]["status"] = status
+        if notes is not None:
+            log.append((key, "note_added", None, notes))
+            state[key]["notes"] = notes
+        if sha:
+            state[key]["fix_commit_sha"] = sha
+        if fix:
+            log.append((key, "fix_suggested", None, fix))
+            state[key]["suggested_fix"] = fix
+    replay = replayed(stored, updates, chunk=chunk)
+    moves = [(r.finding_id, "status_changed", r.old_status, r.status) for r in replay.filter("moved").orderBy("ord").collect()]
+    assert moves == [x for x in log if x[1] == "status_changed"]
+    change = fnd.update_findings(stored, updates, at(5))
+    audit = change.audit.select("finding_id", "action", "old_value", "new_value").collect()
+    assert sorted(map(tuple, audit), key=repr) == sorted(log, key=repr)
+    assert {r.id: {k: r[k] for k in state[r.id]} for r in change.findings.collect()} == state
+
+
+def test_no_updates(spark, empty, batch):
+    stored = fnd.merge_findings(empty, batch(("a.py", 1, "R")), at(1)).findings
+    change = fnd.update_findings(stored, spark.createDataFrame([], UPDATES), at(5))
+    assert change.audit.count() == 0 and rows_of(change.findings, "status") == [("open",)]
+    assert fnd.update_findings(empty, spark.createDataFrame([("x", "fixed", None, None, None, 1)], UPDATES), at(5)).audit.count() == 0
+
+
 def test_delete(spark, empty, batch):
     change = fnd.merge_findings(empty, batch(("a.py", 1, "R"), ("a.py", 2, "R")), at(1))
     gone = change.findings.filter("line_number = 1").select("id")

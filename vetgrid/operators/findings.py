@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetgrid.functions.text import category_label, fingerprint, severity_rank
+from vetgrid.operators.replay import FIELDS, final_values, replayed
 from vetgrid.rules.catalog import CATEGORIES, SEVERITIES
+from vetgrid.session import stage_table
 
 FINDING_COLUMNS = (
     "id", "scan_id", "file_path", "line_number", "rule_id", "fingerprint", "category_type",
@@ -25,7 +27,6 @@ FINDING_COLUMNS = (
 STATUSES = ("open", "in_progress", "fixed", "accepted", "false_positive")
 _REFRESHED = ("open", "in_progress")
 _COMPACT_DROPS = ("description", "code_snippet", "suggested_fix", "notes")
-_AUDIT_TEXT = 200
 
 
 @dataclass(frozen=True)
@@ -41,11 +42,11 @@ def _null(kind: str) -> Column:
 
 
 def audit_rows(
-    rows: DataFrame, finding_id: Column, action: Column, old: Column, new: Column, at: Column
+    rows: DataFrame, finding_id: Column, action: Column, old: Column, new: Column, at: Column, *place: Column
 ) -> DataFrame:
-    """Audit entries with an id derived from their content."""
+    """Audit entries with an id derived from their content and, where given, their place in a batch."""
     parts = [finding_id, action, F.coalesce(old, F.lit("")), F.coalesce(new, F.lit("")),
-             at.cast("string")]
+             at.cast("string"), *[p.cast("string") for p in place]]
     return rows.select(
         F.sha2(F.concat_ws("|", *parts), 256).alias("id"),
         finding_id.alias("finding_id"),
@@ -172,68 +173,44 @@ def scan_counts(flagged: DataFrame) -> DataFrame:
 # -- triage updates ---------------------------------------------------------------------
 
 
-def one_update_per_finding(updates: DataFrame) -> DataFrame:
-    """The last non-NULL value of each field of a batch of updates, by ``ord``."""
-    fields = ("status", "notes", "fix_commit_sha", "suggested_fix")
-    return updates.groupBy("finding_id").agg(*[
-        F.max_by(name, F.when(F.col(name).isNotNull(), F.struct("ord", name))).alias(name)
-        for name in fields
-    ])
-
-
 def valid_updates(updates: DataFrame) -> DataFrame:
-    return updates.filter(F.col("status").isNull() | F.col("status").isin(*STATUSES))
+    """Updates that set no status (null or empty) or a known one."""
+    return updates.filter(F.coalesce(F.col("status").isin("", *STATUSES), F.lit(True)))
 
 
 def rejected_updates(updates: DataFrame) -> DataFrame:
-    return updates.filter(F.col("status").isNotNull() & ~F.col("status").isin(*STATUSES))
+    return updates.filter(~F.col("status").isin("", *STATUSES))
 
 
-def update_findings(stored: DataFrame, updates: DataFrame, now: Column) -> Change:
-    """Apply triage updates: status, notes, fix commit, fix text, with an audit row for each.
+def update_findings(stored: DataFrame, updates: DataFrame, now: Column, *, audit_text: int | None = None) -> Change:
+    """Apply triage updates in their order: status, notes, fix commit, fix text, each with its audit rows.
 
-    A batch moves a finding once: of several updates the last value of each field counts.
-    Turning to ``fixed`` sets ``fixed_at``. Updates with an unknown status are left out; see
-    ``rejected_updates``.
+    Every update sees the state that the ones before it left, so a finding that turns to ``fixed``
+    and back to ``open`` in one batch has two audit rows. Turning to ``fixed`` sets ``fixed_at``.
+    Updates with an unknown status are left out; see ``rejected_updates``. ``audit_text`` cuts notes
+    and fix texts in the log. The replay is staged, both results read it.
     """
-    last = one_update_per_finding(valid_updates(updates)).alias("u")
-    joined = stored.alias("s").join(last, F.col("s.id") == F.col("u.finding_id"), "left")
-    s, u = (lambda n: F.col(f"s.{n}")), (lambda n: F.col(f"u.{n}"))
-    hit = u("finding_id").isNotNull()
-    moved = hit & (u("status") != "") & (u("status") != s("status"))
-
-    def filled(name: str) -> Column:
-        return u(name).isNotNull() & (u(name) != "")
-
-    new_values = {
-        "status": F.when(moved, u("status")).otherwise(s("status")),
-        "fixed_at": F.when(moved & (u("status") == "fixed"), now).otherwise(s("fixed_at")),
-        "notes": F.coalesce(u("notes"), s("notes")),
-        "fix_commit_sha": F.when(filled("fix_commit_sha"), u("fix_commit_sha")).otherwise(
-            s("fix_commit_sha")),
-        "suggested_fix": F.when(filled("suggested_fix"), u("suggested_fix")).otherwise(
-            s("suggested_fix")),
-        "updated_at": F.when(hit, now).otherwise(s("updated_at")),
-    }
-    findings = joined.select(*[new_values.get(c, s(c)).alias(c) for c in FINDING_COLUMNS])
+    replay = stage_table(replayed(stored, valid_updates(updates)), "updates-replayed")
+    joined = stored.alias("s").join(
+        final_values(replay, now).alias("u"), F.col("s.id") == F.col("u.finding_id"), "left")
+    new_values = {name: F.coalesce(F.col(f"u.{name}"), F.col(f"s.{name}")) for name in (*FIELDS, "fixed_at")}
+    new_values["updated_at"] = F.when(F.col("u.finding_id").isNotNull(), now).otherwise(F.col("s.updated_at"))
+    findings = joined.select(*[new_values.get(c, F.col(f"s.{c}")).alias(c) for c in FINDING_COLUMNS])
 
     def entry(test: Column, action: str, old: Column, new: Column) -> Column:
-        return F.when(test, F.struct(F.lit(action).alias("action"), old.alias("old"),
-                                     new.alias("new")))
+        return F.when(test, F.struct(F.lit(action).alias("action"), old.alias("old"), new.alias("new")))
+
+    def logged(name: str) -> Column:
+        return F.col(name) if audit_text is None else F.substring(name, 1, audit_text)
 
     entries = F.array_compact(F.array(
-        entry(moved, "status_changed", s("status"), u("status")),
-        entry(hit & u("notes").isNotNull(), "note_added", _null("string"),
-              F.substring(u("notes"), 1, _AUDIT_TEXT)),
-        entry(hit & filled("suggested_fix"), "fix_suggested", _null("string"),
-              F.substring(u("suggested_fix"), 1, _AUDIT_TEXT)),
+        entry(F.col("moved"), "status_changed", F.col("old_status"), F.col("status")),
+        entry(F.col("notes").isNotNull(), "note_added", _null("string"), logged("notes")),
+        entry(F.col("suggested_fix").isNotNull(), "fix_suggested", _null("string"), logged("suggested_fix")),
     ))
-    # Only the updated findings matter for the log.
-    touched = stored.select("id", "status").alias("s").join(
-        last, F.col("s.id") == F.col("u.finding_id")
-    ).select(s("id").alias("finding_id"), F.explode(entries).alias("e"))
-    audit = audit_rows(touched, F.col("finding_id"), F.col("e.action"), F.col("e.old"),
-                       F.col("e.new"), now)
+    each = replay.select("finding_id", F.col("place.ord").alias("ord"), F.col("place.tie").alias("tie"), F.explode(entries).alias("e"))
+    audit = audit_rows(each, F.col("finding_id"), F.col("e.action"), F.col("e.old"), F.col("e.new"), now,
+                       F.col("ord"), F.col("tie"))
     return Change(findings, audit)
 
 

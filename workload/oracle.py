@@ -80,12 +80,17 @@ UPDATES = f"""upd AS (SELECT l_orderkey::VARCHAR AS finding_id,
     CASE WHEN l_linenumber = 1 THEN 'sha' || l_suppkey END AS fix_commit_sha,
     CASE WHEN l_linenumber = 4 THEN 'use ' || l_suppkey END AS suggested_fix,
     l_linenumber::BIGINT * 1000000 + l_partkey AS ord FROM lineitem),
-  lastu AS (SELECT finding_id, """ + ", ".join(
-    f"last({c} ORDER BY ord, {c}) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+  each AS (SELECT u.*, f.status AS first_status, coalesce(
+      last_value(u.status IGNORE NULLS) OVER (PARTITION BY finding_id ORDER BY ord
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f.status) AS old
+    FROM upd u JOIN findings f ON f.id = u.finding_id
+    WHERE u.status IS NULL OR u.status IN {in_list(STATUSES)}),
+  lastu AS (SELECT finding_id, bool_or(coalesce(status = 'fixed' AND old <> 'fixed', false)) AS closed, """ + ", ".join(
+    f"last({c} ORDER BY ord) FILTER (WHERE {c} IS NOT NULL) AS {c}"
     for c in ("status", "notes", "fix_commit_sha", "suggested_fix")
-) + f""" FROM upd WHERE status IS NULL OR status IN {in_list(STATUSES)} GROUP BY finding_id),
+) + """ FROM each GROUP BY finding_id),
   moved AS (SELECT f.*, u.finding_id AS hit, u.status AS us, u.notes AS un, u.fix_commit_sha AS uc,
-      u.suggested_fix AS uf, coalesce(u.status <> f.status, false) AS turned
+      u.suggested_fix AS uf, coalesce(u.closed, false) AS closed
     FROM findings f LEFT JOIN lastu u ON f.id = u.finding_id)"""
 
 MANUAL = """manual AS (SELECT 'manual-' || c_custkey AS id,
@@ -481,15 +486,15 @@ ORACLE = {
     "baseline_diff": LIFE + """SELECT path AS file_path, rule_id, line_number::INTEGER AS line_number
         FROM cand WHERE fp NOT IN (SELECT id FROM stored WHERE status = 'open')""",
     "apply_updates": f"""{BULK}, {UPDATES} SELECT id,
-          CASE WHEN turned THEN us ELSE status END AS status, coalesce(un, notes) AS notes,
+          coalesce(us, status) AS status, coalesce(un, notes) AS notes,
           coalesce(uc, fix_commit_sha) AS fix_commit_sha, coalesce(uf, suggested_fix) AS suggested_fix,
           CASE WHEN hit IS NOT NULL THEN '{SECOND}' ELSE {SECONDS.format('updated_at')} END AS updated_at,
-          CASE WHEN turned AND us = 'fixed' THEN '{SECOND}' ELSE {SECONDS.format('fixed_at')} END AS fixed_at
+          CASE WHEN closed THEN '{SECOND}' ELSE {SECONDS.format('fixed_at')} END AS fixed_at
         FROM moved""",
     "update_audit": f"""{BULK}, {UPDATES}
-        SELECT id AS finding_id, 'status_changed' AS action, status AS old_value, us AS new_value FROM moved WHERE turned
-        UNION ALL SELECT id, 'note_added', NULL, un[1:200] FROM moved WHERE un IS NOT NULL
-        UNION ALL SELECT id, 'fix_suggested', NULL, uf[1:200] FROM moved WHERE uf IS NOT NULL""",
+        SELECT finding_id, 'status_changed' AS action, old AS old_value, status AS new_value FROM each WHERE status <> old
+        UNION ALL SELECT finding_id, 'note_added', NULL, notes FROM each WHERE notes IS NOT NULL
+        UNION ALL SELECT finding_id, 'fix_suggested', NULL, suggested_fix FROM each WHERE suggested_fix IS NOT NULL""",
     "rejected_updates": f"""{BULK}, {UPDATES} SELECT status, count(*) AS count FROM upd
         WHERE status NOT IN {in_list(STATUSES)} GROUP BY status""",
     "delete_findings": f"""{BULK}, {AUDIT}, gone AS (SELECT c_custkey::VARCHAR AS id FROM customer WHERE c_acctbal < 0)
