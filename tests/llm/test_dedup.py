@@ -61,6 +61,32 @@ def test_keep_one_and_empty(table, prose):
     assert jaccard.jaccard_classes(table([])).count() == 0
 
 
+def test_keep_one_with_repeated_ids_and_columns(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(words[::-1])
+    rows = [(3, text, "a"), (3, text, "a"), (3, text, "b"), (5, near, "c"), (5, other, "d"), (None, near, "e"), (None, "alone here now yes no", "f"),
+            (7, None, "g"), (7, None, "g"), (8, "", "h"), (9, " ", "i")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, copies string"))
+    assert kept.columns == ["doc_id", "text", "copies"]
+    got = sorted(map(tuple, kept.collect()), key=repr)
+    first = [r for r in got if r[0] == 3]
+    assert len(first) == 1 and first[0][1] == text
+    assert [r for r in got if r[0] != 3] == sorted(
+        [rows[4], rows[6], *rows[7:]], key=repr)
+
+
+@pytest.mark.parametrize("sizes", [(5, 9, 200), (64, 65, 63), (1, 3, 2000)])
+def test_bitmaps_bound_the_overlap(sizes):
+    draw = np.random.default_rng(2)
+    pool = draw.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = [np.unique(draw.choice(pool, n)) for n in sizes for _ in range(6)]
+    bound = jaccard.overlap_bound([jaccard.bitmap(s).tobytes() for s in sets], np.array([len(s) for s in sets]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert bound[i, j] >= len(np.intersect1d(a, b))
+    assert (np.diag(bound) == [len(s) for s in sets]).all()
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (3, 2), (90, 80)], "a long, b long")
     roots = {r["node"]: r["root"] for r in components(links).collect()}

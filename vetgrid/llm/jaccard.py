@@ -21,9 +21,11 @@ one for each size band, under a hub: the node with the smallest share of rare to
 original among its near copies. Large groups are first compared with their hub only, which is linear
 and connects nearly all nodes of a hot group. Pairs that are connected by then need no comparison.
 In every group the nodes outside the hub's component still meet each other and the rest, in blocks of
-bounded size, and are verified exactly; only links that join components come out. No link between
-different texts that could change a component is lost. Whole texts travel compressed to these
-meetings, which is a tenth of their token sets.
+bounded size: first as bitmaps of their hashed tokens, about a bit a token. Every bit that only one of
+two sets has is a token the other one lacks, which bounds their similarity from above, so a node whose
+bitmap is near to none of another component is done with that group. The few that are left meet as
+whole compressed texts and are verified exactly; only links that join components come out. No link
+between different texts that could change a component is lost.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ BATCH_REPEATS = 4  # documents of one Arrow batch that make a token worth counti
 STAR = 32  # nodes of a group that meet without being compared with the hub first
 BLOCK = 256  # nodes of a group that meet at once, with as many others
 BLOCK_TOKENS = 4_000_000  # tokens of a block, about; one longer text is a block of its own
+SLICE = 4 << 20  # bytes of text that a task works on at once
+SALTS = 16  # parts of the nodes of one component where they learn its id
 COLUMNS = 4096  # tokens of one membership matrix: 8 MB for 512 nodes
 CLASSES = ((64, 1), (512, 8), (4096, 32), (1 << 62, 128))  # sets below a size: classes of frequent tokens
 
@@ -72,23 +76,33 @@ def jaccard_classes(docs: DataFrame, *, width: int = 4, percent: int = 85, heavy
     whatever their names. A null ``doc_id`` keeps its row; it is never the least id of a component
     that holds another one. An empty table gives no rows.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    facts, roots = _linked(docs, width, percent, heavy)
+    return _with_components(facts, roots)
+
+
+def _linked(docs: DataFrame, width: int, percent: int, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_key, n_shingles, node)`` for each row, and ``(node, root)`` for the linked nodes."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"),
+                         F.xxhash64("text").alias("text_key"))
     common = frequent_tokens(source, width, heavy)
     facts = stage_table(source.mapInArrow(
         _facts(width), "doc_id long, text_key long, n_shingles long, node binary"), "jaccard-facts")
     members = stage_table(bucket_members(source, common, width, percent), "jaccard-buckets")
     texts = stage_table(_texts_of(source, facts, members), "jaccard-texts")
+    bitmaps = stage_table(texts.mapInArrow(_bitmaps(width), "node binary, bits binary"), "jaccard-bitmaps")
 
     links = stage_table(hub_links(members, texts, width, percent), "jaccard-stars")
-    rest = stage_table(between_components(members, components(links), texts, width, percent), "jaccard-links")
-    return _with_components(facts, components(links.unionByName(rest)))
+    apart = stage_table(_placed(members, components(links)), "jaccard-placed")
+    near = stage_table(near_by_bitmap(apart, bitmaps, percent), "jaccard-near")
+    rest = stage_table(between_components(near, texts, width, percent), "jaccard-links")
+    return facts, components(links.unionByName(rest))
 
 
 def frequent_tokens(source: DataFrame, width: int, heavy: int) -> Tokens:
     """The most frequent tokens and their counts, in ascending order of the token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.sliced(batches, "text", 2 * SLICE):
             sets = [token_set(t, width) for t in batch.column("text").to_pylist() if t]
             if sets:
                 tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -152,7 +166,7 @@ def bucket_members(source: DataFrame, common: Tokens, width: int, percent: int)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # 16 bytes for each set that this task has emitted
-        for batch in batches:
+        for batch in W.sliced(batches, "text", SLICE):
             sigs, nodes, shares, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = token_set(text, width) if text else ()
@@ -188,24 +202,18 @@ def bucket_members(source: DataFrame, common: Tokens, width: int, percent: int)
 
 def _facts(width: int):
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, nodes = [], [], []
+        for batch in W.sliced(batches, "text", SLICE):
+            sizes, nodes = [], []
             for text in batch.column("text").to_pylist():
                 tokens = token_set(text, width) if text else ()
                 sizes.append(len(tokens))
                 nodes.append(node_of(tokens) if len(tokens) else None)
-                keys.append(text_key(text))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), W.binaries(nodes)],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), W.binaries(nodes)],
                 ["doc_id", "text_key", "n_shingles", "node"])
     return facts
 
 
-def text_key(text: bytes | None) -> int | None:
-    return None if text is None else int.from_bytes(
-        hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-
-
 def _texts_of(source: DataFrame, facts: DataFrame, members: DataFrame) -> DataFrame:
     """``(node, packed)``: one compressed text for each node that is in a bucket."""
     wanted = facts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
@@ -214,11 +222,11 @@ def _texts_of(source: DataFrame, facts: DataFrame, members: DataFrame) -> DataFr
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
-        for batch in batches:
+        for batch in W.sliced(batches, "text", SLICE):
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([text_key(t) for t in texts], pa.int64()),
-                 W.binaries([press.compress(t) for t in texts])], ["doc_id", "text_key", "packed"])
+                [batch.column("doc_id"), batch.column("text_key"), W.binaries([press.compress(t) for t in texts])],
+                ["doc_id", "text_key", "packed"])
 
     packed = source.filter("text is not null").mapInArrow(pack, "doc_id long, text_key long, packed binary")
     match = packed["doc_id"].eqNullSafe(wanted["doc_id"]) & (packed["text_key"] == wanted["text_key"])
@@ -239,7 +247,7 @@ def hub_links(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         hub_set = np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in W.sliced(batches, "packed", SLICE // 4):
             a, b = [], []
             for hub, node, packed in W.rows([batch], "hub", "node", "packed"):
                 own = token_set(open_.decompress(packed), width)
@@ -255,37 +263,100 @@ def hub_links(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return met.select("hub", "node", "packed").mapInArrow(compare, "a binary, b binary")
 
 
-def between_components(
-    members: DataFrame, roots: DataFrame, texts: DataFrame, width: int, percent: int
-) -> DataFrame:
-    """Links ``(a, b)`` between nodes of one group that are in different components so far.
-
-    Nodes outside the hub's component (apart) are dealt into ``blocks`` blocks, the others into
-    ``rest`` further ones. A block of nodes apart meets itself and every other block once."""
-    placed = members.join(roots, "node", "left").join(
+def _bitmaps(width: int):
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in W.sliced(batches, "packed", SLICE // 4):
+            bits = [bitmap(token_set(open_.decompress(t), width)).tobytes() for t in batch.column("packed").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), W.binaries(bits)], ["node", "bits"])
+    return bitmaps
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Low bits of the tokens as places in a bitmap of about one bit a token (a power of two)."""
+    size = 1 << max(6, (len(tokens) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def overlap_bound(bitmaps: list[bytes], n: np.ndarray) -> np.ndarray:
+    """At least the sizes of the intersections of all pairs, from bitmaps folded to the smallest of them."""
+    size = min(map(len, bitmaps)) * 8
+    bits = np.empty((len(bitmaps), size), np.float32)
+    for row, packed in zip(bits, bitmaps):
+        row[:] = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(-1, size).any(axis=0)
+    both = (bits @ bits.T).astype(np.int64)
+    most = n - np.diag(both)  # tokens that share a bit with another token of their set
+    return np.minimum(most[:, None], most[None, :]) + both
+
+
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(hub, band, node, n, root, apart)``: members with their component and whether it is not the hub's."""
+    return members.join(roots, "node", "left").join(
         roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").select(
         "hub", "band", "node", "n", F.coalesce("root", "node").alias("root"),
         (F.coalesce("root", "node") != F.coalesce("hub_root", "hub")).alias("apart"))
 
+
+def _meetings(placed: DataFrame, block: int, block_tokens: int) -> DataFrame:
+    """``placed`` by meetings ``(hub, band, one, two)`` in which all pairs with a node apart meet once.
+
+    Nodes apart are dealt into ``blocks`` blocks, the others of the group into ``rest`` further ones.
+    A block of nodes apart meets itself and every other block."""
     def blocks(of):
         count, tokens = F.count(F.when(of, 1)), F.coalesce(F.sum(F.when(of, F.col("n").cast("long"))), F.lit(0))
-        return F.greatest(F.ceil(count / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+        return F.greatest(F.ceil(count / block), F.ceil(tokens / block_tokens)).cast("int")
 
-    whole = F.when((F.count("*") <= BLOCK) & (F.sum(F.col("n").cast("long")) <= BLOCK_TOKENS), 0)
+    whole = F.when((F.count("*") <= block) & (F.sum(F.col("n").cast("long")) <= block_tokens), 0)
     groups = placed.groupBy("hub", "band").agg(
         blocks(F.col("apart")).alias("blocks"), whole.otherwise(blocks(~F.col("apart"))).alias("rest")).filter("blocks > 0")
     own = F.when(F.col("apart") | (F.col("rest") == 0), F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(
         F.col("blocks") + F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
     last = F.when(F.col("apart"), F.col("blocks") + F.col("rest")).otherwise(F.col("blocks")) - 1
-    dealt = placed.join(groups, ["hub", "band"]).withColumn("own", own).withColumn(
+    return placed.join(groups, ["hub", "band"]).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), last))).select(
         F.xxhash64("hub", "band", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"),
-        "hub", "band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node", "root")
-    met = dealt.join(texts, "node").repartition("meeting").sortWithinPartitions("meeting", "hub", "band", "one", "two")
+        "hub", "band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"),
+        "node", "n", "root", "apart")
+
+
+_MEETING = ("meeting", "hub", "band", "one", "two")
+
+
+def near_by_bitmap(placed: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``placed`` whose bitmap may link with one of another component in their group."""
+    met = _meetings(placed, 2 * BLOCK, BLOCK_TOKENS).join(bitmaps, "node").repartition(
+        "meeting").sortWithinPartitions(*_MEETING)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = W.rows(batches, "hub", "band", "one", "two", "node", "n", "root", "apart", "bits")
+        for _, group in groupby(rows, lambda r: r[:4]):
+            hubs, bands, _, _, nodes, sizes, roots, apart, bits = zip(*group)
+            if len(set(roots)) == 1:
+                continue
+            n = np.array(sizes, np.int64)
+            both = overlap_bound(bits, n)
+            _, root = np.unique(np.array(roots, object), return_inverse=True)
+            near = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (root[:, None] != root[None, :])
+            keep = np.flatnonzero(near.any(axis=1))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays(
+                    [W.binaries([hubs[i] for i in keep]), pa.array([bands[i] for i in keep], pa.int32()),
+                     W.binaries([nodes[i] for i in keep]), pa.array(n[keep].astype(np.int32)),
+                     W.binaries([roots[i] for i in keep]), pa.array([apart[i] for i in keep], pa.bool_())],
+                    ["hub", "band", "node", "n", "root", "apart"])
+
+    return met.mapInArrow(bound, "hub binary, band int, node binary, n int, root binary, apart boolean").distinct()
+
+
+def between_components(near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes of one group that are in different components so far."""
+    met = _meetings(near, BLOCK, BLOCK_TOKENS).join(texts, "node").repartition("meeting").sortWithinPartitions(*_MEETING)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        rows = W.rows(batches, "hub", "band", "one", "two", "node", "root", "packed")
+        rows = W.rows(W.sliced(batches, "packed", SLICE // 4), "hub", "band", "one", "two", "node", "root", "packed")
         for _, group in groupby(rows, lambda r: r[:4]):
             nodes, roots_, sets = zip(*((r[4], r[5], token_set(open_.decompress(r[6]), width)) for r in group))
             if len(set(roots_)) == 1:
@@ -338,24 +409,45 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _with_components(facts: DataFrame, roots: DataFrame) -> DataFrame:
-    placed = facts.join(roots, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select(
+    """The rows of ``facts`` with the least id of their component.
+
+    Ids are reduced to one for each node, then for each component. Only linked nodes go back to their
+    component, in ``SALTS`` parts, so that a component of very many nodes is no single task."""
+    linked = facts.groupBy("node").agg(F.min("doc_id").alias("own")).join(roots, "node")
+    least = linked.groupBy("root").agg(F.min("own").alias("least")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    linked_least = salted.join(least, ["root", "salt"]).select("node", "least")
+    own = facts.groupBy("node").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows")).filter("rows > 1")
+    # Written, so that the join back is a plain one whose hot nodes (copies of one text) can be split.
+    by_node = stage_table(own.join(linked_least, "node", "full").select(
+        "node", F.coalesce("least", "own").alias("least")), "jaccard-components")
+    return facts.join(by_node, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the near copies: of each class of similar texts the row of the least id stays.
+    """``docs`` without the near copies: of each class of similar texts one row stays, with all its columns.
 
-    Texts without words are no copies of each other and all stay. Rows that repeat the kept row
-    with the same id and text are dropped too, one of them stays.
+    It is the one of the least ``doc_id`` (null last), of several texts under that id the one of the
+    least hash. Rows that repeat the kept row with the same id and text are dropped too, one of them
+    stays. Null, empty and blank texts are no copies of each other and all stay. Columns of any names
+    stay as they are; an empty table stays empty. Only rows that repeat are grouped with their texts.
     """
-    classes = jaccard_classes(docs, width=width, percent=percent)
-    kept = classes.filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(
-        F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"])
+    facts, roots = _linked(docs, width, percent, HEAVY)
+    texts = facts.groupBy("doc_id", "text_key", "node").agg(F.count("*").alias("copies"))
+    placed = texts.filter("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min_by(
+        F.struct("doc_id", "text_key", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("kept"))
+    blank = texts.filter("node is null").select("doc_id", "text_key", F.lit(1).cast("long").alias("copies"))
+    kept = stage_table(least.select("kept.*").unionByName(blank), "jaccard-kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), "copies")
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = row.join(kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id"))
+                      & (F.xxhash64(F.col("row.text").cast("binary")) == F.col("kept_key")))
+    once = joined.filter("copies = 1").select("row.*")
+    more = joined.filter("copies > 1").dropDuplicates(["kept_id", "kept_key"]).select("row.*")
+    return once.unionByName(more)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

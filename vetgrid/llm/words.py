@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 16  # bytes hashed at once; a longer word makes a block of its own
 
@@ -92,6 +93,20 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], name: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of one string or binary column, one row at least.
+
+    What a task derives from texts stays a small multiple of ``limit`` whatever the size of a batch."""
+    for batch in batches:
+        first = 0
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(total, total[first] + limit, "right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The named columns of each batch, as Python values, batch by batch in rows."""
     for batch in batches:
