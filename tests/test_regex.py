@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import fnmatch
+import random
 import re
 
 import pytest
@@ -11,13 +12,13 @@ from vetgrid.functions.regex import (
     can_cross_lines,
     fold,
     glob_match,
+    glob_regex_of,
     is_valid,
     required_literals,
     to_java,
 )
 from vetgrid.functions.text import match_lines
 from vetgrid.rules import ALL_RULES
-from vetgrid.sources.files import _glob_regex_of
 
 
 def test_literals_are_necessary():
@@ -94,9 +95,14 @@ def test_globs(spark):
 
 
 def test_globs_held_in_a_column(spark):
-    pairs = [(n, g) for n in NAMES for g in GLOBS if g not in ("[x", "[!^]*")]
+    """Any text is a glob; also those that no regex engine would take as they are."""
+    draw = random.Random(6)
+    odd = ["foo[bar", "[z-a].py", "[]", "[!]", "[]]", "[!]]", "[]-a]", "a[b-", "[[]", "[a-b-c]", "[--/]", "\\[a]", "[\\]", "(", "a{2}", "[^a]", "[&&]", ""]
+    globs = GLOBS + odd + ["".join(draw.choice("ab-]![*?\\^&.") for _ in range(draw.randrange(1, 9))) for _ in range(300)]
+    names = NAMES + ["foo[bar", "foobar", "a", "b", "-", "]", "!", "ab-", "\\", "^", "&", "aa", "", "\U0001f600.py"]
+    pairs = [(n, g) for n in names for g in dict.fromkeys(globs)]
     rows = spark.createDataFrame(pairs, "n STRING, g STRING")
-    got = rows.filter(F.rlike("n", _glob_regex_of(F.col("g")))).collect()
+    got = rows.filter(F.rlike("n", glob_regex_of(F.col("g")))).collect()
     assert {tuple(r) for r in got} == {p for p in pairs if fnmatch.fnmatchcase(*p)}
 
 

@@ -108,6 +108,59 @@ def glob_regex(glob: str) -> str:
     return "^(?s:" + "".join(out) + ")$(?!\\n)"
 
 
+def glob_regex_of(glob: Column) -> Column:
+    """A shell glob that is held in a column, as a Java regex over the whole string.
+
+    A fold over the characters: outside a set each becomes its regex; inside one they are collected twice,
+    as members and as plain text, because only the end tells whether the set was ever closed. Every text
+    is a glob: an unclosed bracket stands for itself, a range that runs backwards holds nothing.
+    """
+    def quoted(c: Column) -> Column:
+        return (F.when(c == "*", ".*").when(c == "?", ".")
+                .otherwise(F.regexp_replace(c, r"([^\w/ -])", r"\\$1")))
+
+    def state(out: Column, members: Column, plain: Column) -> Column:
+        return F.struct(out.alias("out"), members.alias("members"), plain.alias("plain"))
+
+    none = F.lit(None).cast("string")
+
+    def step(so_far: Column, c: Column) -> Column:
+        out, members, plain = so_far["out"], so_far["members"], so_far["plain"]
+        closes = (c == "]") & ~members.isin("", "!")
+        return (
+            F.when(members.isNull() & (c == "["), state(out, F.lit(""), F.lit("")))
+            .when(members.isNull(), state(F.concat(out, quoted(c)), none, F.lit("")))
+            .when(closes, state(F.concat(out, _set_regex(members)), none, F.lit("")))
+            .otherwise(state(out, F.concat(members, c), F.concat(plain, quoted(c))))
+        )
+
+    def end(last: Column) -> Column:
+        open_ = F.concat(last["out"], F.lit("\\["), last["plain"])
+        return F.concat(F.lit("^(?s:"), F.when(last["members"].isNull(), last["out"]).otherwise(open_), F.lit(")$(?!\\n)"))
+
+    characters = F.regexp_extract_all(glob, F.lit("(?s)."), F.lit(0))
+    return F.aggregate(characters, state(F.lit(""), none, F.lit("")), step, end)
+
+
+def _set_regex(members: Column) -> Column:
+    """What stands between brackets, ``!`` first for the complement, as a Java character class."""
+    negated = F.startswith(members, F.lit("!"))
+    listed = F.when(negated, F.substring(members, 2, 1 << 30)).otherwise(members)
+
+    def escaped(c: Column) -> Column:
+        return F.regexp_replace(c, r"([\\\[\]&^-])", r"\\$1")
+
+    def member(m: Column) -> Column:
+        first, last = F.substring(m, 1, 1), F.substring(m, 3, 1)
+        span = F.concat(escaped(first), F.lit("-"), escaped(last))
+        return F.when(F.length(m) == 1, escaped(m)).when(first <= last, span).otherwise("")
+
+    parts = F.regexp_extract_all(listed, F.lit("(?s).-.|."), F.lit(0))
+    body = F.array_join(F.transform(parts, member), "")
+    return (F.when(body != "", F.concat(F.lit("["), F.when(negated, "^").otherwise(""), body, F.lit("]")))
+            .when(negated, ".").otherwise("(?!)"))
+
+
 def glob_match(column: Column, glob: str) -> Column:
     """Glob test, as a plain string predicate where the glob has a fixed head or tail."""
     if glob == "*":

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vetgrid.functions.regex import glob_match
+from vetgrid.functions.regex import glob_match, glob_regex_of
 from vetgrid.functions.text import file_name, file_suffix, lines_of, strip
 
 # Folders that are never scanned.
@@ -91,8 +91,8 @@ def drop_ignored(rows: DataFrame, ignores: DataFrame) -> DataFrame:
     rel, name = F.col("rel_path"), file_name(F.col("rel_path"))
     hit = F.exists(
         F.col("ignore_patterns"),
-        lambda p: F.rlike(rel, _glob_regex_of(p))
-        | F.rlike(name, _glob_regex_of(p))
+        lambda p: F.rlike(rel, glob_regex_of(p))
+        | F.rlike(name, glob_regex_of(p))
         | (F.endswith(p, F.lit("/"))
            & F.contains(F.concat(F.lit("/"), rel), F.concat(F.lit("/"), p))),
     )
@@ -100,14 +100,6 @@ def drop_ignored(rows: DataFrame, ignores: DataFrame) -> DataFrame:
     return joined.filter(~F.coalesce(hit, F.lit(False))).drop("ignore_patterns")
 
 
-def _glob_regex_of(pattern: Column) -> Column:
-    """Glob held in a column as a regex; ranges keep their meaning, ``[!`` negates."""
-    quoted = F.regexp_replace(pattern, r"([\\.^$|(){}+])", r"\\$1")
-    negated = F.replace(quoted, F.lit("[!"), F.lit("[^"))
-    stars = F.replace(F.replace(negated, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
-    return F.concat(F.lit("^(?s:"), stars, F.lit(")$"))
-
-
 def changed_paths(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(path, change)`` between two snapshots: added, modified or deleted.
 

@@ -9,16 +9,13 @@ from vetgrid.functions.regex import is_valid
 from vetgrid.rules.catalog import Rule
 from vetgrid.schemas import AUDIT_REPORT, CATEGORY_REFERENCE, ERRORS
 
-_REQUIRED = ("id", "owasp_category", "severity", "title", "description", "pattern")
-
-# A rule becomes literals of the scan plan, so a rule table is configuration of known size.
-MAX_CUSTOM_RULES = 2000
+REQUIRED_FIELDS = ("id", "owasp_category", "severity", "title", "description", "pattern")
 
 
 def complete_rules(records: DataFrame) -> DataFrame:
     """Rule records that hold every required field; optional fields get their defaults."""
     present = F.lit(True)
-    for name in _REQUIRED:
+    for name in REQUIRED_FIELDS:
         present = present & F.col(name).isNotNull()
     optional = {"file_glob": "*.py", "suggested_fix": "", "exclude_pattern": None}
     columns = [
@@ -26,18 +23,16 @@ def complete_rules(records: DataFrame) -> DataFrame:
         if name in records.columns else F.lit(default).cast("string").alias(name)
         for name, default in optional.items()
     ]
-    return records.filter(present).select(*_REQUIRED, *columns)
+    return records.filter(present).select(*REQUIRED_FIELDS, *columns)
 
 
 def load_rules(records: DataFrame) -> list[Rule]:
-    """Rules from a table of records, for use next to the built-in ones.
+    """Rules from a table of records, as constants of a plan next to the built-in ones.
 
-    Records that lack a field or hold a pattern that does not compile are left out. The table
-    is read once, on the driver; a table beyond ``MAX_CUSTOM_RULES`` rows is refused.
+    Records that lack a field or hold a pattern that does not compile are left out. The table is
+    read once, on the driver: this is for the tens of rules that somebody selects from or shows.
+    Tables of many or untried rules are scanned with ``vetgrid.operators.rule_index``.
     """
-    rows = complete_rules(records).limit(MAX_CUSTOM_RULES + 1).collect()
-    if len(rows) > MAX_CUSTOM_RULES:
-        raise ValueError(f"more than {MAX_CUSTOM_RULES} custom rules; split the table")
     return [
         Rule(
             id=r.id,
@@ -50,14 +45,14 @@ def load_rules(records: DataFrame) -> list[Rule]:
             suggested_fix=r.suggested_fix,
             exclude_pattern=r.exclude_pattern,
         )
-        for r in rows
+        for r in complete_rules(records).toLocalIterator()
         if is_valid(r.pattern) and is_valid(r.exclude_pattern or "")
     ]
 
 
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
     """Custom rules from JSON records."""
-    names = (*_REQUIRED, "file_glob", "suggested_fix", "exclude_pattern")
+    names = (*REQUIRED_FIELDS, "file_glob", "suggested_fix", "exclude_pattern")
     schema = ", ".join(f"{n} STRING" for n in names)
     return load_rules(spark.read.schema(schema).json(path))
 
