@@ -31,7 +31,8 @@ def test_read_tree(spark, tmp_path):
     (tmp_path / "src" / "node_modules" / "x.js").write_text("eval(x)")
     (tmp_path / "_private" / ".ci" / "deep").mkdir(parents=True)
     (tmp_path / "_private" / ".ci" / "deep" / "job.yml").write_text("é")
-    rows = {r.rel_path: r for r in read_tree(spark, str(tmp_path)).collect()}
+    assert read_tree(spark, str(tmp_path)).filter("rel_path = 'src/big.py'").count() == 1
+    rows = {r.rel_path: r for r in read_tree(spark, str(tmp_path), max_file_kb=MAX_FILE_KB).collect()}
     assert set(rows) == {"src/a.py", "src/b.bin", "src/edge.py", "src/late.py", "src/.env",
                          "src/__init__.py", "_private/.ci/deep/job.yml"}
     assert rows["src/__init__.py"].content == "" and rows["src/__init__.py"].size == 0
@@ -138,7 +139,9 @@ def test_audit_report(spark):
     found = {r.rule_id: r for r in dependency_findings(rows, scan_id="s").collect()}
     assert set(found) == {"pip-audit-V-1", "pip-audit-V-2"}
     assert found["pip-audit-V-1"].suggested_fix == "Upgrade a to 2, 3"
-    assert len(found["pip-audit-V-1"].description) == 500
+    assert len(found["pip-audit-V-1"].description) == 600
+    cut = dependency_findings(rows, scan_id="s", description_chars=500).filter("rule_id = 'pip-audit-V-1'").first()
+    assert len(cut.description) == 500
     assert found["pip-audit-V-2"].description == "V-2"
     assert found["pip-audit-V-2"].suggested_fix == "Upgrade a to No fix available"
     assert tuple(vulnerability_counts(rows).first()) == ("p/requirements.txt", 2, 1)

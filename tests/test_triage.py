@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vetgrid.functions.text import percent, slug
@@ -49,7 +51,9 @@ def test_context(make_files, spark):
     got = {r.path: r.context for r in triage.with_context(files.select("path"), contexts).collect()}
     assert got["p/a/b/c/x.py"] == "inner" and got["p/a/y.py"] == "root"
     assert got["q/z.py"] is None and got["r/x.py"] is None
-    assert got["s/.owasp-context.md"].startswith("y" * 20000 + "\n\n[")
+    assert got["s/.owasp-context.md"] == "y" * 20001
+    cut = triage.project_contexts(files, max_chars=20_000).filter("folder = 's'").first().context
+    assert cut.startswith("y" * 20000 + "\n\n[")
 
 
 def test_requests(make_files, spark):
@@ -64,10 +68,47 @@ def test_requests(make_files, spark):
     prompts = {r.finding_id: r.prompt for r in triage.triage_requests(withctx, "notes_text").collect()}
     assert "Finding ID: 1\n" in prompts["1"] and "our notes\n\nTriage" in prompts["1"] and "File: p/a.py:15" in prompts["1"]
     types = spark.createDataFrame([("p", "nextjs")], "project STRING, project_type STRING")
-    reviews = {r.path: r for r in triage.review_requests(files, types).collect()}
+    rows = triage.review_requests(files, types).collect()
+    reviews = {r.path: r for r in rows}
     assert set(reviews) == {"p/a.py", "p/app/page.tsx", "p/big.py"}
     assert reviews["p/app/page.tsx"].role == "page" and "Type: Page\n" in reviews["p/app/page.tsx"].prompt
-    assert reviews["p/big.py"].prompt.endswith("... [text cut for review]\n```")
+    big = [r.prompt for r in rows if r.path == "p/big.py"]
+    assert len(big) == 3 and "Part: 1 of 3, lines 1 to 1\n" in big[0]
+    assert sum(p.count("z") for p in big) == 150001
+    assert "Part" not in reviews["p/a.py"].prompt
+
+
+@pytest.mark.parametrize("size", [2, 7, 40, 10_000])
+def test_windows_cover_the_text(spark, make_files, size):
+    draw = random.Random(size)
+    texts = {"e/x": "", "f/x": "\n", "g/x": "\n" * 50, "h/x": "z" * 100, "i/x": "é\n\U0001f600\n" * 30}
+    texts |= {f"r{i}/x": "".join(draw.choice("ab\n") for _ in range(draw.randrange(200))) for i in range(20)}
+    texts |= {f"l{i}/x": "\n".join("w" * draw.randrange(30) for _ in range(20)) for i in range(20)}
+    rows = triage.review_windows(make_files(texts), window=size).orderBy("path", "part").collect()
+    for path, text in texts.items():
+        own = [r for r in rows if r.path == path]
+        assert [r.part for r in own] == list(range(len(own))) and {r.parts for r in own} == {len(own)}
+        assert "".join(r.window_text for r in own) == text
+        at = 0
+        for r in own:
+            assert len(r.window_text) <= size
+            assert r.first_line == text[:at].count("\n") + 1
+            at += len(r.window_text)
+            assert r.last_line == r.first_line + r.window_text.rstrip("\n").count("\n") + max(
+                0, len(r.window_text) - len(r.window_text.rstrip("\n")) - 1)
+    if size >= 40:  # lines shorter than half a window are never cut
+        assert all(r.window_text.endswith("\n") or r.part == r.parts - 1 for r in rows if r.path[0] == "r")
+
+
+def test_reviews_of_windows(spark, make_files):
+    files = make_files({"p/a.py": "\n".join(f"line {n}" for n in range(1, 101))})
+    windows = triage.review_windows(files, window=200)
+    third = windows.filter("part = 2").first()
+    item = lambda n: json.dumps({"findings": [{"title": "t", "line_number": n}]})
+    rows = [("p/a.py", 2, item(3)), ("p/a.py", 2, item(999)), ("p/a.py", 2, item(0)), ("p/a.py", 0, item(1)), ("p/a.py", 77, item(1))]
+    reviews = triage.parse_reviews(spark.createDataFrame(rows, "path STRING, part INT, json STRING"))
+    lines = [r.line_number for r in triage.place_reviews(reviews, windows).collect()]
+    assert sorted(lines, key=str) == [1, third.first_line + 2, None, None]
 
 
 def test_usage(spark):

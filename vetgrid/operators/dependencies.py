@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from vetgrid.functions.text import fingerprint
 
-_DESCRIPTION = 500
 
-
-def dependency_findings(vulnerabilities: DataFrame, *, scan_id: str) -> DataFrame:
+def dependency_findings(
+    vulnerabilities: DataFrame, *, scan_id: str, description_chars: int | None = None
+) -> DataFrame:
     """Vulnerability rows (with ``source_path``) as finding candidates of category A03.
 
     ``ord`` orders the copies of one vulnerability id in one source, which share a fingerprint.
+    ``description_chars`` cuts the descriptions, which are whole otherwise.
     """
+    told = F.col("description")
     rule = F.concat(F.lit("pip-audit-"), F.col("vuln_id"))
     none = F.lit(None)
     fixes = F.when(F.size("fix_versions") > 0, F.array_join("fix_versions", ", ")).otherwise(
@@ -28,7 +30,7 @@ def dependency_findings(vulnerabilities: DataFrame, *, scan_id: str) -> DataFram
         F.lit("A03").alias("owasp_category"),
         F.lit("high").alias("severity"),
         F.format_string("%s %s: %s", "package", "installed_version", "vuln_id").alias("title"),
-        F.substring("description", 1, _DESCRIPTION).alias("description"),
+        (told if description_chars is None else F.substring(told, 1, description_chars)).alias("description"),
         none.cast("string").alias("code_snippet"),
         F.concat(F.lit("Upgrade "), F.col("package"), F.lit(" to "), fixes).alias("suggested_fix"),
         none.cast("double").alias("confidence"),

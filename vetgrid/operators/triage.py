@@ -27,11 +27,10 @@ from vetgrid.operators.projects import (
 )
 from vetgrid.schemas import REVIEW_RESPONSE, TRIAGE_RESPONSE
 
-# The context file's name and size cap, the length of text sent for review, and
-# the confidence above which a false positive is believed.
+# The context file's name, the length of text a reviewer takes at once, and the
+# confidence above which a false positive is believed.
 CONTEXT_FILE = ".owasp-context.md"
-CONTEXT_MAX_BYTES = 20_000
-REVIEW_MAX_CHARS = 150_000
+REVIEW_CHARS = 150_000
 CONFIDENT = 0.8
 
 _CONTEXT_LINES = (9, 10)
@@ -45,12 +44,15 @@ _CONTEXT_NOTE = (
 # -- project context ----------------------------------------------------------------------
 
 
-def project_contexts(files: DataFrame) -> DataFrame:
-    """``(folder, context)`` for each folder with a context file that is not blank."""
+def project_contexts(files: DataFrame, *, max_chars: int | None = None) -> DataFrame:
+    """``(folder, context)`` for each folder with a context file that is not blank.
+
+    Notes are whole, unless ``max_chars`` cuts longer ones with a remark.
+    """
     text = F.col("content")
-    cut = F.when(
-        F.octet_length(text) > CONTEXT_MAX_BYTES,
-        F.concat(F.substring(text, 1, CONTEXT_MAX_BYTES), F.lit("\n\n[context cut at the size cap]")),
+    cut = text if max_chars is None else F.when(
+        F.length(text) > max_chars,
+        F.concat(F.substring(text, 1, max_chars), F.lit("\n\n[context cut at the size cap]")),
     ).otherwise(text)
     name = "/" + CONTEXT_FILE
     return files.filter(
@@ -102,18 +104,20 @@ def _context_block(context: Column) -> Column:
 def findings_in_context(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings with ``context``: the lines from 9 above to 10 below in the present file.
 
-    A finding whose file is gone keeps its stored snippet. Only files with findings are joined.
+    A finding whose file is gone keeps its stored snippet. The wanted lines go to the file, at most one
+    of each, and are cut there; what comes back to the findings are snippets. So a text meets its file's
+    lines once, however many findings name them, and files that are bucketed by path are not moved.
     """
-    wanted = findings.select(F.col("file_path").alias("path"))
-    texts = files.select("path", "content").join(wanted, "path", "left_semi")
-    joined = findings.join(
-        texts.withColumnRenamed("path", "file_path"), "file_path", "left")
-    window = snippet(lines_of(F.col("content")), F.coalesce("line_number", F.lit(1)), *_CONTEXT_LINES)
-    return joined.withColumn(
-        "context",
-        F.when(F.col("content").isNotNull(), window)
-        .otherwise(F.coalesce("code_snippet", F.lit(""))),
-    ).drop("content")
+    place = [F.col("file_path").alias("path"), F.coalesce("line_number", F.lit(1)).alias("at")]
+    lines = findings.select(*place).distinct().groupBy("path").agg(F.collect_set("at").alias("wanted"))
+    cut = files.select("path", "content").join(lines, "path").filter("content is not null").select(
+        "path", lines_of(F.col("content")).alias("lines"), F.explode("wanted").alias("at")).select(
+        F.col("path").alias("cut_path"), F.col("at").alias("cut_at"),
+        snippet(F.col("lines"), F.col("at"), *_CONTEXT_LINES).alias("window"))
+    joined = findings.join(cut, (F.col("file_path") == F.col("cut_path"))
+                           & (F.coalesce("line_number", F.lit(1)) == F.col("cut_at")), "left")
+    return joined.withColumn("context", F.coalesce("window", "code_snippet", F.lit(""))).drop(
+        "cut_path", "cut_at", "window")
 
 
 def triage_requests(findings: DataFrame, project_context: str | None = None) -> DataFrame:
@@ -183,12 +187,13 @@ def verdicts_as_updates(verdicts: DataFrame) -> DataFrame:
 
 
 def review_requests(
-    files: DataFrame, project_types: DataFrame, project_context: str | None = None
+    files: DataFrame, project_types: DataFrame, project_context: str | None = None, *,
+    window: int = REVIEW_CHARS,
 ) -> DataFrame:
-    """``(path, role, prompt)`` for the files a reviewer reads.
+    """``(path, part, first_line, role, prompt)`` for the files a reviewer reads.
 
-    Only the small project table is joined to the files, on the project; texts beyond the
-    length that a reviewer takes are cut before the prompt is built.
+    Only the small project table is joined to the files, on the project. A text beyond the length that
+    a reviewer takes is read in windows (see ``review_windows``), each a prompt of its own.
     """
     typed = files.join(project_types, "project", "left")
     kept = typed.filter(reviewable(F.col("rel_path"), F.coalesce("project_type", F.lit("unknown"))))
@@ -198,29 +203,79 @@ def review_requests(
     rows = kept.withColumn("role", role)
     info = F.when(web, role_context(F.col("role"), WEB_ROLES)).otherwise(
         role_context(F.col("role"), PYTHON_ROLES))
-    cut = F.when(
-        F.length(text) > REVIEW_MAX_CHARS,
-        F.concat(F.substring(text, 1, REVIEW_MAX_CHARS), F.lit("\n\n... [text cut for review]")),
-    ).otherwise(text)
     notes = _context_block(F.col(project_context)) if project_context else F.lit("")
+    part = F.when(F.col("parts") > 1, F.format_string(
+        "Part: %d of %d, lines %d to %d\n", F.col("part") + 1, "parts", "first_line", "last_line")).otherwise("")
     prompt = F.concat(
         notes,
-        F.format_string("File: %s\nType: %s\nTrust: %s\nRisk: %s\n\n```\n%s\n```",
-                        "path", "i.label", "i.trust", "i.risk", cut),
+        F.format_string("File: %s\nType: %s\nTrust: %s\nRisk: %s\n", "path", "i.label", "i.trust", "i.risk"),
+        part, F.format_string("\n```\n%s\n```", "window_text"),
     )
-    return rows.withColumn("i", info).select("path", "role", prompt.alias("prompt"))
+    pieces = _in_windows(rows.withColumn("i", info), window)
+    return pieces.select("path", "part", "first_line", "role", prompt.alias("prompt"))
+
+
+def _in_windows(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` with a row for each window of ``content``: ``(part, parts, first_line, last_line, window_text)``.
+
+    Half a window apart, the text is cut behind the last line feed of that half, or just there if a
+    line is longer. A window has at most ``size`` characters, and every character is in one. The steps
+    are columns of their own, so that none is evaluated again for each window.
+    """
+    half = max(size // 2, 1)
+    text, count, length = F.col("content"), F.col("parts"), F.length("content")
+
+    def cut(k: Column) -> Column:
+        """Characters before window ``k``."""
+        back = F.instr(F.reverse(F.substring(text, F.lit(1) + (k - 1) * half, F.lit(half))), "\n")
+        return F.when(k == 0, 0).when(k == count, length).when(back > 0, k * half - back + 1).otherwise(k * half)
+
+    def feeds(t: Column) -> Column:
+        return F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+
+    counted = rows.withColumn("parts", F.when(length <= size, 1).otherwise(F.ceil(length / half)).cast("int"))
+    cuts = counted.withColumn("_cuts", F.transform(F.sequence(F.lit(0), count), cut))
+    pieces = cuts.withColumn("_pieces", F.transform(F.slice("_cuts", 1, count), lambda at, k: F.substring(
+        text, at + 1, F.element_at("_cuts", k + 2) - at)))
+    each = pieces.withColumn("_feeds", F.transform("_pieces", feeds)).select(
+        "*", F.posexplode("_pieces").alias("part", "window_text"))
+    first = F.aggregate(F.slice("_feeds", 1, F.col("part")), F.lit(1), lambda a, n: a + n)
+    ended = F.endswith("window_text", F.lit("\n")).cast("int")
+    return each.withColumn("first_line", first).withColumn(
+        "last_line", F.col("first_line") + feeds(F.col("window_text")) - ended).drop("_cuts", "_pieces", "_feeds")
+
+
+def review_windows(files: DataFrame, *, window: int = REVIEW_CHARS) -> DataFrame:
+    """``(path, part, parts, first_line, last_line, window_text)``: each text whole, in numbered windows.
+
+    No text is cut off or repeated; a null text has no window and an empty one a single empty window.
+    """
+    return _in_windows(files.filter("content is not null").select("path", "content"), window).drop("content")
+
+
+def place_reviews(reviews: DataFrame, windows: DataFrame) -> DataFrame:
+    """Reviews of windows, ``(path, part, line_number, ...)``, with line numbers of the whole file.
+
+    ``windows`` is ``(path, part, first_line, last_line)``; a line that the window does not have becomes null.
+    """
+    spans = windows.select("path", "part", "first_line", "last_line")
+    line = F.col("first_line") + F.col("line_number") - 1
+    placed = reviews.join(spans, ["path", "part"])
+    return placed.withColumn("line_number", F.when(
+        (F.col("line_number") >= 1) & (line <= F.col("last_line")), line).cast("int")).drop("part", "first_line", "last_line")
 
 
 def parse_reviews(responses: DataFrame) -> DataFrame:
     """Findings from ``(path, json)`` answers, with defaults for what an item leaves out."""
     items = F.from_json("json", REVIEW_RESPONSE)["findings"]
-    rows = responses.select("path", F.explode(items).alias("i"))
+    part = ["part"] if "part" in responses.columns else []
+    rows = responses.select("path", *part, F.explode(items).alias("i"))
 
     def field(name: str, default: str) -> Column:
         return F.coalesce(F.col(f"i.{name}"), F.lit(default)).alias(name)
 
     named = rows.select(
-        "path", field("owasp_category", "A10"), field("severity", "medium"),
+        "path", *part, field("owasp_category", "A10"), field("severity", "medium"),
         field("title", "Unknown"), field("description", ""),
         F.col("i.line_number").alias("line_number"), field("suggested_fix", ""),
         F.coalesce("i.confidence", F.lit(0.5)).alias("confidence"),

@@ -24,6 +24,15 @@ def builder(app_name: str = "vetgrid") -> SparkSession.Builder:
     return chosen
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows at once between the JVM and Python, where rows hold whole texts.
+
+    Ten thousand long texts in one batch cost an executor several times their size, on both sides.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -23,7 +23,7 @@ CODE_EXTENSIONS = (
     ".yml", ".yaml", ".toml", ".cfg", ".ini", ".env", ".json",
 )
 
-# Size cap and the name of the per-project ignore file.
+# The usual size cap and the name of the per-project ignore file.
 MAX_FILE_KB = 500
 IGNORE_FILE = ".owaspignore"
 
@@ -60,13 +60,17 @@ def eligible_files(
     *,
     all_text: bool = True,
     exclude: Iterable[str] = (),
-    max_file_kb: int = MAX_FILE_KB,
+    max_file_kb: int | None = None,
 ) -> DataFrame:
-    """Files worth scanning. ``all_text`` is for rule sets that hold a rule with glob ``*``."""
+    """Files worth scanning. ``all_text`` is for rule sets that hold a rule with glob ``*``.
+
+    Files of any size are, unless ``max_file_kb`` (``MAX_FILE_KB`` is usual) leaves out larger ones.
+    """
     rel = F.col("rel_path")
     kind = ~is_binary(F.col("content")) if all_text else file_suffix(rel).isin(*CODE_EXTENSIONS)
+    small = F.lit(True) if max_file_kb is None else F.col("size") <= max_file_kb * 1024
     return files.filter(
-        (F.col("size") <= max_file_kb * 1024)
+        small
         & ~in_skipped_folder(rel)
         & ~is_excluded(rel, exclude)
         & kind

@@ -12,12 +12,12 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetgrid.functions.text import utf8
 from vetgrid.session import stage_table
-from vetgrid.sources.files import MAX_FILE_KB, is_binary
+from vetgrid.sources.files import is_binary
 
 # Folders that neither the scan nor the search for server imports looks into.
 PRUNED_FOLDERS = ("__pycache__", ".venv", "venv", "node_modules", ".git", ".tox", ".mypy_cache")
@@ -27,8 +27,8 @@ _BATCH_BYTES = 16 << 20
 _TASK_BYTES = 128 << 20
 
 
-def read_tree(spark: SparkSession, root: str, *, max_file_kb: int = MAX_FILE_KB) -> DataFrame:
-    """All files below ``root`` up to the size cap: ``(path, rel_path, content, size, is_binary)``.
+def read_tree(spark: SparkSession, root: str, *, max_file_kb: int | None = None) -> DataFrame:
+    """All files below ``root``, or those up to a size: ``(path, rel_path, content, size, is_binary)``.
 
     ``root`` is a folder that every executor sees. For other storage, where ``root`` has a
     scheme, Spark's binary source is used; it does not see names that start with ``_`` or ``.``
@@ -51,17 +51,21 @@ def read_tree(spark: SparkSession, root: str, *, max_file_kb: int = MAX_FILE_KB)
     )
 
 
-def _read_objects(spark: SparkSession, root: str, max_file_kb: int) -> DataFrame:
+def _read_objects(spark: SparkSession, root: str, max_file_kb: int | None) -> DataFrame:
     # A filter on the length reaches the source, which then opens no larger file.
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .filter(F.col("length") <= max_file_kb * 1024)
+        .filter(_within(F.col("length"), max_file_kb))
         .select("path", "content", F.col("length").alias("size"))
     )
 
 
-def _read_mounted(spark: SparkSession, root: str, max_file_kb: int) -> DataFrame:
-    chosen = list_tree(spark, root).filter(F.col("size") <= max_file_kb * 1024)
+def _within(size: Column, max_file_kb: int | None) -> Column:
+    return F.lit(True) if max_file_kb is None else size <= max_file_kb * 1024
+
+
+def _read_mounted(spark: SparkSession, root: str, max_file_kb: int | None) -> DataFrame:
+    chosen = list_tree(spark, root).filter(_within(F.col("size"), max_file_kb))
     total = chosen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     return _spread(chosen.select("path"), total // _TASK_BYTES).mapInPandas(
         _read_files, "path STRING, content BINARY, size BIGINT")

@@ -408,9 +408,26 @@ ORACLE = {
         {SUFFIX} IN {in_list(CODE_EXTENSIONS)} AS known_extension, false AS "binary",
         size > 20480 AS over_20_kb FROM files""",
     "exclude_paths": base() + f"""SELECT path, size FROM files
-        WHERE size <= 512000 AND NOT {SKIPPED} AND NOT ({EXCLUDED})""",
+        WHERE NOT {SKIPPED} AND NOT ({EXCLUDED})""",
+    "capped_files": base() + f"""SELECT path, size FROM files WHERE size <= 4096 AND NOT {SKIPPED}""",
+    "odd_globs": base() + """, odd("glob", re) AS (VALUES ('foo[bar', '^foo\\[bar$'), ('[z-a].py', NULL), ('[]a]*', '^[\\]a].*$'),
+          ('*.[!pt]*', '^.*\\.[^pt].*$'), ('s[', '^s\\[$'), ('*[m-]*s', '^.*[m\\-].*s$'), ('a(b', '^a\\(b$'), ('?o[n-z]*', '^.o[n-z].*$'))
+        SELECT path, "glob" FROM files, odd WHERE regexp_matches(rel_path, re) OR regexp_matches(name, re)""",
     "ignore_files": base(IGNORE) + f"SELECT path FROM files f WHERE NOT {IGNORED.format('f')}",
     "changed_files": base(corpus_cte("files2", 2), CHANGES) + "SELECT path, change FROM changes",
+    "many_rules": """WITH words AS (
+          SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[a-zà-öø-ÿ]{9,}')) AS word FROM documents),
+        lines AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
+          FROM conversations),
+        tokens AS (SELECT DISTINCT conv_id, turn, n, unnest(regexp_extract_all(lower(line), '[0-9a-z_à-öø-ÿ]+')) AS word FROM lines)
+        SELECT 'W-' || word AS rule_id, count(*) AS lines, count(DISTINCT conv_id) AS conversations
+        FROM tokens JOIN words USING (word) GROUP BY word""",
+    "rejected_rules": """SELECT 'R-' || p_partkey AS id, CASE p_partkey % 6
+            WHEN 0 THEN 'pattern: missing ), unterminated subpattern at position 0'
+            WHEN 1 THEN 'pattern: bad character range z-a at position 1'
+            WHEN 2 THEN 'missing: title' WHEN 3 THEN 'exclude_pattern: nothing to repeat at position 0' END AS reason
+        FROM part WHERE p_partkey % 6 < 4""",
     "custom_rules_raw": """WITH l AS (SELECT 'doc' || doc_id || '.txt' AS path, n, l[n] AS line FROM (
           SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n
           FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
@@ -456,14 +473,14 @@ ORACLE = {
     "directory_scan": base(hits_cte(), IGNORE) + f"""
         SELECT path AS file_path, {adjusted(surface='surface')} AS severity, count(*) AS count
         FROM hits JOIN ({SURFACE}) USING (project) JOIN (SELECT path, name, size FROM files) USING (path)
-        WHERE NOT off AND size <= 512000 AND NOT {SKIPPED} AND NOT contains('/' || rel_path, '/docs/')
+        WHERE NOT off AND NOT {SKIPPED} AND NOT contains('/' || rel_path, '/docs/')
           AND NOT {IGNORED.format('hits')} GROUP BY ALL""",
     "incremental_scan": HITS2.rstrip() + ",\n" + CHANGES + ",\n" + IGNORE.replace("FROM files ", "FROM files2 ") + f"""
         SELECT path AS file_path, rule_id, line_number::INTEGER AS line_number,
           {adjusted(surface='surface')} AS severity
         FROM hits2 JOIN ({SURFACE.replace('FROM files', 'FROM files2')}) USING (project)
         JOIN (SELECT path, size FROM files2) USING (path) JOIN changes USING (path)
-        WHERE change <> 'deleted' AND NOT off AND size <= 512000 AND NOT {SKIPPED}
+        WHERE change <> 'deleted' AND NOT off AND NOT {SKIPPED}
           AND NOT {IGNORED.format('hits2')}""",
     "upsert_findings": LIFE + f"""SELECT coalesce(s.id, c.fp) AS id,
           CASE WHEN c.fp IS NULL THEN 'scan-1' WHEN s.id IS NULL OR s.status IN ('open', 'in_progress')
@@ -639,6 +656,16 @@ ORACLE = {
           FROM files JOIN types USING (project)
           WHERE {SUFFIX} = '.py' OR (project_type IN ('nextjs', 'react') AND {SUFFIX} IN ('.ts', '.tsx', '.js', '.jsx'))) f
         JOIN {ROLE_TEXT} ON t.kind = f.k AND t.role = f.role""",
+    "review_windows": base() + """, counted AS (SELECT path, content, length(content) AS size,
+          CASE WHEN length(content) <= 1000 THEN 1 ELSE ceil(length(content) / 500.0)::INTEGER END AS parts FROM files),
+        cut AS (SELECT *, list_transform(range(0, parts + 1), lambda k: CASE WHEN k = 0 THEN 0 WHEN k = parts THEN size ELSE
+            k * 500 - coalesce(nullif(strpos(reverse(substr(content, (k - 1) * 500 + 1, 500)), chr(10)), 0), 1) + 1 END) AS cuts
+          FROM counted),
+        piece AS (SELECT path, parts, k AS part, substr(content, cuts[k + 1] + 1, cuts[k + 2] - cuts[k + 1]) AS t,
+            substr(content, 1, cuts[k + 1]) AS before FROM cut, unnest(range(0, parts)) AS u(k))
+        SELECT path, part::INTEGER AS part, parts, (1 + len(before) - len(replace(before, chr(10), '')))::INTEGER AS first_line,
+          (1 + len(before) - len(replace(before, chr(10), '')) + len(t) - len(replace(t, chr(10), ''))
+           - ends_with(t, chr(10))::INTEGER)::INTEGER AS last_line, sha256(t) AS window_hash FROM piece""",
     "context_anchors": base() + f"""SELECT DISTINCT {FOLDER} AS folder, project AS anchor FROM files
         WHERE project IN (SELECT project FROM files WHERE rel_path = '.owasp-context.md')""",
     "files_with_context": base() + """SELECT f.path, sha256(CASE WHEN strlen(c.content) > 20000

@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetgrid.functions import text as T
+from vetgrid.functions.regex import glob_regex_of
 from vetgrid.operators import aggregates as agg
-from vetgrid.operators import boundary, config_checks, dependencies, projects, structure, triage
+from vetgrid.operators import boundary, config_checks, dependencies, projects, rule_index, structure, triage
 from vetgrid.operators import findings as fnd
+from vetgrid.operators.rule_index import scan_with_rules
 from vetgrid.operators.scan import scan_text, to_findings
 from vetgrid.plans import reports, scans
 from vetgrid.rules import ALL_RULES, Rule, rules_dataframe, select_rules
@@ -114,6 +116,24 @@ def exclude_paths(spark, sf):
     return kept.select("path", "size")
 
 
+@query
+def capped_files(spark, sf):
+    return src.eligible_files(corpus.files(spark, sf), max_file_kb=4).select("path", "size")
+
+
+ODD_GLOBS = ("foo[bar", "[z-a].py", "[]a]*", "*.[!pt]*", "s[", "*[m-]*s", "a(b", "?o[n-z]*")
+
+
+@query
+def odd_globs(spark, sf):
+    """Every text is a glob when globs are data, as the lines of ignore files are."""
+    rel = F.col("rel_path")
+    pairs = corpus.files(spark, sf).select(
+        "path", "rel_path", F.explode(F.array(*map(F.lit, ODD_GLOBS))).alias("glob"))
+    pattern = glob_regex_of(F.col("glob"))
+    return pairs.filter(F.rlike(rel, pattern) | F.rlike(T.file_name(rel), pattern)).select("path", "glob")
+
+
 @query
 def ignore_files(spark, sf):
     files = corpus.files(spark, sf)
@@ -139,17 +159,44 @@ CUSTOM_RULES = [
 @query
 def custom_rules_raw(spark, sf):
     names = ("id", "owasp_category", "severity", "title", "description", "pattern", "file_glob")
-    rules = records.load_rules(spark.createDataFrame(
-        CUSTOM_RULES, ", ".join(f"{n} STRING" for n in names)))
+    rules = spark.createDataFrame(CUSTOM_RULES, ", ".join(f"{n} STRING" for n in names))
     docs = spread(corpus.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     named = docs.select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.col("text").alias("content"))
-    found = scan_text(named, rules)
+    found = scan_with_rules(named, rules)
     return found.groupBy("path", "rule_id").agg(
         F.count(F.lit(1)).alias("lines"), F.min("line_number").alias("first_line"))
 
 
+@query
+def many_rules(spark, sf):
+    """A rule for each long word of ``documents``, more than ten thousand, against ``conversations``."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = corpus.table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(
+        F.translate("text", upper, upper.lower()), F.lit("([a-zà-öø-ÿ]{9,})"), 0)).alias("word")).distinct()
+    rules = words.select(
+        F.concat(F.lit("W-"), "word").alias("id"), F.lit("A09").alias("owasp_category"), F.lit("low").alias("severity"),
+        F.lit("Word").alias("title"), F.lit("A listed word").alias("description"),
+        F.concat(F.lit(r"\b"), "word", F.lit(r"\b")).alias("pattern"), F.lit("*").alias("file_glob"))
+    turns = corpus.table(spark, sf, "conversations").select(
+        "conv_id", F.concat_ws("/", "conv_id", "turn").alias("path"), F.col("text").alias("content"))
+    return scan_with_rules(turns, rules, keep=("conv_id",)).groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.countDistinct("conv_id").alias("conversations"))
+
+
+@query
+def rejected_rules(spark, sf):
+    """``part`` as rules of an organisation; four in six lack a field or do not compile."""
+    kind = F.col("p_partkey") % 6
+    rules = corpus.table(spark, sf, "part").select(
+        F.concat(F.lit("R-"), F.col("p_partkey").cast("string")).alias("id"), F.lit("A05").alias("owasp_category"),
+        F.lit("low").alias("severity"), F.when(kind != 2, F.col("p_name")).alias("title"), F.lit("d").alias("description"),
+        F.when(kind == 0, "(a").when(kind == 1, "[z-a]").otherwise("x{2}").alias("pattern"),
+        F.lit("*").alias("file_glob"), F.when(kind == 3, "*").alias("exclude_pattern"))
+    return rule_index.rejected_rules(rules)
+
+
 @query
 def chat_secrets(spark, sf):
     turns = corpus.table(spark, sf, "conversations").select(
@@ -726,6 +773,12 @@ def review_requests(spark, sf):
     return rows.select("path", "role", F.sha2("prompt", 256).alias("prompt_hash"))
 
 
+@query
+def review_windows(spark, sf):
+    rows = triage.review_windows(corpus.files(spark, sf), window=1000)
+    return rows.select("path", "part", "parts", "first_line", "last_line", F.sha2("window_text", 256).alias("window_hash"))
+
+
 @query
 def context_anchors(spark, sf):
     files = corpus.files(spark, sf)
