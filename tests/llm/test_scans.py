@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,7 +36,40 @@ def test_copies_teach_no_stem(spark, table):
     rows += [(i, f"calm text number {i}") for i in range(100, 160)]
     labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
     insults = toxicity.fit(table(rows), labels).lexicon.insults
-    assert "brum" in insults and "zwib" not in insults
+    assert "brumfel" in insults and not any(s.startswith("zwib") for s in insults)
+
+
+def test_minimal_pairs_and_innocent_words(spark):
+    """What the clause says decides, not the isolated word; kinds that no label shows keep their order."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs.select("doc_id", "text").filter(~toxicity.held_out()), labels.filter(~toxicity.held_out()))
+    matcher = toxicity.Matcher(model.lexicon)
+    score = lambda text: float(model.score(np.array([matcher.features(text)]))[0])
+    for toxic in ("You are an idiot.", "I will kill you tomorrow, you will burn.", "You pathetic loser."):
+        assert score(toxic) > 0.5
+    for calm in ("You are not an idiot.", 'He said "you are an idiot".', "I will not kill you.", "",
+                 "Das ist ein Wort aus dem Buch.", "This path leads home.", "Moroccan tea is worth a try.", "Discs of glass."):
+        assert score(calm) < 0.2, calm
+    assert score("I will kill you.") >= score("Kill it.")
+
+
+def test_fitted_weights_keep_their_order():
+    draw = np.random.default_rng(3)
+    x = np.where(draw.random((300, 7)) < 0.3, draw.random((300, 7)) * 2, 0)
+    y = (x[:, 2] + x[:, 3] - x[:, 0] + draw.normal(size=300) > 0.5).astype(float)  # negated and reported look worst
+    insult, insult_target, negated, reported, threat, threat_target, *_ = toxicity._logistic(x, y)
+    assert insult_target >= insult >= 0 and threat_target >= threat >= 0
+    assert 0 <= max(negated, reported) <= min(insult, threat) / 4 + 1e-9
+
+
+def test_rejecting_keeps_columns_of_any_name(spark):
+    model = toxicity.Model(toxicity.Lexicon({"idiot": 4.0}, {}), toxicity.PRIOR_WEIGHTS)
+    rows = [(1, "you idiot, you idiot", 77.0, 5, "a"), (2, "calm", 78.0, 6, "b"), (2, "calm", 78.0, 6, "b"), (None, None, 79.0, 7, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int, toxicscore string")
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(rows[1:], key=repr)
 
 
 def test_grammar():

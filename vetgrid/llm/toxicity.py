@@ -4,8 +4,10 @@ Words become symbols: insult, threat, target, negation, report (verbs and quotat
 reported speech), clause end, other. Three small transducers rewrite insults and threats by what
 stands around them in the clause: whether a target was named, whether a negation stands just before,
 whether the words are reported. They are composed into one table, so a clause is scored in one pass.
-What comes out are weights of matched clauses by kind; a logistic model turns them into a score, so
-how much a negated or reported insult counts is learned and not assumed.
+What comes out are weights of matched clauses by kind; a logistic model turns them into a score. Its
+weights are learned from a prior and inside an order that the grammar means: an insult to a target counts
+no less than one without, a threat likewise, and one that is negated or reported at most a quarter of
+a plain one. So kinds that the labelled rows do not show keep a sensible weight.
 
 The insult lexicon starts from a short list of plain words and learns stems and weights from
 labelled rows. At most ``SAMPLE`` labelled rows are used, in the order of a hash of their id.
@@ -27,12 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vetgrid.llm import words as W
+from vetgrid.session import stage_table
 
 SAMPLE = 20_000  # labelled rows that a model is fitted on
 SUPPORT = 3  # distinct toxic texts that a learned stem needs at least, so that copies of one teach nothing
 ODDS = 2.5  # and the log odds against clean texts
-PRIOR = 2.0  # weight of a word of the plain list that was never seen in labelled rows
+PRIOR = 4.0  # weight of a word of the plain list that was never seen in labelled rows
+STRENGTH = 2.0  # of the prior of the model's weights, in labelled rows about
+SLICE = 4 << 20  # bytes of text that a task works on at once
 FEATURES = ("insult", "insult_target", "insult_negated", "insult_reported", "threat", "threat_target", "matched")
+PRIOR_WEIGHTS = (2.5, 3.0, 0.3, 0.3, 2.5, 3.0, 0.0, -3.0)  # of the features and the constant
 
 # Plain word lists (own choice).
 INSULTS = "idiot moron imbecile scum loser pathetic worthless stupid disgusting clown trash crétin abruti dumm trottel estúpido".split()
@@ -174,7 +180,7 @@ def _counted(rows: DataFrame, wanted: set[str] | None) -> dict[str, int]:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
+        for batch in W.sliced(batches, "text", SLICE):
             for text in batch.column("text").to_pylist():
                 stems = _stems(text or "")
                 found.update(stems if wanted is None else stems & wanted)
@@ -193,17 +199,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.join(F.broadcast(marked), "doc_id").select("doc_id", "text", "toxic").repartition("doc_id").persist()
+    rows = stage_table(docs.join(F.broadcast(marked), "doc_id").select("doc_id", "text", "toxic"), "toxicity-rows")
     toxic, clean = (rows.filter(F.col("toxic") == x).select("text").distinct() for x in (1, 0))
     positives, negatives = toxic.count(), clean.count()
     lexicon = Lexicon({w: PRIOR for w in INSULTS}, {w: PRIOR for w in THREATS})
-    weights = (1.0,) * (len(FEATURES) - 1) + (1.0, -3.0)
+    weights = PRIOR_WEIGHTS
     if positives and negatives:
         in_toxic = _counted(toxic, None)
         in_clean = _counted(clean, set(in_toxic))
         lexicon = _learned(in_toxic, in_clean, positives, negatives)
         weights = _logistic(*_training_features(rows, lexicon))
-    rows.unpersist()
     return Model(lexicon, weights)
 
 
@@ -222,9 +227,11 @@ def _learned(in_toxic: dict, in_clean: dict, positives: int, negatives: int) ->
     telling = [s for s in odds if odds[s] > ODDS and in_clean.get(s, 0) * 20 <= in_toxic[s]
                and _by_chance(in_toxic[s], in_clean.get(s, 0), share) * tried < 1]
     insults: dict[str, float] = {}
-    for stem in sorted(telling, key=lambda s: (-in_toxic[s], len(s), s)):
-        # A longer stem that says no more than a chosen prefix of it is left out.
-        if not any(stem[:n] in insults for n in range(4, len(stem))):
+    for stem in sorted(telling, key=lambda s: (-in_toxic[s], -len(s), s)):
+        # The longest of equally supported stems stands for them: a prefix of a chosen stem needs texts of its own,
+        # and a longer stem says no more than a chosen prefix of it.
+        longer = max((in_toxic[s] for s in insults if s.startswith(stem)), default=0)
+        if in_toxic[stem] >= longer + SUPPORT and not any(stem[:n] in insults for n in range(4, len(stem))):
             insults[stem] = odds[stem]
     for word in INSULTS:
         if not any(word[:n] in insults for n in range(3, len(word) + 1)):
@@ -235,7 +242,7 @@ def _learned(in_toxic: dict, in_clean: dict, positives: int, negatives: int) ->
 def _training_features(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
-        for batch in batches:
+        for batch in W.sliced(batches, "text", SLICE):
             values = [matcher.features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
@@ -245,46 +252,69 @@ def _training_features(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, n
     return np.array(got["x"].tolist()), got["toxic"].to_numpy(float)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps; the rows' order does not matter."""
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 3000) -> tuple[float, ...]:
+    """Logistic regression towards ``PRIOR_WEIGHTS`` inside the order of ``_ordered``, by projected gradient."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
-    w = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty @ w
-        w -= np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, slope)
+    prior = np.array(PRIOR_WEIGHTS)
+    strength = np.full(len(prior), STRENGTH)
+    strength[-1] = 1e-2
+    step = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 + strength.max())
+    w = ahead = prior
+    for k in range(rounds):
+        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y) + strength * (ahead - prior)
+        w, last = _ordered(ahead - step * slope), w
+        ahead = w + k / (k + 3) * (w - last)
     return tuple(float(v) for v in w)
 
 
+def _ordered(w: np.ndarray) -> np.ndarray:
+    """The weights with plain >= 0, targeted >= plain, and a quarter of plain >= negated and reported >= 0."""
+    w = w.copy()
+    insult, insult_target, negated, reported, threat, threat_target = range(6)
+    for plain, target in ((insult, insult_target), (threat, threat_target)):
+        w[plain] = max(w[plain], 0.0)
+        w[target] = max(w[target], w[plain])
+    for weak in (negated, reported):
+        w[weak] = min(max(w[weak], 0.0), min(w[insult], w[threat]) / 4)
+    return w
+
+
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), from the text alone.
+def scored(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with a score (0 to 1) and the prediction (1 from 0.5 on), from the text alone.
 
-    A null text scores as an empty one. Rows are independent; columns named ``score`` or ``predicted``
-    are replaced, all others stay. No rows give no rows.
+    A null text scores as an empty one. Rows are independent, all columns stay but those that bear the
+    two names of the results, which are replaced. Texts of any length are read whole, and no rows give no rows.
     """
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(score, predicted)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value.lexicon)
-        for batch in batches:
+        for batch in W.sliced(batches, "text", SLICE):
             values = np.array([matcher.features(t or "") for t in batch.column("text").to_pylist()])
-            score = shared.value.score(values.reshape(-1, len(FEATURES)))
+            found = shared.value.score(values.reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
-                [*names, "score", "predicted"])
+                [*batch.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))],
+                [*names, score, predicted])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()),
-                           T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()),
+                           T.StructField(predicted, T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns whatever their names."""
+    mark = "toxic"
+    while any(mark in c for c in docs.columns):
+        mark += "_"
+    return scored(docs, model, f"{mark}score", f"{mark}predicted").filter(F.col(f"{mark}predicted") == 0).select(*docs.columns)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for each of ``documents``; a fifth of the ids is never learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
