@@ -133,7 +133,8 @@ def test_hilbert_curve():
 
 def test_packing(table, prose):
     tokenizer = Tokenizer.from_file(WORDS)
-    rows = prose + [(300, "x <|endoftext|> ΣΑΣ"), (301, "a\x01b \x01 c"), (302, "\x01")]
+    rows = prose + [(300, "x <|endoftext|> ΣΑΣ"), (301, "a\x01b \x01 c"), (302, "\x01"), (303, "a<|startoftext|><|ENDOFTEXT|>b"),
+                    (304, "<|endoftext|>" * 3000)]
     pieces = packing.packed(table(rows), WORDS).collect()
     sequences = defaultdict(list)
     for p in pieces:
@@ -144,7 +145,6 @@ def test_packing(table, prose):
             assert offset == at
             at += length
         assert at == 2048 or number == max(sequences)
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, text in rows:
         want[i, np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()] += 1

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from vetgrid.llm import words as W
 from vetgrid.session import stage_table
 
+SLICE = 8 << 20  # bytes of text that a task works on at once
 REMEMBERED = 1_000_000  # words that a worker remembers before it starts anew
 SHORT = 48  # bytes of a word that is worth remembering
 BINS = 256  # hashed token counts of a document, a power of two
@@ -50,12 +51,14 @@ class _Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.merges = Tokenizer(self.tokenizer.model)  # for plain words: merges only, nothing to fold or cut
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def encode(self, text: bytes) -> np.ndarray:
+        if any(s in text for s in self.special):  # it is one id wherever it stands, so words are not independent
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind)
         words = text.split()
         if len(self) >= REMEMBERED:
             self.clear()
@@ -108,7 +111,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, press = _words(path), zstandard.ZstdCompressor(1)
         matrix = np.random.Generator(np.random.PCG64(7)).standard_normal((BINS, DIMENSIONS))
-        for batch in batches:
+        for batch in W.sliced(batches, "text", SLICE):
             packed, counts, vectors = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = np.append(words.encode(text or b""), np.array([END], words.kind))
@@ -184,7 +187,7 @@ def _pieces(docs: DataFrame, path: str, capacity: int, cut, column: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, open_ = _words(path).kind, zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in W.sliced(batches, "ids", SLICE // 4):
             out: tuple = ([], [], [], [], [], [], [])
             for doc, n, ids, first in W.rows([batch], "doc_id", "n", "ids", "first"):
                 whole = np.frombuffer(open_.decompress(ids), kind).astype("<u4")
