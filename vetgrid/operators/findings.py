@@ -117,8 +117,8 @@ def _new_rows(batch: DataFrame, now: Column) -> DataFrame:
     return batch.select("match_key", *columns)
 
 
-def merge_findings(stored: DataFrame, candidates: DataFrame, now: Column) -> Change:
-    """Merge a batch of candidates into the findings.
+def merged_rows(stored: DataFrame, candidates: DataFrame, now: Column) -> DataFrame:
+    """The findings after a batch of candidates, with ``created`` for the rows that are new.
 
     A new fingerprint is inserted with an audit row. A stored finding that is open or in
     progress gets the batch's scan, snippet and time; other stored findings stay as they are.
@@ -139,14 +139,20 @@ def merge_findings(stored: DataFrame, candidates: DataFrame, now: Column) -> Cha
             test = ~known
         return F.when(test, F.col(f"n.{name}")).otherwise(F.col(f"o.{name}")).alias(name)
 
-    findings = joined.select(*[value(c) for c in FINDING_COLUMNS])
-    created = fresh.join(
-        stored.select(F.col("fingerprint").alias("match_key")), "match_key", "left_anti")
-    audit = audit_rows(
-        created, F.col("id"), F.lit("created"), _null("string"),
-        F.concat_ws(": ", "severity", "title"), now,
-    )
-    return Change(findings, audit)
+    return joined.select(*[value(c) for c in FINDING_COLUMNS], (~known).alias("created"))
+
+
+def created_audit(merged: DataFrame, now: Column) -> DataFrame:
+    """Audit rows of the findings that ``merged_rows`` created."""
+    return audit_rows(merged.filter("created"), F.col("id"), F.lit("created"), _null("string"),
+                      F.concat_ws(": ", "severity", "title"), now)
+
+
+def merge_findings(stored: DataFrame, candidates: DataFrame, now: Column) -> Change:
+    """Next findings and audit rows of a batch; see ``merged_rows``. Both come from the same join, so
+    a caller that needs both writes ``merged_rows`` once (as the plans do) instead."""
+    merged = merged_rows(stored, candidates, now)
+    return Change(merged.select(*FINDING_COLUMNS), created_audit(merged, now))
 
 
 def flag_candidates(stored: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetgrid.operators.findings import (
+    FINDING_COLUMNS,
     Change,
     baseline,
+    created_audit,
     delete_findings,
-    merge_findings,
+    merged_rows,
     update_findings,
 )
 from vetgrid.schemas import AUDIT_LOG, FINDINGS
@@ -59,7 +61,8 @@ def merge_into(last: Snapshot, candidates: DataFrame, folder: str, now: Column)
     """
     spark = candidates.sparkSession
     staged = stage_table(candidates, "candidates")
-    return _write(last, merge_findings(last.findings(spark), staged, now), folder)
+    merged = stage_table(merged_rows(last.findings(spark), staged, now), "merged")
+    return _write(last, Change(merged.select(*FINDING_COLUMNS), created_audit(merged, now)), folder)
 
 
 def update_into(last: Snapshot, updates: DataFrame, folder: str, now: Column) -> Snapshot:

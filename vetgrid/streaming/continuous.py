@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vetgrid.operators.scan import scan_text, to_findings
+from vetgrid.plans.tables import open_table
 from vetgrid.rules.catalog import ALL_RULES, Rule
 
 
@@ -51,6 +52,18 @@ def merge_batches(
     )
 
 
+def merge_into_table(candidates: DataFrame, folder: str, checkpoint: str, now: Column, *,
+                     stream: str = "scan") -> StreamingQuery:
+    """Merge every micro-batch of candidates into the table at ``folder``, each exactly once.
+
+    A batch that is repeated after a failure finds its number in the table's manifest and changes nothing.
+    """
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        open_table(batch.sparkSession, folder).merge(batch, now, stream=stream, batch_id=batch_id)
+
+    return merge_batches(candidates, merge, checkpoint)
+
+
 def windowed_counts(findings: DataFrame, *, time: str = "found_at", key: str = "severity",
                     window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Findings for each window of time and key."""

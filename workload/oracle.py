@@ -496,6 +496,19 @@ ORACLE = {
     "upsert_audit": LIFE + f"""SELECT fp AS finding_id, 'created' AS action, NULL::VARCHAR AS old_value,
           sev || ': ' || title AS new_value, '{SECOND}' AS timestamp
         FROM cand WHERE fp NOT IN (SELECT id FROM stored)""",
+    "snapshot_merge": LIFE + f"""SELECT coalesce(s.id, c.fp) AS id, CASE WHEN c.fp IS NULL THEN 'scan-1' ELSE 'scan-2' END AS scan_id,
+          coalesce(s.path, c.path) AS file_path, coalesce(s.line_number, c.line_number)::INTEGER AS line_number,
+          coalesce(s.rule_id, c.rule_id) AS rule_id, 'open' AS status,
+          CASE WHEN s.id IS NULL THEN '{SECOND}' ELSE '{FIRST}' END AS found_at,
+          CASE WHEN c.fp IS NULL THEN '{FIRST}' ELSE '{SECOND}' END AS updated_at, coalesce(c.snip, s.snip) AS snippet_hash
+        FROM stored s FULL JOIN cand c ON s.id = c.fp""",
+    "snapshot_audit": LIFE + f"""SELECT * FROM (
+          SELECT id AS finding_id, 'created' AS action, NULL::VARCHAR AS old_value, sev || ': ' || title AS new_value, '{FIRST}' AS timestamp,
+            line_number FROM stored
+          UNION ALL SELECT fp, 'created', NULL, sev || ': ' || title, '{SECOND}', line_number FROM cand WHERE fp NOT IN (SELECT id FROM stored)
+          UNION ALL SELECT f.id, 'status_changed', a, b, '{SECOND}', line_number
+            FROM (SELECT id, line_number FROM stored UNION SELECT fp, line_number FROM cand) f, (VALUES ('open', 'fixed'), ('fixed', 'open')) m(a, b)
+            WHERE line_number % 3 = 0) WHERE line_number % 6 <> 3""".replace("SELECT * FROM (", "SELECT finding_id, action, old_value, new_value, timestamp FROM ("),
     "new_vs_existing": LIFE + """SELECT fp AS fingerprint, s.id IS NULL AS is_new,
           coalesce(s.status = 'fixed', false) AS reappeared FROM cand LEFT JOIN stored s ON s.id = fp""",
     "scan_counts": LIFE + """SELECT count(*) AS total, count(*) FILTER (WHERE s.id IS NULL) AS new_count,
@@ -690,6 +703,10 @@ ORACLE = {
           WHERE 'A' || lpad((o_orderkey % 10 + 1)::VARCHAR, 2, '0') || '-001' NOT IN {in_list(r.id for r in ALL_RULES)}""",
     "stream_scan": HITS + """SELECT path AS file_path, rule_id, line_number::INTEGER AS line_number
         FROM hits WHERE NOT off AND NOT starts_with(project, 'site')""",
+    "stream_merge": HITS + """SELECT path AS file_path, rule_id, line_number::INTEGER AS line_number, 'live' AS scan_id, 1::BIGINT AS logged
+        FROM hits WHERE NOT off AND NOT starts_with(project, 'site')""",
+    "stream_dedup": HITS + """SELECT path AS file_path, rule_id, line_number::INTEGER AS line_number
+        FROM hits WHERE NOT off AND NOT starts_with(project, 'site')""",
     "stream_counts": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
           event_type AS severity, count(*) AS count FROM events
         WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)

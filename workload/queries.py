@@ -16,6 +16,7 @@ from vetgrid.operators import findings as fnd
 from vetgrid.operators.rule_index import scan_with_rules
 from vetgrid.operators.scan import scan_text, to_findings
 from vetgrid.plans import reports, scans
+from vetgrid.plans.tables import create_table, open_table
 from vetgrid.rules import ALL_RULES, Rule, rules_dataframe, select_rules
 from vetgrid.schemas import FINDINGS
 from vetgrid.session import spread, stage_folder, stage_table
@@ -317,6 +318,31 @@ def upsert_audit(spark, sf):
     return audit.select("finding_id", "action", "old_value", "new_value", shown("timestamp"))
 
 
+@query
+def snapshot_merge(spark, sf):
+    """Two scans merged into a table, read back from its last version."""
+    table = create_table(spark, stage_folder(spark, "findings-table"), buckets=8)
+    table = table.merge(candidates(spark, sf), at(FIRST)).merge(candidates(spark, sf, 2), at(SECOND))
+    return open_table(spark, table.folder).findings().select(
+        "id", "scan_id", "file_path", "line_number", "rule_id", "status", shown("found_at"), shown("updated_at"),
+        F.sha2("code_snippet", 256).alias("snippet_hash"))
+
+
+@query
+def snapshot_audit(spark, sf):
+    """The log of a table after two scans, a batch of updates and a deletion."""
+    table = create_table(spark, stage_folder(spark, "findings-table"), buckets=8)
+    table = table.merge(candidates(spark, sf), at(FIRST)).merge(candidates(spark, sf, 2), at(SECOND))
+    found = table.findings()
+    none = F.lit(None).cast("string")
+    updates = found.filter("line_number % 3 = 0").select(
+        F.col("id").alias("finding_id"), F.explode(F.array(F.struct(F.lit("fixed").alias("status"), F.lit(1).cast("long").alias("ord")),
+                                                            F.struct(F.lit("open").alias("status"), F.lit(2).cast("long").alias("ord")))).alias("u")
+    ).select("finding_id", "u.status", none.alias("notes"), none.alias("fix_commit_sha"), none.alias("suggested_fix"), "u.ord")
+    table = table.update(updates, at(SECOND)).delete(found.filter("line_number % 6 = 3").select("id"))
+    return table.audit().select("finding_id", "action", "old_value", "new_value", shown("timestamp"))
+
+
 @query
 def new_vs_existing(spark, sf):
     flagged = fnd.flag_candidates(stored(spark, sf), candidates(spark, sf, 2))
@@ -892,6 +918,32 @@ def stream_scan(spark, sf):
     return run_stream(found, "stream-scan").select("file_path", "rule_id", "line_number")
 
 
+@query
+def stream_merge(spark, sf):
+    """A stream merged into a table; the last batch is handed over twice."""
+    docs = arriving(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    folder = stage_folder(spark, "stream-table")
+    create_table(spark, folder, buckets=8)
+    found = continuous.scan_stream(corpus.from_documents(docs), scan_id="live")
+    continuous.merge_into_table(found, folder, f"{folder}/checkpoint", at(FIRST)).awaitTermination()
+    table = open_table(spark, folder)
+    again = table.merge(table.findings().withColumn("scan_id", F.lit("twice")), at(SECOND), stream="scan",
+                        batch_id=table.manifest.batches["scan"])
+    logged = again.audit().groupBy(F.col("finding_id").alias("id")).agg(F.count(F.lit(1)).alias("logged"))
+    return again.findings().join(logged, "id").select("file_path", "rule_id", "line_number", "scan_id", "logged")
+
+
+@query
+def stream_dedup(spark, sf):
+    """The event-time form: a file that arrives again within the watermark adds nothing."""
+    docs = arriving(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    files = corpus.from_documents(docs)
+    twice = files.withColumn("hour", F.explode(F.array(F.lit(0), F.lit(5)))).withColumn(
+        "arrived", F.timestamp_seconds(F.col("doc_id") % 3600 + F.col("hour") * 3600))
+    found = continuous.scan_stream(twice, scan_id="live", event_time="arrived")
+    return run_stream(found, "stream-dedup").select("file_path", "rule_id", "line_number")
+
+
 @query
 def stream_counts(spark, sf):
     events = arriving(spark, sf, "events").select(
