@@ -46,7 +46,7 @@ from vetgrid.llm.components import components
 from vetgrid.session import stage_table
 
 HEAVY = 100_000  # broadcast bound: 1.2 MB
-BATCH_REPEATS = 4  # documents of one Arrow batch that make a token worth counting
+BATCH_REPEATS = 4  # documents of four slices that make a token worth counting
 STAR = 32  # nodes of a group that meet without being compared with the hub first
 BLOCK = 256  # nodes of a group that meet at once, with as many others
 BLOCK_TOKENS = 4_000_000  # tokens of a block, about; one longer text is a block of its own
@@ -101,14 +101,21 @@ def _linked(docs: DataFrame, width: int, percent: int, heavy: int) -> tuple[Data
 def frequent_tokens(source: DataFrame, width: int, heavy: int) -> Tokens:
     """The most frequent tokens and their counts, in ascending order of the token."""
 
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        keep = counts >= BATCH_REPEATS
+        return pa.RecordBatch.from_arrays([pa.array(W.signed(tokens[keep])), pa.array(counts[keep])], ["token", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.sliced(batches, "text", 2 * SLICE):
-            sets = [token_set(t, width) for t in batch.column("text").to_pylist() if t]
-            if sets:
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                keep = counts >= BATCH_REPEATS
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(tokens[keep])), pa.array(counts[keep])], ["token", "n"])
+        sets, size = [], 0
+        for batch in W.sliced(batches, "text", SLICE):
+            sets += [token_set(t, width) for t in batch.column("text").to_pylist() if t]
+            size += batch.column("text").nbytes
+            if size >= 4 * SLICE and sets:
+                yield often(sets)
+                sets, size = [], 0
+        if sets:
+            yield often(sets)
 
     counted = source.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(
         F.sum("n").alias("n"))
