@@ -35,9 +35,11 @@ def by_category_and_severity(findings: DataFrame) -> DataFrame:
     )
 
 
-def summary(findings: DataFrame, scans: DataFrame) -> DataFrame:
+def summary(findings: DataFrame, scans: DataFrame, *, recent: int = 5) -> DataFrame:
     """Dashboard rows ``(section, key, count)`` in one pass over the findings.
 
+    The ``recent`` newest scans are listed by id with their number of findings.
+
     The rows are first reduced to one for each status, category and severity, at most a few
     hundred, and only those are grouped again for the sections.
     """
@@ -59,7 +61,9 @@ def summary(findings: DataFrame, scans: DataFrame) -> DataFrame:
     )
     scan_total = scans.agg(F.count(F.lit(1)).alias("count")).select(
         F.lit("total_scans").alias("section"), F.lit("all").alias("key"), "count")
-    return counted.unionByName(scan_total)
+    newest = scans.orderBy(F.desc("started_at"), "id").limit(recent).select(
+        F.lit("recent_scans").alias("section"), F.col("id").alias("key"), F.col("findings_count").cast("long").alias("count"))
+    return counted.unionByName(scan_total).unionByName(newest)
 
 
 def report_header(findings: DataFrame) -> DataFrame:

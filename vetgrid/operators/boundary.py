@@ -44,15 +44,19 @@ def _is_server_file(rel_path: Column, content: Column, client: Column) -> Column
     )
 
 
-def boundary_facts(files: DataFrame) -> DataFrame:
+def boundary_facts(files: DataFrame, target: str | None = None) -> DataFrame:
     """``(project, path, client, imports, tags)``: all that the analysis needs of each file.
 
+    With ``target``, the path of a single file, only that file's imports and tags are read, wherever it
+    stands and whatever it is; the other files are what its imports may lead to.
+
     This is the only step that reads the texts. Everything after it joins these small rows, and
     reads them several times: stage them (``vetgrid.session.stage_table``) for large inputs.
     """
     text = F.col("content")
     marked = files.withColumn("client", is_client_component(text))
-    server = _is_server_file(F.col("rel_path"), text, F.col("client"))
+    server = (_is_server_file(F.col("rel_path"), text, F.col("client")) if target is None
+              else F.col("path") == target)
     return marked.select(
         "project", "path", "client",
         F.when(server, _imports(text)).alias("imports"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetgrid.functions.text import category_label, fingerprint, severity_rank
@@ -176,6 +176,30 @@ def scan_counts(flagged: DataFrame) -> DataFrame:
     )
 
 
+def scan_response(flagged: DataFrame) -> DataFrame:
+    """What a scan answers, ``(section, key, label, count)``, from one pass over ``flag_candidates``.
+
+    Sections: ``total_findings``, ``new_findings`` and ``existing_findings`` with key ``all``, and
+    ``by_category`` (with the category's name) and ``by_severity``. Grouping sets count all of them in one
+    aggregate; every copy counts. A scan without findings has the three totals, all 0.
+    """
+    cells = flagged.groupingSets([[], ["owasp_category"], ["severity"]], "owasp_category", "severity").agg(
+        F.grouping_id().alias("set"), F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.count_if("is_new").alias("fresh"))
+    key, n, none = F.col("owasp_category"), F.col("n"), F.lit(None).cast("string")
+
+    def row(section: str, name: Column, label: Column, count: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), name.alias("key"), label.alias("label"), count.alias("count"))
+
+    rows = (
+        F.when(F.col("set") == 3, F.array(
+            row("total_findings", F.lit("all"), none, n), row("new_findings", F.lit("all"), none, F.col("fresh")),
+            row("existing_findings", F.lit("all"), none, n - F.col("fresh"))))
+        .when(F.col("set") == 1, F.array(row("by_category", key, category_label(key), n)))
+        .otherwise(F.array(row("by_severity", F.col("severity"), none, n)))
+    )
+    return cells.select(F.inline(rows))
+
+
 # -- triage updates ---------------------------------------------------------------------
 
 
@@ -388,6 +412,26 @@ def with_audit_trail(findings: DataFrame, audit: DataFrame) -> DataFrame:
     )
 
 
+def audit_trail(audit: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Audit entries by finding and time, with ``nth``: the number of the entry in its finding's trail.
+
+    ``ids`` (column ``id``) narrows it to some findings. Numbers are made of a count of the days before
+    and a window inside the day, so a finding with a very long history is not one window.
+    """
+    rows = audit if ids is None else audit.join(
+        ids.select(F.col("id").alias("finding_id")).distinct(), "finding_id", "left_semi")
+    rows = rows.withColumn("day", F.to_date("timestamp"))
+    days = rows.groupBy("finding_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    before = days.select("finding_id", "day", (F.sum("n").over(
+        Window.partitionBy("finding_id").orderBy("day")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("finding_id", "day").orderBy("timestamp", "id"))
+    numbered = rows.withColumn("inside", inside).alias("r").join(
+        before.alias("b"), (F.col("r.finding_id") == F.col("b.finding_id")) & F.col("r.day").eqNullSafe(F.col("b.day")))
+    return numbered.select(
+        "r.finding_id", (F.col("before") + F.col("inside")).alias("nth"), "r.id", "action", "old_value", "new_value", "timestamp",
+    ).orderBy("finding_id", "nth")
+
+
 def gate(findings: DataFrame, fail_on: str = "high") -> DataFrame:
     """``(failing, passed)``: findings at or above a severity. Unknown levels mean ``high``."""
     level = fail_on.lower() if fail_on.lower() in SEVERITIES else "high"

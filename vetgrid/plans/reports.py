@@ -9,15 +9,10 @@ from pyspark.sql import functions as F
 
 from vetgrid.functions.constants import constant
 from vetgrid.functions.text import category_label, display_time, sarif_level, severity_rank
-from vetgrid.operators.aggregates import (
-    open_by_category,
-    open_by_severity,
-    report_header,
-    scan_history_range,
-    top_files,
-)
+from vetgrid.operators.aggregates import scan_history_range
 from vetgrid.operators.findings import newest
 from vetgrid.rules.catalog import ALL_RULES, Rule, rules_dataframe
+from vetgrid.session import stage_table
 
 # The SARIF schema, version and property names, and the address of the categories.
 _SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -88,14 +83,16 @@ def sarif_rules(findings: DataFrame, rules: Sequence[Rule] = ALL_RULES) -> DataF
 
 
 def sarif_documents(findings: DataFrame, rules: Sequence[Rule] = ALL_RULES, *,
-                    shards: int = 1) -> DataFrame:
+                    shards: int | None = None, results_per_document: int = 5000) -> DataFrame:
     """``(shard, document)``: complete SARIF documents, the findings spread over ``shards``.
 
     Findings are spread by a hash of their id, which is unique, so every document holds about
-    the same number of results; choose ``shards`` as the row count over the wanted size. Each
+    the same number of results: about ``results_per_document`` unless ``shards`` is given. Each
     document carries the descriptors of all given rules.
     """
     spark = findings.sparkSession
+    if shards is None:
+        shards = max(1, -(-findings.count() // results_per_document))
     known = [r.descriptor for r in sarif_rules(findings.limit(0), rules).collect()]
     header = F.lit(f'{{"$schema":"{_SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":'
                    f'{{"name":"vetgrid","version":"0.1.0","rules":[' + ",".join(known))
@@ -124,21 +121,20 @@ def write_sarif(findings: DataFrame, folder: str, *, limit: int | None = None,
                 results_per_document: int = 5000) -> None:
     """Write SARIF documents as text files: all findings, or the newest ``limit`` of them."""
     chosen = findings if limit is None else newest(findings, limit)
-    count = chosen.count()
-    shards = max(1, -(-count // results_per_document))
-    sarif_documents(chosen, shards=shards).select("document").write.text(folder)
+    sarif_documents(chosen, results_per_document=results_per_document).select("document").write.text(folder)
 
 
 # -- Markdown -----------------------------------------------------------------------------
 
 _DETAILS = 20
+_FILES = 10
 # Blocks of a section sort by number; headings come before all others.
 _FIRST_BLOCK = -(1 << 62)
 
 
-def _rows(df: DataFrame, section: int, block: Column, line: Column, text: Column) -> DataFrame:
+def _rows(df: DataFrame, section: int, block: Column, line: Column, text: Column, tie: Column | None = None) -> DataFrame:
     return df.select(
-        F.lit(section).alias("section"), block.cast("long").alias("block"),
+        F.lit(section).alias("section"), block.cast("long").alias("block"), (F.lit("") if tie is None else tie).alias("id"),
         line.cast("long").alias("line"), text.alias("text"))
 
 
@@ -147,17 +143,22 @@ def _fixed(spark: SparkSession, section: int, block: int, lines: list[str]) -> D
     return one.select(
         F.lit(section).alias("section"), F.lit(block).cast("long").alias("block"),
         F.posexplode(F.array(*map(F.lit, lines))).alias("line", "text"),
-    ).select("section", "block", F.col("line").cast("long").alias("line"), "text")
+    ).select("section", "block", F.lit("").alias("id"), F.col("line").cast("long").alias("line"), "text")
 
 
 def report_lines(findings: DataFrame, scans: DataFrame, generated_at: str) -> DataFrame:
-    """The Markdown report as ordered rows ``(section, block, line, text)``.
+    """The Markdown report as ordered rows ``(section, block, id, line, text)``.
 
-    Counts come from aggregates over all findings; only the top twenty are shown in detail, and
-    the triaged ones are rows, so nothing is gathered on the way.
+    All counts come from one staged cube of the findings, a row for each status, category, severity and
+    file. Only the top twenty are shown in detail, and the triaged ones are rows by time, so nothing is
+    gathered on the way.
     """
     spark = findings.sparkSession
     opened = findings.filter("status = 'open'")
+    decided_with_note = F.col("status").isin("accepted", "false_positive") & (F.col("notes") != "")
+    cells = stage_table(findings.groupBy("status", "owasp_category", "severity", "file_path").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(decided_with_note).alias("triaged")), "report-cells")
+    open_cells = cells.filter("status = 'open'")
     zero = F.lit(0)
 
     dates = scan_history_range(scans).filter("scans > 0")
@@ -167,7 +168,15 @@ def report_lines(findings: DataFrame, scans: DataFrame, generated_at: str) -> Da
         F.coalesce("latest", F.lit("N/A"))))
     top = _fixed(spark, 0, 0, ["# Security Scan Report", "", f"**Generated:** {generated_at}  "])
 
-    head = report_header(findings)
+    status, n = F.col("status"), F.col("n")
+
+    def counted(test: Column | None = None) -> Column:
+        return F.coalesce(F.sum(n if test is None else F.when(test, n)), zero)
+
+    head = cells.agg(
+        counted().alias("total"), counted(status == "open").alias("open"), counted(status == "fixed").alias("fixed"),
+        counted(status.isin("accepted", "false_positive")).alias("accepted_or_false_positive"),
+        F.coalesce(F.sum("triaged"), zero).alias("triaged"))
     counts = F.array(
         F.format_string("- **Total findings:** %d", "total"),
         F.format_string("- **Open:** %d", "open"),
@@ -180,14 +189,14 @@ def report_lines(findings: DataFrame, scans: DataFrame, generated_at: str) -> Da
     summary = _rows(header, 1, F.lit(1), F.col("line"), F.col("text"))
 
     rank = severity_rank(F.col("severity"))
-    severities = _rows(open_by_severity(findings), 2, zero, -rank, F.format_string(
+    severities = _rows(open_cells.groupBy("severity").agg(F.sum("n").alias("count")), 2, zero, -rank, F.format_string(
         "| %s | %d |", F.upper("severity"), "count"))
     code = F.substring("owasp_category", 2, 9).try_cast("long")
-    categories = _rows(open_by_category(findings), 3, zero, F.coalesce(code, F.lit(99)),
+    categories = _rows(open_cells.groupBy("owasp_category").agg(F.sum("n").alias("count")), 3, zero, F.coalesce(code, F.lit(99)),
                        F.format_string("| %s | %s | %d |", "owasp_category",
                                        category_label(F.col("owasp_category")), "count"))
-    files = _rows(top_files(findings), 4, -F.col("count"), zero,
-                  F.format_string("| `%s` | %d |", "file_path", "count"))
+    most = open_cells.groupBy("file_path").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "file_path").limit(_FILES)
+    files = _rows(most, 4, -F.col("count"), zero, F.format_string("| `%s` | %d |", "file_path", "count"), F.col("file_path"))
 
     order = [F.desc("rank"), F.desc("found_at"), F.asc("id")]
     best = opened.withColumn("rank", rank).orderBy(*order).limit(_DETAILS)
@@ -195,19 +204,19 @@ def report_lines(findings: DataFrame, scans: DataFrame, generated_at: str) -> Da
         F.posexplode("l").alias("i", "f"))  # at most twenty rows
     details = numbered.select("i", F.posexplode(_detail_lines()).alias("line", "text"))
     detail = _rows(details, 5, F.col("i"), F.col("line"), F.col("text"))
-    more = opened.agg((F.count(F.lit(1)) - _DETAILS).alias("n")).filter("n > 0")
+    more = open_cells.agg((F.sum("n") - _DETAILS).alias("n")).filter("n > 0")
     rest = _rows(more, 6, zero, zero, F.format_string("*...and %d more open findings.*", "n"))
 
-    triaged = findings.filter("status IN ('accepted', 'false_positive') AND notes <> ''")
+    triaged = findings.filter(decided_with_note)
     label = F.when(F.col("status") == "false_positive", "False Positive").otherwise("Accepted Risk")
-    entries = triaged.select("id", F.posexplode(F.array(
+    entries = triaged.select("id", "updated_at", F.posexplode(F.array(
         F.format_string("- **[%s]** %s (`%s`)", label, "title", "file_path"),
         F.format_string("  - *Rationale:* %s", "notes"),
         F.format_string("  - *Triaged:* %s", display_time(F.col("updated_at").cast("string"))),
     )).alias("line", "text"))
-    decided = _rows(entries, 7, F.xxhash64("id").bitwiseAND((1 << 62) - 1), F.col("line"), F.col("text"))
+    decided = _rows(entries, 7, F.unix_micros("updated_at"), F.col("line"), F.col("text"), F.col("id"))
 
-    some = findings.limit(1).select(F.lit(8).alias("section"))
+    some = head.filter("total > 0").select(F.lit(8).alias("section"))
     advice = _fixed(spark, 8, 0, [
         "", "## Remediation Priority", "",
         "1. **Critical findings**: fix at once", "2. **High findings**: fix before the next release",
@@ -216,7 +225,7 @@ def report_lines(findings: DataFrame, scans: DataFrame, generated_at: str) -> Da
     ]).join(some, "section", "left_semi")
     result = top.unionByName(history).unionByName(
         _fixed(spark, 1, 0, ["", "## Executive Summary", ""])).unionByName(summary)
-    for rows in (_headings(findings), severities, categories, files, detail, rest, decided, advice):
+    for rows in (_headings(head), severities, categories, files, detail, rest, decided, advice):
         result = result.unionByName(rows)
     return result
 
@@ -227,16 +236,11 @@ _HEADINGS = (
     (3, "open", ["", "### Open by Category", "", "| Category | Name | Count |", "|---|---|---|"]),
     (4, "open", ["", "### Top Files (most open findings)", "", "| File | Findings |", "|---|---|"]),
     (5, "open", ["", "## Findings Detail", ""]),
-    (7, "triaged", ["", "## Triaged Findings", ""]),
+    (7, "triaged", ["", "## Triaged Findings", "", "*Reviewed, and judged to be acceptable or not to apply.*", ""]),
 )
 
 
-def _headings(findings: DataFrame) -> DataFrame:
-    counts = findings.agg(
-        F.count_if(F.col("status") == "open").alias("open"),
-        F.count_if(F.col("status").isin("accepted", "false_positive") & (F.col("notes") != ""))
-        .alias("triaged"),
-    )
+def _headings(counts: DataFrame) -> DataFrame:
     lines = constant(
         [{"section": section, "of": of, "line": i, "text": text}
          for section, of, texts in _HEADINGS for i, text in enumerate(texts)],
@@ -245,7 +249,7 @@ def _headings(findings: DataFrame) -> DataFrame:
     wanted = F.filter(lines, lambda x: F.when(x["of"] == "open", F.col("open") > 0)
                       .otherwise(F.col("triaged") > 0))
     return counts.select(F.inline(wanted)).select(
-        "section", F.lit(_FIRST_BLOCK).alias("block"), "line", "text")
+        "section", F.lit(_FIRST_BLOCK).alias("block"), F.lit("").alias("id"), "line", "text")
 
 
 def _by_rank(a: Column, b: Column) -> Column:
@@ -277,7 +281,7 @@ def _detail_lines() -> Column:
 
 
 def ordered_text(lines: DataFrame) -> DataFrame:
-    return lines.orderBy("section", "block", "line", "text").select("text")
+    return lines.orderBy("section", "block", "id", "line", "text").select("text")
 
 
 def write_report(findings: DataFrame, scans: DataFrame, folder: str, generated_at: str) -> None:

@@ -391,7 +391,7 @@ REPORT = f"""{BULK_SCANS}, top AS (SELECT *, row_number() OVER (ORDER BY {RANK}
       chr(10) || '```' || chr(10) || code_snippet || chr(10) || '```' || chr(10), ''],
     lambda x: x IS NOT NULL)) FROM detail
   UNION ALL SELECT 6, '*...and ' || (count(*) - 20) || ' more open findings.*' FROM top HAVING count(*) > 20
-  UNION ALL {texts(7, '', '## Triaged Findings', '')}
+  UNION ALL {texts(7, '', '## Triaged Findings', '', '*Reviewed, and judged to be acceptable or not to apply.*', '')}
   UNION ALL SELECT 7, unnest(['- **[' || CASE WHEN status = 'accepted' THEN 'Accepted Risk' ELSE 'False Positive' END
       || ']** ' || title || ' (`' || file_path || '`)', '  - *Rationale:* ' || notes,
       '  - *Triaged:* ' || {MINUTES.format('updated_at')}]) FROM triaged
@@ -420,7 +420,7 @@ ORACLE = {
             '[a-zà-öø-ÿ]{9,}')) AS word FROM documents),
         lines AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
           FROM conversations),
-        tokens AS (SELECT DISTINCT conv_id, turn, n, unnest(regexp_extract_all(lower(line), '[0-9a-z_à-öø-ÿ]+')) AS word FROM lines)
+        tokens AS (SELECT DISTINCT conv_id, turn, n, unnest(regexp_extract_all(lower(line), '[0-9a-z_ßà-öø-ÿ]+')) AS word FROM lines)
         SELECT 'W-' || word AS rule_id, count(*) AS lines, count(DISTINCT conv_id) AS conversations
         FROM tokens JOIN words USING (word) GROUP BY word""",
     "rejected_rules": """SELECT 'R-' || p_partkey AS id, CASE p_partkey % 6
@@ -513,6 +513,13 @@ ORACLE = {
           coalesce(s.status = 'fixed', false) AS reappeared FROM cand LEFT JOIN stored s ON s.id = fp""",
     "scan_counts": LIFE + """SELECT count(*) AS total, count(*) FILTER (WHERE s.id IS NULL) AS new_count,
           count(s.id) AS existing_count FROM cand LEFT JOIN stored s ON s.id = fp""",
+    "scan_response": LIFE + f"""SELECT 'total_findings' AS section, 'all' AS key, NULL::VARCHAR AS label, count(*) AS count FROM cand
+        UNION ALL SELECT 'new_findings', 'all', NULL, count(*) FROM cand WHERE fp NOT IN (SELECT id FROM stored)
+        UNION ALL SELECT 'existing_findings', 'all', NULL, count(*) FROM cand WHERE fp IN (SELECT id FROM stored)
+        UNION ALL SELECT 'by_category', owasp_category, label, count(*) FROM cand JOIN {LABELS} USING (owasp_category) GROUP BY owasp_category, label
+        UNION ALL SELECT 'by_severity', sev, NULL, count(*) FROM cand GROUP BY sev""",
+    "audit_trail": f"""WITH {AUDIT} SELECT finding_id, row_number() OVER (PARTITION BY finding_id ORDER BY ts, id) AS nth, id, action
+        FROM audit""",
     "baseline_diff": LIFE + """SELECT path AS file_path, rule_id, line_number::INTEGER AS line_number
         FROM cand WHERE fp NOT IN (SELECT id FROM stored WHERE status = 'open')""",
     "apply_updates": f"""{BULK}, {UPDATES} SELECT id,
@@ -556,7 +563,8 @@ ORACLE = {
         UNION ALL SELECT 'by_status', status, count(*) FROM findings GROUP BY status
         UNION ALL SELECT 'open_by_category', owasp_category, count(*) FROM findings WHERE status = 'open' GROUP BY 2
         UNION ALL SELECT 'open_by_severity', severity, count(*) FROM findings WHERE status = 'open' GROUP BY 2
-        UNION ALL SELECT 'total_scans', 'all', count(*) FROM scans""",
+        UNION ALL SELECT 'total_scans', 'all', count(*) FROM scans
+        UNION ALL (SELECT 'recent_scans', id, findings_count FROM scans ORDER BY started_at DESC, id LIMIT 5)""",
     "trends_daily": f"""{BULK}, moves AS (
           SELECT found_at::DATE AS day, 1 AS opened, 0 AS fixed FROM findings WHERE found_at >= TIMESTAMP '{SINCE}'
           UNION ALL SELECT fixed_at::DATE, 0, 1 FROM findings WHERE fixed_at >= TIMESTAMP '{SINCE}')
@@ -625,6 +633,8 @@ ORACLE = {
     "boundary_crossings": BOUNDARY + """SELECT server_file, client_component, client_file, line,
           CASE WHEN len(bad) > 0 THEN 'high' ELSE 'medium' END AS risk_level,
           array_to_string(list_transform(props, lambda p: p.name || '=' || p.value), ';') AS props FROM risky""",
+    "boundary_one_file": base("servers AS MATERIALIZED (SELECT * FROM files WHERE path = 'p0/app/layout.tsx')", IMPORTS, CROSSINGS) +
+        "SELECT server_file, client_component, client_file, line FROM risky",
     "boundary_summary": BOUNDARY + """SELECT count(*) AS total_crossings,
           count(*) FILTER (WHERE len(bad) > 0) AS high_risk, count(*) FILTER (WHERE len(bad) = 0) AS medium_risk
         FROM risky JOIN types USING (project) WHERE project_type IN ('nextjs', 'monorepo')""",

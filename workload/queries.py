@@ -354,6 +354,16 @@ def scan_counts(spark, sf):
     return fnd.scan_counts(fnd.flag_candidates(stored(spark, sf), candidates(spark, sf, 2)))
 
 
+@query
+def scan_response(spark, sf):
+    return fnd.scan_response(fnd.flag_candidates(stored(spark, sf), candidates(spark, sf, 2)))
+
+
+@query
+def audit_trail(spark, sf):
+    return fnd.audit_trail(audit_log(spark, sf)).select("finding_id", "nth", "id", "action")
+
+
 @query
 def baseline_diff(spark, sf):
     known = fnd.baseline(stored(spark, sf))
@@ -649,6 +659,13 @@ def boundary_imports(spark, sf):
     return found.select("path", "component", "client_file")
 
 
+@query
+def boundary_one_file(spark, sf):
+    """The analysis of a single file; all others are what its imports may lead to."""
+    read = stage_table(boundary.boundary_facts(corpus.files(spark, sf), "p0/app/layout.tsx"), "boundary-facts")
+    return boundary.boundary_crossings(read).select("server_file", "client_component", "client_file", "line")
+
+
 @query
 def boundary_crossings(spark, sf):
     rows = boundary.boundary_crossings(facts(spark, sf))
