@@ -142,3 +142,63 @@ def test_licenses(table):
     first = next(r for r in found if r["doc_id"] == 1)
     assert first["word_first"] == 30 and 0.9 < first["coverage"] <= 1
     assert licenses.license_findings(table([])).count() == 0
+
+
+PROSE = ("the permission of any person is subject to this and that without the use of the work as is in all of the files "
+         "under the law and in the name of any kind to the extent that ").split()
+
+
+def notices(text):
+    lists = {name: licenses.word_list(t) for name, t in licenses.TEMPLATES.items()}
+    return [(name, first) for name, first, *_ in licenses.scan(text, lists, licenses.COVERAGE)]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+@pytest.mark.parametrize("copies", [1, 2, 3])
+@pytest.mark.parametrize("between", [[], PROSE, PROSE * 9])
+def test_copies_of_a_notice_in_prose(name, copies, between):
+    text = licenses.TEMPLATES[name]
+    words = [*PROSE, *((text.split() + between) * copies), *PROSE]
+    step = len(licenses.word_list(text)) + len(between)
+    found = notices(" ".join(words))
+    assert found == [(name, len(PROSE) + k * step) for k in range(copies)]
+
+
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0", "BSD", "MPL-2.0"])
+def test_longest_words_may_be_missing(name):
+    """A text keeps its coverage without the words that a pre-filter would look for."""
+    template = licenses.word_list(licenses.TEMPLATES[name])
+    order = sorted(set(template), key=lambda w: (-len(w), w))
+    gone: set[str] = set()
+    for word in order:
+        if sum(w in gone | {word} for w in template) > 0.2 * len(template):
+            break
+        gone.add(word)
+    text = " ".join(w for w in template if w not in gone)
+    lists = {name: template}
+    assert [h[0] for h in licenses.scan(text, lists, 0.8)] == [name]
+    assert not set(licenses.telling(template, 0.8)) <= gone
+
+
+def test_alignment_against_all_alignments():
+    """Patience alignment is an increasing matching, and no longer than the best one; short texts."""
+    import itertools
+    import random
+    draw = random.Random(4)
+
+    def best(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(
+                ((row[j] + 1 if x == y else row[j + 1]) for j, y in enumerate(b)), max)]
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ([draw.choice("abcdefghijkl") for _ in range(draw.randrange(12))] for _ in range(2))
+        pairs = licenses.aligned(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) <= best(a, b)
+        if len(set(a)) == len(a) and len(set(b)) == len(b):  # all anchors: nothing is lost
+            assert len(pairs) == best(a, b)
+    assert len(licenses.aligned(list("abcdef"), list("abcdef"))) == 6
