@@ -6,11 +6,14 @@ on the cover. An anchor is the run of ``width - v + 1`` words at a cover positio
 windows share an aligned anchor inside both. Only cover positions (4 of 13 by default) are hashed
 into the first shuffle, which finds the anchors that occur more than once. Then each document
 extends its repeated anchors to the windows around them, and only these windows, by 128-bit hashes,
-meet in a second shuffle that tells which of them started earlier.
-
-Repeats inside one Arrow batch are settled there, so a passage that a third of all documents share
-sends one row a batch to its partition, not one row an occurrence. Later whole copies of a text
-are known by their text alone and send no windows.
+meet in a second shuffle that tells which of them started earlier. They travel in runs: neighbouring
+windows that share their minimiser, the least hash of the short shingles inside, are one row under
+it, and equal windows have equal minimisers. So the rows of this shuffle, and those that come back from
+it, grow with the repeated text alone and not with the number of partitions.
+
+Repeats inside one slice of a batch are settled there, so a passage that a third of all documents
+share sends its runs once a slice to their partitions, not once an occurrence. Later whole copies of a
+text are known by their text alone and send no windows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +37,9 @@ from vetgrid.session import stage_table
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 DOCUMENT = "doc_id long, text_key long"
 KEY = ["doc_id", "text_key"]
+SLICE = 4 << 20  # bytes of text (a quarter of it packed) that a task works on at once
+RUNS = 1 << 15  # runs of windows that are compared at once, and all runs of the last key
+SALTS = 16  # parts of the copies of one text where they meet its first document
 
 
 def period_of(width: int) -> int:
@@ -66,8 +73,8 @@ def repeated_words(docs: DataFrame, *, width: int = 20) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     hot = stage_table(repeated_anchors(source, width), "substring-anchors")
     texts = stage_table(_texts_with(source, hot, width), "substring-texts")
-    windows = texts.filter("original").mapInArrow(_candidates(width), _CANDIDATES).repartition("key")
-    repeats = windows.mapInArrow(_later, f"{DOCUMENT}, at binary")
+    windows = texts.filter("original").mapInArrow(_candidates(width), _CANDIDATES)
+    repeats = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_later, f"{DOCUMENT}, at binary")
     found = repeats.groupBy(*KEY).agg(F.collect_list("at").alias("at"))
     lists = found.mapInArrow(_runs(width), f"{DOCUMENT}, removed binary")
     copies = texts.filter("not original").select(*KEY, "whole").filter("whole is not null").withColumnRenamed(
@@ -89,10 +96,10 @@ def _anchors(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(source: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, at)``: positions of anchors that occur more than once, packed for each document."""
+    """``(doc_id, at)``: positions of anchors that occur more than once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.sliced(batches, "text", 4 * SLICE):
             ids = batch.column("doc_id").to_pylist()
             found = [(i, *_anchors(t, width)) for i, t in zip(ids, batch.column("text").to_pylist()) if t]
             found = [x for x in found if len(x[1])]
@@ -117,34 +124,31 @@ def repeated_anchors(source: DataFrame, width: int) -> DataFrame:
                      pa.array(np.full(int(pick.sum()), known))], ["anchor", "doc_id", "at", "known"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[x.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc_id", "at", "known")]
-                 for x in batches if x.num_rows]
-        if not parts:
-            return
-        anchor, doc, at, known = (np.concatenate(c) for c in zip(*parts))
-        asking = np.flatnonzero(~known)
-        order = asking[np.argsort(anchor[asking], kind="stable")]
-        same = anchor[order][1:] == anchor[order][:-1]
-        known[order[1:][same]] = True
-        known[order[:-1][same]] = True
-        yield from _packed(doc[known], at[known])
-
-    asked = source.mapInArrow(emit, "anchor long, doc_id long, at int, known boolean").repartition("anchor")
-    return asked.mapInArrow(meet, "doc_id long, at binary")
+        # Rows come sorted, so an anchor occurs again if a neighbour has it; the last row waits for the next batch.
+        held, again = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int32)), np.empty(0, bool)
+        for batch in batches:
+            known = batch.filter(batch.column("known"))
+            yield known.select(["doc_id", "at"])
+            asking = batch.filter(pc.invert(batch.column("known")))
+            anchor, doc, at = (np.concatenate((h, asking.column(c).to_numpy()))
+                               for h, c in zip(held, ("anchor", "doc_id", "at")))
+            same = anchor[1:] == anchor[:-1]
+            found = np.concatenate((again, np.zeros(asking.num_rows, bool)))
+            found[1:] |= same
+            found[:-1] |= same
+            held, again = (anchor[-1:], doc[-1:], at[-1:]), found[-1:]
+            yield _places(doc[:-1][found[:-1]], at[:-1][found[:-1]])
+        yield _places(held[1][again], held[2][again])
 
+    asked = source.mapInArrow(emit, "anchor long, doc_id long, at int, known boolean")
+    return asked.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "doc_id long, at int")
 
-_NULL = -(1 << 63)  # stands for a null id inside tasks
 
+def _places(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32())], ["doc_id", "at"])
 
-def _packed(doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not len(doc):
-        return
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order].astype(np.int32)
-    cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[cuts[:-1]]), W.binaries([at[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])],
-        ["doc_id", "at"])
+
+_NULL = -(1 << 63)  # stands for a null id inside tasks
 
 
 def _texts_with(source: DataFrame, hot: DataFrame, width: int) -> DataFrame:
@@ -153,7 +157,7 @@ def _texts_with(source: DataFrame, hot: DataFrame, width: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
-        for batch in batches:
+        for batch in W.sliced(batches, "text", SLICE):
             ids = [_NULL if i is None else i for i in batch.column("doc_id").to_pylist()]
             texts = batch.column("text").to_pylist()
             runs = [len(W.spans(t)[0]) for t in texts]
@@ -168,46 +172,95 @@ def _texts_with(source: DataFrame, hot: DataFrame, width: int) -> DataFrame:
         pack, f"{DOCUMENT}, size long, whole binary, packed binary")
     places = hot.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     joined = stage_table(packed.join(places, "doc_id").dropDuplicates(KEY), "substring-packed")
-    firsts = joined.groupBy("text_key", "size").agg(F.min("doc_id").alias("first_id"))
-    return joined.join(firsts, ["text_key", "size"]).select(
-        *KEY, "packed", "at", "whole", (F.col("doc_id") == F.col("first_id")).alias("original"))
+    # Only texts with copies meet their first document, each in parts.
+    firsts = joined.groupBy("text_key", "size").agg(
+        F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").select(
+        "text_key", "size", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = joined.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(firsts, ["text_key", "size", "salt"], "left").select(
+        *KEY, "packed", "at", "whole", (F.col("doc_id") == F.coalesce("first_id", "doc_id")).alias("original"))
 
 
-_CANDIDATES = f"key long, key2 long, {DOCUMENT}, at int, known boolean"
+_CANDIDATES = f"key long, {DOCUMENT}, at int, windows binary, later binary"
 
 
 def _candidates(width: int):
-    """Windows that hold a repeated anchor at an aligned position, by two 64-bit hashes."""
+    """Windows that hold a repeated anchor at an aligned position, by two 64-bit hashes, in runs.
+
+    A run is a row ``(key, doc_id, text_key, at, windows)``: hashes of neighbouring windows from ``at`` on
+    that share the minimiser ``key``. What a slice settles by itself is a row with ``later``, positions
+    that only pass through, under a key of their document."""
     period = period_of(width)
+    short = max(1, width // 5)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in W.sliced(batches, "packed", SLICE // 4):
             parts = []
-            for doc, key, packed, places in W.rows([batch], "doc_id", "text_key", "packed", "at"):
+            places = batch.column("at")
+            for row, (doc, key, packed) in enumerate(W.rows([batch], *KEY, "packed")):
                 _, _, words = hashed(open_.decompress(packed))
                 count = len(words) - width + 1
                 if count < 1:
                     continue
-                anchors = np.concatenate([np.frombuffer(p, np.int32) for p in places])
+                anchors = places[row].values.to_numpy()
                 cover = np.zeros(count + 1, np.int32)  # window i holds anchor p for i <= p < i + period
                 np.add.at(cover, np.clip(anchors - period + 1, 0, count), 1)
                 np.add.at(cover, np.minimum(anchors + 1, count), -1)
                 at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+                small = W.windows(words, np.arange(len(words) - short + 1), short)
+                least = _sliding_least(small, width - short + 1)[at]
                 parts.append((W.windows(words, at, width), W.windows(words, at, width, 1),
-                              np.full(len(at), doc), np.full(len(at), key), at.astype(np.int32)))
+                              np.full(len(at), doc), np.full(len(at), key), at.astype(np.int32), least))
             if not parts:
                 continue
-            one, two, doc, key, at = (np.concatenate(c) for c in zip(*parts))
+            one, two, doc, key, at, least = (np.concatenate(c) for c in zip(*parts))
             again = _after_first(one, two, doc, key, at)
-            spread = W.mix(doc.astype(np.uint64) + key.astype(np.uint64))  # known rows go by their document
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(W.signed(np.where(again, spread, one))), pa.array(W.signed(two)), pa.array(doc),
-                 pa.array(key), pa.array(at), pa.array(again)],
-                ["key", "key2", "doc_id", "text_key", "at", "known"])
+            yield _window_runs(*(c[~again] for c in (one, two, doc, key, at, least)))
+            yield _settled(doc[again], key[again], at[again])
     return emit
 
 
+def _sliding_least(values: np.ndarray, count: int) -> np.ndarray:
+    """The least of every ``count`` neighbours, by doubling."""
+    span = 1
+    while span * 2 <= count:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    rest = count - span
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+def _window_runs(one, two, doc, key, at, least) -> pa.RecordBatch:
+    """Neighbouring windows of a document with one minimiser as one row."""
+    cuts = np.flatnonzero(np.concatenate((
+        [len(at) > 0], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]),
+        [len(at) > 0])))
+    pairs = np.stack((one, two), 1)
+    first = cuts[:-1]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(W.signed(least[first])), pa.array(doc[first], pa.int64()), pa.array(key[first], pa.int64()),
+         pa.array(at[first], pa.int32()), W.binaries([pairs[a:b].tobytes() for a, b in zip(first, cuts[1:])]),
+         pa.nulls(len(first), pa.binary())], ["key", *KEY, "at", "windows", "later"])
+
+
+def _settled(doc, key, at) -> pa.RecordBatch:
+    docs, keys, places = _by_document(doc, key, at)
+    spread = W.mix(docs.astype(np.uint64) + keys.astype(np.uint64))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(W.signed(spread)), pa.array(docs), pa.array(keys), pa.nulls(len(docs), pa.int32()),
+         pa.nulls(len(docs), pa.binary()), W.binaries(places)], ["key", *KEY, "at", "windows", "later"])
+
+
+def _by_document(doc, key, at) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    order = np.lexsort((at, key, doc))
+    doc, key, at = doc[order], key[order], at[order]
+    cuts = np.flatnonzero(np.concatenate(
+        ([len(doc) > 0], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]), [len(doc) > 0])))
+    return (doc[cuts[:-1]].astype(np.int64), key[cuts[:-1]].astype(np.int64),
+            [at[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])])
+
+
 def _after_first(one, two, doc, key, at) -> np.ndarray:
     """Which windows equal one that starts earlier."""
     order = np.lexsort((at, key, doc, two, one))
@@ -218,22 +271,39 @@ def _after_first(one, two, doc, key, at) -> np.ndarray:
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed positions of the windows of a partition that start later than an equal one."""
-    names = ("key", "key2", "doc_id", "text_key", "at", "known")
-    parts = [[x.column(c).to_numpy(zero_copy_only=False) for c in names] for x in batches if x.num_rows]
-    if not parts:
+    """Packed positions of windows that start later than an equal one; rows come sorted by key.
+
+    Only the runs of a few whole keys are held at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        known = batch.filter(pc.is_valid(batch.column("later")))
+        yield known.select([*KEY, "later"]).rename_columns([*KEY, "at"])
+        asking = batch.filter(pc.is_null(batch.column("later")))
+        held.append(asking)
+        rows += asking.num_rows
+        if rows < RUNS:
+            continue
+        part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = part.column("key").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        yield from _later_runs(part.slice(0, cut))
+        held, rows = [part.slice(cut)], part.num_rows - cut
+    for part in pa.Table.from_batches(held).combine_chunks().to_batches() if rows else ():
+        yield from _later_runs(part)
+
+
+def _later_runs(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if not part.num_rows:
         return
-    one, two, doc, key, at, known = (np.concatenate(c) for c in zip(*parts))
-    asking = np.flatnonzero(~known)
-    known[asking] = _after_first(*(c[asking] for c in (one, two, doc, key, at)))
-    doc, key, at = doc[known], key[known], at[known]
-    order = np.lexsort((at, key, doc))
-    doc, key, at = doc[order], key[order], at[order]
-    cuts = np.flatnonzero(np.concatenate(
-        ([len(doc) > 0], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]), [len(doc) > 0])))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[cuts[:-1]]), pa.array(key[cuts[:-1]]),
-         W.binaries([at[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])], [*KEY, "at"])
+    packed = part.column("windows").to_pylist()
+    count = np.array([len(p) // 16 for p in packed])
+    pairs = np.frombuffer(b"".join(packed), np.uint64).reshape(-1, 2)
+    doc, key, first = (np.repeat(part.column(c).to_numpy(), count) for c in (*KEY, "at"))
+    at = first + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+    later = _after_first(pairs[:, 0], pairs[:, 1], doc, key, at)
+    docs, keys, places = _by_document(doc[later], key[later], at[later])
+    yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys), W.binaries(places)], [*KEY, "at"])
 
 
 def _runs(width: int):
@@ -253,16 +323,13 @@ def _runs(width: int):
 
 
 def _with_removed(docs: DataFrame, width: int, digest: bool) -> DataFrame:
-    """Each row of ``docs (doc_id, text)`` with what is left of it.
-
-    Documents without a removed run are finished where they are read; only the others are joined
-    to their runs."""
+    """Each row of ``docs (doc_id, text)`` with what is left of it; compressed texts meet their runs."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     removed = stage_table(repeated_words(docs, width=width), "substring-removed")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
-        for batch in batches:
+        for batch in W.sliced(batches, "text", SLICE):
             ids = [_NULL if i is None else i for i in batch.column("doc_id").to_pylist()]
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -274,7 +341,7 @@ def _with_removed(docs: DataFrame, width: int, digest: bool) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in W.sliced(batches, "packed", SLICE // 4):
             ids, kept, counts, lost, sums = [], [], [], [], []
             for doc, packed, runs in W.rows([batch], "doc_id", "packed", "removed"):
                 text = None if packed is None else open_.decompress(packed)
@@ -330,7 +397,7 @@ def kept_texts(docs: DataFrame, *, width: int = 20) -> DataFrame:
         F.col("text").cast("binary").alias("text"))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.sliced(batches, "text", SLICE):
             keys = [text_key(t or b"") for t in batch.column("text").to_pylist()]
             yield batch.select(["row", "doc_id"]).append_column("text_key", pa.array(keys, pa.int64()))
 
