@@ -1,10 +1,16 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from vetgrid.operators.findings import files_to_verify, verify_findings
+from vetgrid.operators.scan import scan_text
+from vetgrid.operators.triage import findings_in_context
+from vetgrid.plans.scans import scan_changes
+from vetgrid.rules import ALL_RULES
 from vetgrid.sources import records
 from vetgrid.sources.files import (
     MAX_FILE_KB,
@@ -15,6 +21,7 @@ from vetgrid.sources.files import (
     in_skipped_folder,
     is_excluded,
     only_changed,
+    write_source_snapshot,
 )
 from vetgrid.sources.trees import list_tree, read_tree
 
@@ -145,3 +152,53 @@ def test_audit_report(spark):
     assert found["pip-audit-V-2"].description == "V-2"
     assert found["pip-audit-V-2"].suggested_fix == "Upgrade a to No fix available"
     assert tuple(vulnerability_counts(rows).first()) == ("p/requirements.txt", 2, 1)
+
+
+def moved_columns(df):
+    """Columns that go through each exchange of a plan."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\(\d+\) (?:Exchange|BroadcastExchange)[^\n]*\nInput \[\d+\]: \[(.*?)\]\n", text)
+
+
+@pytest.fixture
+def snapshots(spark, make_files):
+    """Two bucketed snapshots, without broadcast joins."""
+    for name, setting in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "4")):
+        spark.conf.set(name, setting)
+    texts = {f"p{n % 3}/f{n}.py": f"eval(x{n})\n" for n in range(40)}
+    write_source_snapshot(make_files(texts), "snap_old", 8)
+    later = {p: t for p, t in texts.items() if "f7" not in p} | {"p0/f3.py": "y = 1\nexec(y)", "p1/new.py": "eval(n)"}
+    write_source_snapshot(make_files(later), "snap_new", 8)
+    yield spark.table("snap_old"), spark.table("snap_new")
+    for name in ("snap_old", "snap_new"):
+        spark.sql(f"DROP TABLE {name}")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_incremental_scan_moves_no_text(snapshots):
+    old, new = snapshots
+    changes = changed_paths(old, new)
+    assert moved_columns(changes) == []
+    assert sorted(map(tuple, changes.collect())) == [("p0/f3.py", "modified"), ("p1/f7.py", "deleted"), ("p1/new.py", "added")]
+    found = scan_changes(old, new, scan_id="s")
+    moved = moved_columns(found)
+    assert moved and not any("content#" in columns or "_text" in columns for columns in moved)
+    assert sorted((r.file_path, r.line_number) for r in found.collect()) == [("p0/f3.py", 2), ("p1/new.py", 1)]
+
+
+def test_verification_and_triage_move_no_text(spark, snapshots):
+    _, new = snapshots
+    rows = [("a", "p0/f3.py", 1, "A05-004", "open"), ("b", "p0/f6.py", 1, "A05-004", "open"), ("c", "p0/f6.py", 1, "A04-001", "open"),
+            ("d", "p9/gone.py", 1, "A05-004", "open"), ("e", "p2/f2.py", 1, "A05-004", "fixed")]
+    stored = spark.createDataFrame(rows, "id STRING, file_path STRING, line_number INT, rule_id STRING, status STRING").withColumn(
+        "code_snippet", F.lit("kept"))
+    chosen = files_to_verify(new, stored)
+    assert {r.path: sorted(r.wanted) for r in chosen.collect()} == {"p0/f3.py": ["A05-004"], "p0/f6.py": ["A04-001", "A05-004"]}
+    fresh = scan_text(chosen, ALL_RULES, wanted="wanted")
+    for plan in (fresh, findings_in_context(stored, new)):
+        assert not any("content#" in columns for columns in moved_columns(plan))
+    outcome = verify_findings(stored, new, fresh, [r.id for r in ALL_RULES])
+    assert {r.id: r.outcome for r in outcome.collect()} == {
+        "a": "still_present", "b": "still_present", "c": "verified_fixed", "d": "file_missing", "e": "already_resolved"}
+    shown = {r.id: r.context for r in findings_in_context(stored, new).collect()}
+    assert shown["b"].startswith("   1 | eval(x6)") and shown["d"] == "kept"

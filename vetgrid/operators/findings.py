@@ -333,11 +333,15 @@ def verify_findings(
 
 
 def files_to_verify(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Files that hold a finding which may still be verified."""
+    """Files that hold a finding which may still be verified, with ``wanted``: the rules to look for.
+
+    A file has at most as many wanted rules as there are rules, however many findings it has. Files
+    that are bucketed by path (``write_source_snapshot``) are not moved.
+    """
     wanted = findings.filter(
         "rule_id IS NOT NULL AND status NOT IN ('fixed', 'false_positive')"
-    ).select(F.col("file_path").alias("path"))
-    return files.join(wanted, "path", "left_semi")
+    ).groupBy(F.col("file_path").alias("path")).agg(F.collect_set("rule_id").alias("wanted"))
+    return files.join(wanted, "path")
 
 
 def fixes_as_updates(outcomes: DataFrame) -> DataFrame:

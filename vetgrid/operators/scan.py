@@ -39,7 +39,7 @@ from vetgrid.rules.catalog import Rule
 
 _FORMS = "struct<plain: string, full: string>"
 _RULE_TYPE = (
-    "array<struct<position: int, globs: array<int>, literals: array<array<string>>, "
+    "array<struct<id: string, position: int, globs: array<int>, literals: array<array<string>>, "
     f"pattern: {_FORMS}, exclude: {_FORMS}, crosses: boolean>>"
 )
 _DIMENSION_TYPE = (
@@ -58,6 +58,7 @@ def _rule_array(rules: Sequence[Rule], globs: Sequence[str]) -> Column:
 
     return constant([
         {
+            "id": r.id,
             "position": i,
             "globs": [globs.index(g) for g in r.globs],
             "literals": required_literals(r.pattern, r.flags),
@@ -79,7 +80,7 @@ def _rule_dimension(rules: Sequence[Rule]) -> Column:
     ], _DIMENSION_TYPE)
 
 
-def _candidates(base: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) -> DataFrame:
+def _candidates(base: DataFrame, rules: Sequence[Rule], keep: Sequence[str], wanted: str | None) -> DataFrame:
     """One row for each file and rule that can match there: ``(keep, _text, _rule)``.
 
     ``explode`` drops the files without candidates, evaluates the tests once, and keeps later
@@ -91,7 +92,8 @@ def _candidates(base: DataFrame, rules: Sequence[Rule], keep: Sequence[str]) ->
     named = base.withColumn("_globs", file_globs)
 
     def may_match(rule: Column) -> Column:
-        return F.arrays_overlap(rule["globs"], F.col("_globs")) & F.forall(
+        asked = F.lit(True) if wanted is None else F.array_contains(F.col("_wanted"), rule["id"])
+        return asked & F.arrays_overlap(rule["globs"], F.col("_globs")) & F.forall(
             rule["literals"],
             lambda group: F.exists(group, lambda text: F.contains(F.col("_folded"), text)),
         )
@@ -114,12 +116,14 @@ def scan_text(
     content: str = "content",
     context_lines: tuple[int, int] | None = None,
     suppressed: bool = False,
+    wanted: str | None = None,
 ) -> DataFrame:
     """Matches of ``rules`` in the text of each row, one row for each rule and line.
 
     Result: the ``keep`` columns, the rule's columns, ``line_number``, ``line_content``,
     ``code_snippet`` and, on request, ``context`` with a wider window. Lines switched off by a
-    comment are left out, or are all that is returned if ``suppressed`` is set.
+    comment are left out, or are all that is returned if ``suppressed`` is set. ``wanted`` names a column
+    with the ids of the rules that are run on the row.
     """
     if not rules:
         raise ValueError("no rules to scan with")
@@ -128,13 +132,14 @@ def scan_text(
         file_name(F.col(path)).alias("_name"),
         F.col(content).alias("_text"),
         fold(F.col(content)).alias("_folded"),
+        *([] if wanted is None else [F.col(wanted).alias("_wanted")]),
     )
     is_ascii = F.octet_length("_text") == F.length("_text")
 
     def form(name: str) -> Column:
         return F.when(is_ascii, F.col(f"_rule.{name}.plain")).otherwise(F.col(f"_rule.{name}.full"))
 
-    candidates = _candidates(base, rules, keep).select(
+    candidates = _candidates(base, rules, keep, wanted).select(
         *keep, "_text", F.col("_rule.position").alias("_position"),
         F.col("_rule.crosses").alias("_crosses"),
         form("pattern").alias("_pattern"), form("exclude").alias("_exclude"))

@@ -104,13 +104,25 @@ def drop_ignored(rows: DataFrame, ignores: DataFrame) -> DataFrame:
     return joined.filter(~F.coalesce(hit, F.lit(False))).drop("ignore_patterns")
 
 
+def write_source_snapshot(files: DataFrame, table: str, buckets: int) -> None:
+    """Files as a catalog table, bucketed and sorted by path, with ``content_hash``.
+
+    Two snapshots with the same number of buckets are compared, and a snapshot is joined to findings or
+    changes by path, without moving a text: only the small side is dealt to the buckets. Choose
+    ``buckets`` at ``spark.sql.shuffle.partitions`` or more, so that Spark keeps to them.
+    """
+    files.withColumn("content_hash", F.sha2("content", 256)).write.bucketBy(buckets, "path").sortBy("path").saveAsTable(table)
+
+
 def changed_paths(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(path, change)`` between two snapshots: added, modified or deleted.
 
-    Only paths and content hashes are shuffled.
+    Only paths and content hashes are shuffled, of snapshots by ``write_source_snapshot`` nothing is
+    and no content is read.
     """
     def hashed(files: DataFrame, name: str) -> DataFrame:
-        return files.select("path", F.sha2("content", 256).alias(name))
+        known = F.col("content_hash") if "content_hash" in files.columns else F.sha2("content", 256)
+        return files.select("path", known.alias(name))
 
     change = (
         F.when(F.col("old_hash").isNull(), "added")

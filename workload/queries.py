@@ -453,7 +453,7 @@ def verify_fixes(spark, sf):
     # As in practice, the findings are a table and not a scan.
     rows = stage_table(rows.unionByName(others), "verify")
     files = corpus.files(spark, sf, version=2)
-    fresh = scan_text(fnd.files_to_verify(files, rows), ALL_RULES)
+    fresh = scan_text(fnd.files_to_verify(files, rows), ALL_RULES, wanted="wanted")
     outcome = fnd.verify_findings(rows, files, fresh, [r.id for r in ALL_RULES])
     return outcome.select("id", "outcome", F.array_join("near", ",").alias("near"))
 
