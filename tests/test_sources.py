@@ -50,6 +50,21 @@ def test_read_tree(spark, tmp_path):
     assert rows["src/a.py"].path == f"{tmp_path}/src/a.py"
 
 
+def test_read_tree_by_url(spark, tmp_path):
+    """The same rows by path and by URL, odd names, hidden and empty files included."""
+    for name, text in {"a b/ü%41#x.py": "1", "a b/_hidden/.env": "K=1", "__init__.py": "", "node_modules/x.js": "no",
+                       "deep/" * 12 + "end.txt": "end"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    columns = ("rel_path", "content", "size", "is_binary")
+    by_path = sorted(map(tuple, read_tree(spark, str(tmp_path)).select(*columns).collect()))
+    by_url = read_tree(spark, f"file://{tmp_path}")
+    assert sorted(map(tuple, by_url.select(*columns).collect())) == by_path and len(by_path) == 4
+    assert all(r.path.startswith("file:///") for r in by_url.collect())
+    capped = read_tree(spark, f"file://{tmp_path}/", max_file_kb=0)
+    assert [r.rel_path for r in capped.collect()] == ["__init__.py"]
+
+
 @pytest.mark.parametrize("path, skipped", [
     ("a/node_modules/b.py", True), ("x.egg-info/a.py", True), ("build", False), ("a/build.py", False),
     ("build/a/b.py", True), ("a/.env", False), (".env/a.py", True), ("rebuild/a.py", False)])

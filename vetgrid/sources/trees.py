@@ -2,7 +2,7 @@
 
 Spark's own file sources leave out every name that starts with ``_`` or ``.``, which in source
 trees are ordinary files (package markers, environment files, ignore files). Trees on a mounted
-file system are therefore walked and read by tasks, one level of folders after the other; nothing
+file system, or on one that Arrow can open, are therefore walked and read by tasks, one level of folders after the other; nothing
 but the fact that a level is empty reaches the driver.
 """
 
@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +33,19 @@ _TASK_BYTES = 128 << 20
 def read_tree(spark: SparkSession, root: str, *, max_file_kb: int | None = None) -> DataFrame:
     """All files below ``root``, or those up to a size: ``(path, rel_path, content, size, is_binary)``.
 
-    ``root`` is a folder that every executor sees. For other storage, where ``root`` has a
-    scheme, Spark's binary source is used; it does not see names that start with ``_`` or ``.``
-    and no empty files, so load such trees into a table first if these matter.
+    ``root`` is a folder that every executor sees, or a URL of a file system that Arrow knows (``file``,
+    ``s3``, ``gs``, ``abfs``, ``hdfs``); hidden and empty files are found in all of them, level by level of the
+    tree. For any other scheme Spark's binary source is used; it does not see names that start with
+    ``_`` or ``.`` and no empty files, so load such trees into a table first if these matter.
     """
-    if "://" in root and not root.startswith("file://"):
-        raw = _read_objects(spark, root, max_file_kb)
-    else:
-        root = os.path.abspath(root.removeprefix("file://"))
+    if "://" not in root:
+        root = os.path.abspath(root)
         raw = _read_mounted(spark, root, max_file_kb)
+    elif _known_to_arrow(root):
+        root = root.rstrip("/")
+        raw = _read_mounted(spark, root, max_file_kb)
+    else:
+        raw = _read_objects(spark, root, max_file_kb)
     base = root.rstrip("/") + "/"
     path, content = F.col("path"), F.col("content")
     return raw.select(
@@ -71,8 +78,23 @@ def _read_mounted(spark: SparkSession, root: str, max_file_kb: int | None) -> Da
         _read_files, "path STRING, content BINARY, size BIGINT")
 
 
+def _known_to_arrow(url: str) -> bool:
+    try:
+        _opened(url)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ValueError):
+        return False
+    return True
+
+
+def _opened(url: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system of a URL, the path in it, and what stands before that path in URLs. Names are not encoded."""
+    scheme, rest = url.split("://", 1)
+    system, path = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+    return system, path, url[: len(url) - len(path)] if url.endswith(path) else f"{scheme}://"
+
+
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, size)`` of all files below a mounted folder."""
+    """``(path, size)`` of all files below a mounted folder or a URL that Arrow knows."""
     level = spark.createDataFrame([(root,)], "path STRING")
     files = spark.createDataFrame([], "path STRING, size BIGINT")
     while True:
@@ -96,6 +118,9 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for folder in batch["path"]:
             rows = []
+            if "://" in folder:
+                yield pd.DataFrame(_entries(folder), columns=["path", "is_folder", "size"])
+                continue
             try:
                 with os.scandir(folder) as entries:
                     for entry in entries:
@@ -109,14 +134,34 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["path", "is_folder", "size"])
 
 
+def _entries(folder: str) -> list[tuple[str, bool, int]]:
+    system, path, before = _opened(folder)
+    rows = []
+    for entry in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if entry.type == fs.FileType.Directory:
+            if entry.base_name not in PRUNED_FOLDERS:
+                rows.append((before + entry.path, True, 0))
+        elif entry.type == fs.FileType.File:
+            rows.append((before + entry.path, False, entry.size))
+    return rows
+
+
+def _content(path: str) -> bytes:
+    if "://" not in path:
+        with open(path, "rb") as stream:
+            return stream.read()
+    system, inside, _ = _opened(path)
+    with system.open_input_stream(inside) as stream:
+        return stream.read()
+
+
 def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["path", "content", "size"]
     rows, held = [], 0
     for batch in batches:
         for path in batch["path"]:
             try:
-                with open(path, "rb") as stream:
-                    data = stream.read()
+                data = _content(path)
             except OSError:
                 continue
             rows.append((path, data, len(data)))
