@@ -407,6 +407,8 @@ ORACLE = {
     "file_eligibility": base() + f"""SELECT path, {SKIPPED} AS skipped,
         {SUFFIX} IN {in_list(CODE_EXTENSIONS)} AS known_extension, false AS "binary",
         size > 20480 AS over_20_kb FROM files""",
+    "binary_files": """SELECT doc_id, doc_id % 2048 < 1024 AS "binary" FROM documents""",
+    "invalid_bytes": """SELECT doc_id, sha256(chr(65533) || text || chr(65533)) AS text_hash FROM documents""",
     "exclude_paths": base() + f"""SELECT path, size FROM files
         WHERE NOT {SKIPPED} AND NOT ({EXCLUDED})""",
     "capped_files": base() + f"""SELECT path, size FROM files WHERE size <= 4096 AND NOT {SKIPPED}""",
@@ -452,6 +454,10 @@ ORACLE = {
     "scan_one_category": base(hits_cte(rules=[
         r for r in ALL_RULES if r.owasp_category == "A05" and r.severity == "critical"])) +
         "SELECT project, rule_id, count(*) AS hits FROM hits WHERE NOT off GROUP BY ALL",
+    "scan_one_severity": HITS + """SELECT rule_id, severity, count(*) AS hits FROM hits
+        WHERE NOT off AND severity = 'medium' GROUP BY ALL""",
+    "scan_single_file": HITS + f"""SELECT path AS file_path, rule_id, line_number::INTEGER AS line_number, {adjusted()} AS severity
+        FROM hits WHERE NOT off AND path = 'p1/app/helper.ts'""",
     "suppressed_hits": HITS + "SELECT path, rule_id, line_number::INTEGER AS line_number FROM hits WHERE off",
     "excluded_hits": base("""l AS (SELECT path, n::INTEGER AS line_number, line, codes FROM (
           SELECT path, n, l[n] AS line, CASE WHEN n > 1 THEN l[n - 1] ELSE '' END || chr(10) || l[n] AS codes

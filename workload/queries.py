@@ -108,6 +108,22 @@ def file_eligibility(spark, sf):
     )
 
 
+@query
+def binary_files(spark, sf):
+    """A NUL byte counts in the first 1024 bytes only; here it stands at a place that differs by document."""
+    place = F.col("doc_id") % 2048
+    content = F.concat(F.repeat(F.lit("x"), place.cast("int")), F.lit("\u0000"), "text")
+    return corpus.table(spark, sf, "documents").select("doc_id", src.is_binary(content).alias("binary"))
+
+
+@query
+def invalid_bytes(spark, sf):
+    """Bytes that are no UTF-8 are replaced, the rest of the text is kept."""
+    raw = F.concat(F.lit(b"\xff"), F.encode("text", "UTF-8"), F.lit(b"\xc3"))
+    return corpus.table(spark, sf, "documents").select(
+        "doc_id", F.sha2(T.utf8(raw).cast("binary"), 256).alias("text_hash"))
+
+
 EXCLUDES = ("tests/", "*.md", "conf/*", "core/x?l_io.py", "app/[a-c]*.tsx")
 
 
@@ -255,6 +271,19 @@ def scan_one_category(spark, sf):
         F.count(F.lit(1)).alias("hits"))
 
 
+@query
+def scan_one_severity(spark, sf):
+    """Rules of one base severity, not of that and above."""
+    return hits(spark, sf, rules=select_rules(severity="medium")).groupBy("rule_id", "severity").agg(
+        F.count(F.lit(1)).alias("hits"))
+
+
+@query
+def scan_single_file(spark, sf):
+    found = scans.scan_path(corpus.files(spark, sf), "p1/app/helper.ts", scan_id="f")
+    return found.select("file_path", "rule_id", "line_number", "severity")
+
+
 @query
 def suppressed_hits(spark, sf):
     return hits(spark, sf, suppressed=True).select("path", "rule_id", "line_number")
