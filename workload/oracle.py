@@ -79,7 +79,7 @@ UPDATES = f"""upd AS (SELECT l_orderkey::VARCHAR AS finding_id,
     CASE WHEN l_linenumber % 2 = 0 THEN 'part ' || l_partkey END AS notes,
     CASE WHEN l_linenumber = 1 THEN 'sha' || l_suppkey END AS fix_commit_sha,
     CASE WHEN l_linenumber = 4 THEN 'use ' || l_suppkey END AS suggested_fix,
-    l_linenumber::BIGINT * 1000000 + l_partkey AS ord FROM lineitem),
+    (l_linenumber::BIGINT * 1000000 + l_partkey) * 100000 + l_suppkey AS ord FROM lineitem),
   each AS (SELECT u.*, f.status AS first_status, coalesce(
       last_value(u.status IGNORE NULLS) OVER (PARTITION BY finding_id ORDER BY ord
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f.status) AS old

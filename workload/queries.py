@@ -411,7 +411,7 @@ def updates(spark: SparkSession, sf: str) -> DataFrame:
         F.when(line % 2 == 0, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias("notes"),
         F.when(line == 1, F.concat(F.lit("sha"), F.col("l_suppkey").cast("string"))).alias("fix_commit_sha"),
         F.when(line == 4, F.concat(F.lit("use "), F.col("l_suppkey").cast("string"))).alias("suggested_fix"),
-        (line.cast("long") * 1000000 + F.col("l_partkey")).alias("ord"),
+        ((line.cast("long") * 1000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("ord"),
     )
 
 
