@@ -24,7 +24,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 def test_registry():
     names = queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert set(oracle_sql()) <= set(names)
 
 

@@ -49,7 +49,7 @@ HEAVY = 100_000  # broadcast bound: 1.2 MB
 BATCH_REPEATS = 4  # documents of four slices that make a token worth counting
 STAR = 32  # nodes of a group that meet without being compared with the hub first
 BLOCK = 256  # nodes of a group that meet at once, with as many others
-BLOCK_TOKENS = 4_000_000  # tokens of a block, about; one longer text is a block of its own
+BLOCK_TOKENS = 1_000_000  # tokens of a block, about; one longer text is a block of its own
 SLICE = 4 << 20  # bytes of text that a task works on at once
 SALTS = 16  # parts of the nodes of one component where they learn its id
 COLUMNS = 4096  # tokens of one membership matrix: 8 MB for 512 nodes

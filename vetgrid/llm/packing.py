@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vetgrid.llm import words as W
-from vetgrid.session import stage_table
+from vetgrid.session import small_batches, stage_table
 
 REMEMBERED = 1_000_000  # words that a worker remembers before it starts anew
 SHORT = 48  # bytes of a word that is worth remembering
@@ -123,6 +123,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(places, pa.int64()), pa.array(counts, pa.int64()),
                      W.binaries(packed)], ["doc_id", "curve", "n", "ids"])
+        W.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
         run, "doc_id long, curve long, n long, ids binary")
@@ -201,6 +202,7 @@ def _pieces(docs: DataFrame, path: str, capacity: int, cut, column: str) -> Data
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.binary() if cut is _cut_ids and i == 3 else pa.int64()) for i, c in enumerate(out)],
                 ["doc_id", "start", "length", column.split()[0], "doc_tokens", "sequence_id", "offset"])
+        W.release()
 
     return tokens.select("row", "doc_id", "n", "ids").join(placed, "row").mapInArrow(
         run, f"doc_id long, start long, length long, {column}, doc_tokens long, sequence_id long, offset long")
@@ -212,5 +214,6 @@ def _cut_ids(piece: bytes) -> bytes:
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of 2048 tokens, with the checksum of each piece."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return _pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, zlib.crc32, "ids_crc32 long")

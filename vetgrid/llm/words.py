@@ -7,6 +7,7 @@ stays a small multiple of the text itself.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,6 +106,16 @@ def sliced(batches: Iterator[pa.RecordBatch], name: str, limit: int) -> Iterator
             last = max(first + 1, int(np.searchsorted(total, total[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+    release()
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system; a worker waits for its next task without it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
