@@ -95,6 +95,17 @@ def test_ignore_file_is_per_project(make_files):
     assert left == {"p/.owaspignore", "p/a.py", "q/docs/a.py"}
 
 
+def test_ignore_lines_are_made_regexes_once(make_files):
+    """Once for a project and before the join, not once more for each file; odd lines keep their meaning."""
+    files = make_files({"p/.owaspignore": "a long line of prose?\n[!]x]\n[ab].py\nz[", "p/a.py": "", "p/c.py": "", "p/d/b.py": "",
+                        "p/z[": "", "p/y": ""})
+    left = drop_ignored(files, ignore_patterns(files))
+    assert {r.path for r in left.collect()} == {"p/.owaspignore", "p/c.py"}
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "_tests" in above and "regexp_extract_all" not in above
+
+
 def test_changes(make_files):
     old = make_files({"p/same": "1", "p/edit": "1", "p/gone": "1"})
     new = make_files({"p/same": "1", "p/edit": "2", "p/new": "1"})
