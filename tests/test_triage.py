@@ -114,3 +114,16 @@ def test_reviews_of_windows(spark, make_files):
 def test_usage(spark):
     calls = spark.createDataFrame([("m", 1000000, 500000), ("m", 0, 500000)], "model STRING, input_tokens BIGINT, output_tokens BIGINT")
     assert tuple(token_usage(calls).first()) == ("m", 1000000, 1000000, 0.5)
+
+
+def test_windows_are_cut_once(spark):
+    """No step of the cut is repeated in a filter that Spark infers and pushes down to the source."""
+    rows = spark.createDataFrame([("a", "ab\ncd\xe9f\n\ng" * 40), ("b", "x" * 25), ("c", ""), ("d", None)], "path STRING, content STRING")
+    windows = triage.review_windows(rows, window=10)
+    got = {}
+    for r in windows.orderBy("path", "part").collect():
+        got[r.path] = got.get(r.path, "") + r.window_text
+        assert len(r.window_text) <= 10 and r.first_line == got[r.path][: len(got[r.path]) - len(r.window_text)].count("\n") + 1
+    assert got == {"a": "ab\ncd\xe9f\n\ng" * 40, "b": "x" * 25, "c": ""}
+    plan = windows.select("path", "part")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1

@@ -215,34 +215,59 @@ def review_requests(
     return pieces.select("path", "part", "first_line", "role", prompt.alias("prompt"))
 
 
+_LINE_BLOCK = 100  # windows whose line feeds are summed up once
+
+
 def _in_windows(rows: DataFrame, size: int) -> DataFrame:
     """``rows`` with a row for each window of ``content``: ``(part, parts, first_line, last_line, window_text)``.
 
     Half a window apart, the text is cut behind the last line feed of that half, or just there if a
-    line is longer. A window has at most ``size`` characters, and every character is in one. The steps
-    are columns of their own, so that none is evaluated again for each window.
+    line is longer. A window has at most ``size`` characters, and every character is in one. The text is
+    cut into halves in one pass, a window joins the end of a half to the start of the next one: no step
+    walks the text from its start again. The steps are columns of their own, so that none is evaluated
+    again for each window.
     """
     half = max(size // 2, 1)
-    text, count, length = F.col("content"), F.col("parts"), F.length("content")
+    text, length, halves = F.col("content"), F.length("content"), F.col("_halves")
+
+    def after(h: Column) -> Column:
+        """What follows the last line feed of a half; nothing without one."""
+        return F.when(F.contains(h, F.lit("\n")), F.substring_index(h, "\n", -1)).otherwise("")
 
-    def cut(k: Column) -> Column:
-        """Characters before window ``k``."""
-        back = F.instr(F.reverse(F.substring(text, F.lit(1) + (k - 1) * half, F.lit(half))), "\n")
-        return F.when(k == 0, 0).when(k == count, length).when(back > 0, k * half - back + 1).otherwise(k * half)
+    def until(h: Column) -> Column:
+        return F.substring(h, F.lit(1), F.length(h) - F.length(after(h)))
 
     def feeds(t: Column) -> Column:
         return F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
 
-    counted = rows.withColumn("parts", F.when(length <= size, 1).otherwise(F.ceil(length / half)).cast("int"))
-    cuts = counted.withColumn("_cuts", F.transform(F.sequence(F.lit(0), count), cut))
-    pieces = cuts.withColumn("_pieces", F.transform(F.slice("_cuts", 1, count), lambda at, k: F.substring(
-        text, at + 1, F.element_at("_cuts", k + 2) - at)))
-    each = pieces.withColumn("_feeds", F.transform("_pieces", feeds)).select(
-        "*", F.posexplode("_pieces").alias("part", "window_text"))
-    first = F.aggregate(F.slice("_feeds", 1, F.col("part")), F.lit(1), lambda a, n: a + n)
-    ended = F.endswith("window_text", F.lit("\n")).cast("int")
-    return each.withColumn("first_line", first).withColumn(
-        "last_line", F.col("first_line") + feeds(F.col("window_text")) - ended).drop("_cuts", "_pieces", "_feeds")
+    def total(numbers: Column, start: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(numbers, start, count), F.lit(0), lambda a, n: a + n)
+
+    # Bytes that are no UTF-8 would not survive the regex.
+    by_place = F.transform(F.sequence(F.lit(0), F.ceil(length / half).cast("int") - 1),
+                           lambda k: F.substring(text, k * half + 1, F.lit(half)))
+    by_regex = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{half}}}"), F.lit(0))
+    cut = rows.withColumn("_halves", F.when(length <= size, F.array(text)).when(F.is_valid_utf8(text), by_regex).otherwise(by_place))
+    pieces = cut.withColumn("parts", F.size("_halves")).withColumn("_pieces", F.transform(halves, lambda h, k: F.concat(
+        F.when(k > 0, after(F.get(halves, k - 1))).otherwise(""),
+        F.when(k == F.size(halves) - 1, h).otherwise(until(h)))))
+    fed = pieces.withColumn("_feeds", F.transform("_pieces", feeds))
+    summed = fed.withColumn("_sums", F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_feeds") - 1) / _LINE_BLOCK).cast("int")),
+        lambda b: total(F.col("_feeds"), b * _LINE_BLOCK + 1, F.lit(_LINE_BLOCK))))
+
+    def window(piece: Column, k: Column) -> Column:
+        blocks = F.floor(k / _LINE_BLOCK).cast("int")
+        first = F.lit(1) + total(F.col("_sums"), F.lit(1), blocks) + total(
+            F.col("_feeds"), blocks * _LINE_BLOCK + 1, k % _LINE_BLOCK)
+        last = first + F.get("_feeds", k) - F.endswith(piece, F.lit("\n")).cast("int")
+        return F.struct(k.alias("part"), first.alias("first_line"), last.alias("last_line"), piece.alias("window_text"))
+
+    # An expression, not a column: from the column Spark would infer a filter, push it below all steps
+    # and evaluate them there again and again.
+    each = summed.select("*", F.inline(F.transform("_pieces", window)))
+    kept = [*rows.columns, "parts", "part", "window_text", "first_line", "last_line"]
+    return each.select(*kept)
 
 
 def review_windows(files: DataFrame, *, window: int = REVIEW_CHARS) -> DataFrame:
