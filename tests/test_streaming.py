@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vetgrid.plans.snapshots import Snapshot, empty_snapshot, merge_into
 from vetgrid.streaming.continuous import merge_batches, scan_stream, windowed_counts
+from workload.queries import arriving, run_stream
 
 SCHEMA = "path STRING, content STRING, arrived TIMESTAMP"
 
@@ -60,3 +61,14 @@ def test_windowed_counts(spark, tmp_path):
            .trigger(availableNow=True).start(str(tmp_path / "out")))
     got = spark.read.parquet(str(tmp_path / "out")).select("severity", "count").collect()
     assert sorted(map(tuple, got)) == [("high", 2), ("low", 1)]
+
+
+def test_a_table_arrives_as_a_folder_or_as_a_file(spark, tmp_path):
+    rows = spark.range(5).coalesce(1)
+    rows.write.parquet(f"{tmp_path}/folder/documents.parquet")
+    part = next((tmp_path / "folder/documents.parquet").glob("part-*"))
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file/documents.parquet").write_bytes(part.read_bytes())
+    for kind in ("folder", "file"):
+        read = run_stream(arriving(spark, f"{tmp_path}/{kind}", "documents"), "arriving")
+        assert {r.id for r in read.collect()} == set(range(5))
