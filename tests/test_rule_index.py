@@ -1,10 +1,20 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_rules import CASES
-from vetgrid.operators.rule_index import Index, checked_rules, rejected_rules, scan_with_rules
+from vetgrid.operators.rule_index import (
+    Entry,
+    Index,
+    _index,
+    checked_rules,
+    matches,
+    rejected_rules,
+    scan_with_rules,
+)
 from vetgrid.operators.scan import scan_text
 from vetgrid.rules import ALL_RULES, rules_dataframe
 from vetgrid.schemas import RULES
@@ -68,6 +78,27 @@ def test_python_patterns(make_files, rules, pattern, text, lines):
     assert [n for n, in found(got, "line_number")] == lines
 
 
+def test_patterns_are_searched_in_the_lines_that_hold_their_literal():
+    """A word's rule is not run on other lines; a pattern that can cross lines still sees the whole text."""
+    index = Index([Entry(("W",) * 6, r"\bword\b", "skip", "*"), Entry(("X",) * 6, r"word\s+next", None, "*")])
+    assert index.in_line == [("word",), ()]
+    text = "a Word\nno\nword skip\nWORD\nnext"
+    lines, folded = text.split("\n"), ["a word", "", "word skip", "word", "next"]
+    assert list(matches(text, lines, index.entries[0], folded, index.in_line[0])) == [(1, "a Word"), (4, "WORD")]
+    assert list(matches(text, lines, index.entries[1], folded, index.in_line[1])) == [(4, "WORD")]
+
+
+def test_an_index_is_built_once_in_a_worker():
+    shared = SimpleNamespace(value=[Entry(("W",) * 6, "word", None, "*")])
+    first = _index("shard", shared)
+    assert _index("shard", shared) is first and _index("other", shared) is not first
+
+
+def test_a_whole_word_is_no_candidate_inside_another():
+    index = Index([Entry(("W",) * 6, r"\bword\b", None, "*", [("word",)], True), Entry(("X",) * 6, "word", None, "*")])
+    assert [index.candidates(t) for t in ("a wordy", "a Word.", "x_word", "word")] == [[1], [0, 1], [1], [0, 1]]
+
+
 def test_many_rules_few_candidates():
     from vetgrid.operators.rule_index import Entry
     entries = [Entry((f"R{i}",) * 6, rf"\bword{i:05d}\b", None, "*") for i in range(20_000)]
