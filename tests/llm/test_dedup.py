@@ -87,6 +87,53 @@ def test_bitmaps_bound_the_overlap(sizes):
     assert (np.diag(bound) == [len(s) for s in sets]).all()
 
 
+def test_only_texts_near_by_bitmap_move(table, monkeypatch):
+    draw = np.random.default_rng(5)
+    head = [f"h{i}" for i in range(100)]  # a passage that puts all sets into the same groups
+    texts = [head + [f"w{i}" for i in draw.integers(0, 10**6, 100)] for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join([*t[:-1], "x"])) for i, t in enumerate(texts[:3])]
+    staged, stage = {}, jaccard.stage_table
+
+    def kept(df, name):
+        staged.setdefault(name, []).append(stage(df, name))
+        return staged[name][-1]
+
+    monkeypatch.setattr(jaccard, "stage_table", kept)
+    monkeypatch.setattr(jaccard, "STAR", 4)
+    got = jaccard.jaccard_classes(table(rows), heavy=0)
+    assert sorted(map(tuple, got.collect())) == brute_classes(rows, 4, 85)
+    assert all("packed" not in df.columns for tables in staged.values() for df in tables)
+    assert staged["jaccard-bitmaps"][0].count() == 63
+    assert sum(df.count() for df in staged["jaccard-wanted"]) <= 12
+    members = staged["jaccard-buckets"][0]  # all are of one band and meet in that one only
+    assert members.select("band").distinct().count() == 1
+
+
+def test_the_sieve_holds_no_wanted_row_back(spark, monkeypatch):
+    keys = np.random.default_rng(6).integers(-(1 << 63), 1 << 63, 5000)
+    wanted = spark.createDataFrame([(int(k),) for k in keys[:300]], "row_key long")
+    for most, others in ((1 << 25, 200), (64, 4700)):
+        monkeypatch.setattr(jaccard, "SIEVE", most)
+        words = jaccard.sieve(wanted, 300)
+        assert jaccard.passes(words, keys[:300]).all() and 64 * len(words) <= most
+        assert jaccard.passes(words, keys[300:]).sum() <= others
+    assert not jaccard.passes(jaccard.sieve(wanted.limit(0), 0), keys).any()
+
+
+def test_chains_and_long_chains(spark, table, monkeypatch):
+    near = np.eye(7, dtype=bool)
+    for i, j in ((0, 6), (6, 3), (3, 5), (1, 4)):
+        near[i, j] = near[j, i] = True
+    assert jaccard.chained(near).tolist() == [0, 1, 2, 0, 1, 0, 0]
+    words = [f"w{i}" for i in range(140)]  # each text is near to the few before and after it only
+    rows = [(i, " ".join(words[i : i + 60])) for i in range(60)] + [(500, " ".join(words[70:]))]
+    for block in (8, 256):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "STAR", 1000)
+        got = jaccard.jaccard_classes(table(rows))
+        assert sorted(map(tuple, got.collect())) == brute_classes(rows, 4, 85)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (3, 2), (90, 80)], "a long, b long")
     roots = {r["node"]: r["root"] for r in components(links).collect()}

@@ -23,9 +23,13 @@ and connects nearly all nodes of a hot group. Pairs that are connected by then n
 In every group the nodes outside the hub's component still meet each other and the rest, in blocks of
 bounded size: first as bitmaps of their hashed tokens, about a bit a token. Every bit that only one of
 two sets has is a token the other one lacks, which bounds their similarity from above, so a node whose
-bitmap is near to none of another component is done with that group. The few that are left meet as
-whole compressed texts and are verified exactly; only links that join components come out. No link
-between different texts that could change a component is lost.
+bitmap is near to none of another component is done with that group. The few that are left are put
+together by chains of near bitmaps, so that nodes which share many groups meet once, and are verified
+exactly as whole compressed texts; only links that join components come out. No link between different
+texts that could change a component is lost.
+
+Texts move only for these last steps: a bitmap of the wanted rows, of bounded size, holds all others
+back where they are read. In buckets a set is 64 bits of its 128, which two linked sets share by chance only.
 """
 
 from __future__ import annotations
@@ -52,6 +56,8 @@ BLOCK = 256  # nodes of a group that meet at once, with as many others
 BLOCK_TOKENS = 1_000_000  # tokens of a block, about; one longer text is a block of its own
 SLICE = 4 << 20  # bytes of text that a task works on at once
 SALTS = 16  # parts of the nodes of one component where they learn its id
+SIEVE = 1 << 25  # bits that tell wanted rows from others: 4 MB; a fuller sieve lets more texts through
+SIG_SHIFT = 24  # signatures of 40 bits; two that coincide cost comparisons
 COLUMNS = 4096  # tokens of one membership matrix: 8 MB for 512 nodes
 CLASSES = ((64, 1), (512, 8), (4096, 32), (1 << 62, 128))  # sets below a size: classes of frequent tokens
 
@@ -67,6 +73,10 @@ def node_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def key_of(node: bytes) -> int:
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
 def jaccard_classes(docs: DataFrame, *, width: int = 4, percent: int = 85, heavy: int = HEAVY) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs (doc_id, text, ...)``.
 
@@ -86,15 +96,17 @@ def _linked(docs: DataFrame, width: int, percent: int, heavy: int) -> tuple[Data
                          F.xxhash64("text").alias("text_key"))
     common = frequent_tokens(source, width, heavy)
     facts = stage_table(source.mapInArrow(
-        _facts(width), "doc_id long, text_key long, n_shingles long, node binary"), "jaccard-facts")
-    members = stage_table(bucket_members(source, common, width, percent), "jaccard-buckets")
-    texts = stage_table(_texts_of(source, facts, members), "jaccard-texts")
-    bitmaps = stage_table(texts.mapInArrow(_bitmaps(width), "node binary, bits binary"), "jaccard-bitmaps")
-
-    links = stage_table(hub_links(members, texts, width, percent), "jaccard-stars")
+        _facts(width, percent), "doc_id long, text_key long, n_shingles long, node binary, key long, bits binary"),
+        "jaccard-facts")
+    members = stage_table(bucket_members(source, facts, common, width, percent), "jaccard-buckets")
+    bitmaps = stage_table(facts.filter("bits is not null").select(
+        "node", F.col("n_shingles").cast("int").alias("n"), "bits").join(
+        members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "jaccard-bitmaps")
+
+    links = stage_table(hub_links(members, bitmaps, source, facts, width, percent), "jaccard-stars")
     apart = stage_table(_placed(members, components(links)), "jaccard-placed")
-    near = stage_table(near_by_bitmap(apart, bitmaps, percent), "jaccard-near")
-    rest = stage_table(between_components(near, texts, width, percent), "jaccard-links")
+    near = stage_table(near_by_bitmap(apart, bitmaps.select("node", "bits"), percent), "jaccard-near")
+    rest = stage_table(between_components(_gathered(near), source, facts, width, percent), "jaccard-links")
     return facts, components(links.unionByName(rest))
 
 
@@ -163,84 +175,124 @@ def _schemes(n: int, percent: int) -> set[int]:
             if low < below and high >= above}
 
 
-def bucket_members(source: DataFrame, common: Tokens, width: int, percent: int) -> DataFrame:
+def bucket_members(source: DataFrame, facts: DataFrame, common: Tokens, width: int, percent: int) -> DataFrame:
     """``(node, n, hub, band)`` for each group of more than one node, hubs included; n is the set size.
 
     A node of a size band is in the group of that band and of the next one, so that any two nodes of
-    a bucket with sizes near enough to link are in one group."""
+    a bucket with sizes near enough to link are in one group. A group without a node of its own band
+    is left out: all its nodes are in the group of the band before."""
     spark = source.sparkSession
     shared = spark.sparkContext.broadcast(common)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # 16 bytes for each set that this task has emitted
         for batch in W.sliced(batches, "text", SLICE):
-            sigs, nodes, shares, sizes = [], [], [], []
+            sigs, keys, shares, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = token_set(text, width) if text else ()
-                # Below this size one more token is too many: only equal sets link, and they are one node.
-                if len(tokens) * (100 - percent) < percent:
+                # One more token is too many for a small set: only equal sets link, and they are one node.
+                if _alone(len(tokens), percent):
                     continue
                 node = node_of(tokens)
                 if node in seen:
                     continue
                 seen.add(node)
                 own, rares = signatures(tokens, shared.value, percent)
-                sigs.append(own)
-                nodes += [node] * len(own)
+                sigs.append(own >> np.uint64(SIG_SHIFT))
+                keys.append(np.full(len(own), key_of(node), np.int64))
                 shares.append(np.full(len(own), 1000 * rares // len(tokens), np.int32))
                 sizes.append(np.full(len(own), len(tokens), np.int32))
             if sigs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(W.signed(np.concatenate(sigs))), W.binaries(nodes), pa.array(np.concatenate(shares)),
-                     pa.array(np.concatenate(sizes))], ["sig", "node", "rare", "n"])
+                    [pa.array(W.signed(np.concatenate(sigs))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(shares)),
+                     pa.array(np.concatenate(sizes))], ["sig", "key", "rare", "n"])
+
+    def over(window):
+        return window.orderBy("rare", "key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def ends(window):
-        whole = window.orderBy("rare", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return F.first("node").over(whole).alias("hub"), F.last("node").over(whole).alias("top")
+        return F.first("key").over(over(window)).alias("hub_key"), F.last("key").over(over(window)).alias("top")
 
-    rows = source.select("text").mapInArrow(emit, "sig long, node binary, rare int, n int")
+    rows = source.select("text").mapInArrow(emit, "sig long, key long, rare int, n int")
     # Both windows need one exchange. Bands are a trace wider than the size ratio, for rounding.
-    shared_sigs = rows.select("*", *ends(Window.partitionBy("sig"))).filter("hub <> top").drop("hub", "top")
-    band = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.000001 or 1.0)).cast("int")
-    banded = shared_sigs.withColumn("band", F.explode(F.array(band, band + 1)))
-    return banded.select("node", "n", "band", *ends(Window.partitionBy("sig", "band"))).filter(
-        "hub <> top").drop("top").distinct()
+    shared_sigs = rows.select("*", *ends(Window.partitionBy("sig"))).filter("hub_key <> top").drop("hub_key", "top")
+    own = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.000001 or 1.0)).cast("int")
+    banded = shared_sigs.withColumn("own", own).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    group = Window.partitionBy("sig", "band")
+    grouped = banded.select("key", "n", "band", *ends(group), F.max("own").over(over(group)).alias("highest")).filter(
+        "hub_key <> top and highest = band").select("key", "n", "hub_key", "band").distinct()
+    nodes = facts.filter("bits is not null").select(
+        "key", F.col("n_shingles").cast("int").alias("n"), "node").distinct()
+    hubs = nodes.select(F.col("key").alias("hub_key"), F.col("node").alias("hub"))
+    return grouped.join(nodes, ["key", "n"]).join(hubs, "hub_key").select("node", "n", "hub", "band")
+
+
+def _alone(n: int, percent: int) -> bool:
+    """Whether a set of this size links with equal sets only."""
+    return n * (100 - percent) < percent
 
 
-def _facts(width: int):
+def _facts(width: int, percent: int):
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.sliced(batches, "text", SLICE):
-            sizes, nodes = [], []
+            sizes, nodes, bits = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = token_set(text, width) if text else ()
                 sizes.append(len(tokens))
                 nodes.append(node_of(tokens) if len(tokens) else None)
+                bits.append(None if _alone(len(tokens), percent) else bitmap(tokens).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), W.binaries(nodes)],
-                ["doc_id", "text_key", "n_shingles", "node"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), W.binaries(nodes),
+                 pa.array([None if n is None else key_of(n) for n in nodes], pa.int64()), W.binaries(bits)],
+                ["doc_id", "text_key", "n_shingles", "node", "key", "bits"])
     return facts
 
 
-def _texts_of(source: DataFrame, facts: DataFrame, members: DataFrame) -> DataFrame:
-    """``(node, packed)``: one compressed text for each node that is in a bucket."""
-    wanted = facts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("one")).select(
-        "node", F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key"))
+def _with_texts(met: DataFrame, source: DataFrame, facts: DataFrame) -> DataFrame:
+    """``met`` with ``packed``, the compressed text of its ``node``.
+
+    One row of ``source`` is wanted for each node. Rows that are not wanted stop at the sieve, before
+    they are compressed and shuffled, but for the share of the sieve's bits that is set."""
+    row_key = F.xxhash64("doc_id", "text_key").alias("row_key")
+    one = facts.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("text_key", "doc_id")).alias("one")).select("node", "one.*")
+    wanted = stage_table(one.select("node", row_key, "text_key"), "jaccard-wanted")
+    count = wanted.count()
+    shared = source.sparkSession.sparkContext.broadcast(sieve(wanted.select("row_key"), count))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
-        for batch in W.sliced(batches, "text", SLICE):
+        passed = (b.filter(pa.array(passes(shared.value, b.column("row_key").to_numpy()))) for b in batches)
+        for batch in W.sliced(passed, "text", SLICE):
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), W.binaries([press.compress(t) for t in texts])],
-                ["doc_id", "text_key", "packed"])
+                [batch.column("row_key"), batch.column("text_key"), W.binaries([press.compress(t) for t in texts])],
+                ["row_key", "text_key", "packed"])
+
+    # Without a wanted row nothing is read. Equal keys of a text mean equal texts, so the id needs no comparison.
+    rows = source.filter(F.col("text").isNotNull() & F.lit(count > 0)).select(row_key, "text_key", "text")
+    packed = rows.mapInArrow(pack, "row_key long, text_key long, packed binary").dropDuplicates(["row_key", "text_key"])
+    return met.join(wanted, "node").join(packed, ["row_key", "text_key"]).drop("row_key", "text_key")
+
 
-    packed = source.filter("text is not null").mapInArrow(pack, "doc_id long, text_key long, packed binary")
-    match = packed["doc_id"].eqNullSafe(wanted["doc_id"]) & (packed["text_key"] == wanted["text_key"])
-    return packed.join(wanted, match).select("node", "packed").dropDuplicates(["node"])
+def sieve(keys: DataFrame, count: int) -> np.ndarray:
+    """A bitmap in words of 64 bits, with a bit set for each of ``keys (row_key)``: 64 bits a key, ``SIEVE`` at most."""
+    bits = min(SIEVE, 1 << max(10, (64 * count).bit_length()))
+    at = F.col("row_key").bitwiseAND(F.lit(bits - 1)).cast("int")
+    words = keys.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(row_key & 63 as int))").alias(
+        "bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    result = np.zeros(bits >> 6, np.uint64)
+    result[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return result
 
 
-def hub_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) & np.uint64(64 * len(words) - 1)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def hub_links(members: DataFrame, bitmaps: DataFrame, source: DataFrame, facts: DataFrame, width: int,
+              percent: int) -> DataFrame:
     """Links ``(a, b)`` of the nodes of large groups with their hubs, each block next to a copy of the hub."""
     large = members.groupBy("hub", "band").count().filter(F.col("count") > STAR).groupBy("hub").agg(
         F.ceil(F.sum("count") / BLOCK).cast("int").alias("blocks"))
@@ -248,8 +300,22 @@ def hub_links(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
         "hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
     hubs = large.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
                         F.col("hub").alias("node"))
-    met = nodes.unionByName(hubs).join(texts, "node").repartition("hub", "block").sortWithinPartitions(
-        "hub", "block", F.col("node") != F.col("hub"))
+
+    def by_block(rows: DataFrame) -> DataFrame:  # the hub comes first
+        return rows.repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("node") != F.col("hub"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub_n, hub_bits = 0, b""
+        for batch in batches:
+            keep = []
+            for hub, node, n, bits in W.rows([batch], "hub", "node", "n", "bits"):
+                if node == hub:
+                    hub_n, hub_bits = n, bits
+                    keep.append(True)
+                    continue
+                both = overlap_bound([hub_bits, bits], np.array([hub_n, n]))[0, 1]
+                keep.append(bool(100 * both >= percent * (n + hub_n - both)))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["hub", "block", "node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -267,16 +333,10 @@ def hub_links(members: DataFrame, texts: DataFrame, width: int, percent: int) ->
                     b.append(hub)
             yield pa.RecordBatch.from_arrays([W.binaries(a), W.binaries(b)], ["a", "b"])
 
-    return met.select("hub", "node", "packed").mapInArrow(compare, "a binary, b binary")
-
-
-def _bitmaps(width: int):
-    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        for batch in W.sliced(batches, "packed", SLICE // 4):
-            bits = [bitmap(token_set(open_.decompress(t), width)).tobytes() for t in batch.column("packed").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), W.binaries(bits)], ["node", "bits"])
-    return bitmaps
+    met = by_block(nodes.unionByName(hubs).join(bitmaps, "node").select("hub", "block", "node", "n", "bits"))
+    near = stage_table(met.mapInArrow(bound, "hub binary, block int, node binary"), "jaccard-hubs")
+    return by_block(_with_texts(near, source, facts)).select("hub", "node", "packed").mapInArrow(
+        compare, "a binary, b binary")
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -332,7 +392,9 @@ _MEETING = ("meeting", "hub", "band", "one", "two")
 
 
 def near_by_bitmap(placed: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``placed`` whose bitmap may link with one of another component in their group."""
+    """The rows of ``placed`` whose bitmap may link with one of another component in their group.
+
+    ``peer`` is a node that chains of such bitmaps lead to, the same one for all nodes of a meeting they connect."""
     met = _meetings(placed, 2 * BLOCK, BLOCK_TOKENS).join(bitmaps, "node").repartition(
         "meeting").sortWithinPartitions(*_MEETING)
 
@@ -348,18 +410,47 @@ def near_by_bitmap(placed: DataFrame, bitmaps: DataFrame, percent: int) -> DataF
             near = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (root[:, None] != root[None, :])
             keep = np.flatnonzero(near.any(axis=1))
             if len(keep):
+                peer = chained(near)
                 yield pa.RecordBatch.from_arrays(
                     [W.binaries([hubs[i] for i in keep]), pa.array([bands[i] for i in keep], pa.int32()),
                      W.binaries([nodes[i] for i in keep]), pa.array(n[keep].astype(np.int32)),
-                     W.binaries([roots[i] for i in keep]), pa.array([apart[i] for i in keep], pa.bool_())],
-                    ["hub", "band", "node", "n", "root", "apart"])
+                     W.binaries([roots[i] for i in keep]), pa.array([apart[i] for i in keep], pa.bool_()),
+                     W.binaries([nodes[peer[i]] for i in keep])],
+                    ["hub", "band", "node", "n", "root", "apart", "peer"])
+
+    return met.mapInArrow(
+        bound, "hub binary, band int, node binary, n int, root binary, apart boolean, peer binary").distinct()
+
+
+def chained(near: np.ndarray) -> np.ndarray:
+    """The first row that the links of a symmetric matrix lead to from each row."""
+    label = np.arange(len(near))
+    while True:
+        least = np.minimum(label, np.where(near, label, len(near)).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _gathered(near: DataFrame) -> DataFrame:
+    """``near`` by chains of near bitmaps, over all groups, in place of the groups that nodes share.
 
-    return met.mapInArrow(bound, "hub binary, band int, node binary, n int, root binary, apart boolean").distinct()
+    All pairs that may link are in one chain. One of up to ``BLOCK`` nodes becomes one group in which each
+    node is apart; the nodes of a longer one stay in their groups."""
+    chains = components(near.select(F.col("node").alias("a"), F.col("peer").alias("b")))
+    short = chains.groupBy("root").agg(F.count("*").alias("nodes")).filter(F.col("nodes") <= BLOCK)
+    chain = chains.join(short, "root", "left").select(
+        "node", F.when(F.col("nodes").isNotNull(), F.col("root")).alias("chain"))
+    return near.join(chain, "node").select(
+        F.coalesce("chain", "hub").alias("hub"), F.when(F.col("chain").isNull(), F.col("band")).otherwise(-1).alias("band"),
+        "node", "n", "root", (F.col("apart") | F.col("chain").isNotNull()).alias("apart")).distinct()
 
 
-def between_components(near: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def between_components(near: DataFrame, source: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` between nodes of one group that are in different components so far."""
-    met = _meetings(near, BLOCK, BLOCK_TOKENS).join(texts, "node").repartition("meeting").sortWithinPartitions(*_MEETING)
+    near = stage_table(_meetings(near, BLOCK, BLOCK_TOKENS), "jaccard-met")
+    met = _with_texts(near, source, facts).repartition("meeting").sortWithinPartitions(*_MEETING)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
