@@ -23,10 +23,10 @@ and connects nearly all nodes of a hot group. Pairs that are connected by then n
 In every group the nodes outside the hub's component still meet each other and the rest, in blocks of
 bounded size: first as bitmaps of their hashed tokens, about a bit a token. Every bit that only one of
 two sets has is a token the other one lacks, which bounds their similarity from above, so a node whose
-bitmap is near to none of another component is done with that group. The few that are left are put
-together by chains of near bitmaps, so that nodes which share many groups meet once, and are verified
-exactly as whole compressed texts; only links that join components come out. No link between different
-texts that could change a component is lost.
+bitmap is near to none of another component is done with that group. The few that are left are parted
+into chains of near bitmaps. A chain that several groups hold is one, so that near copies which share many
+groups meet once, and is verified exactly by whole compressed texts; only links that join components come
+out. No link between different texts that could change a component is lost.
 
 Texts move only for these last steps: a bitmap of the wanted rows, of bounded size, holds all others
 back where they are read. In buckets a set is 64 bits of its 128, which two linked sets share by chance only.
@@ -106,7 +106,7 @@ def _linked(docs: DataFrame, width: int, percent: int, heavy: int) -> tuple[Data
     links = stage_table(hub_links(members, bitmaps, source, facts, width, percent), "jaccard-stars")
     apart = stage_table(_placed(members, components(links)), "jaccard-placed")
     near = stage_table(near_by_bitmap(apart, bitmaps.select("node", "bits"), percent), "jaccard-near")
-    rest = stage_table(between_components(_gathered(near), source, facts, width, percent), "jaccard-links")
+    rest = stage_table(between_components(near, source, facts, width, percent), "jaccard-links")
     return facts, components(links.unionByName(rest))
 
 
@@ -392,16 +392,17 @@ _MEETING = ("meeting", "hub", "band", "one", "two")
 
 
 def near_by_bitmap(placed: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``placed`` whose bitmap may link with one of another component in their group.
+    """``(hub, band, node, n, root, apart)``: nodes of ``placed`` whose bitmap may link with one of another component.
 
-    ``peer`` is a node that chains of such bitmaps lead to, the same one for all nodes of a meeting they connect."""
+    They are grouped anew, by chains of such bitmaps inside a meeting; ``hub`` is a digest of the whole
+    chain, so that equal chains of several groups are one group."""
     met = _meetings(placed, 2 * BLOCK, BLOCK_TOKENS).join(bitmaps, "node").repartition(
         "meeting").sortWithinPartitions(*_MEETING)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = W.rows(batches, "hub", "band", "one", "two", "node", "n", "root", "apart", "bits")
         for _, group in groupby(rows, lambda r: r[:4]):
-            hubs, bands, _, _, nodes, sizes, roots, apart, bits = zip(*group)
+            _, _, _, _, nodes, sizes, roots, apart, bits = zip(*group)
             if len(set(roots)) == 1:
                 continue
             n = np.array(sizes, np.int64)
@@ -410,16 +411,18 @@ def near_by_bitmap(placed: DataFrame, bitmaps: DataFrame, percent: int) -> DataF
             near = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (root[:, None] != root[None, :])
             keep = np.flatnonzero(near.any(axis=1))
             if len(keep):
-                peer = chained(near)
+                chain, first = np.empty(len(nodes), object), chained(near)
+                for c in np.unique(first[keep]):
+                    of = np.flatnonzero(first == c)
+                    parts = sorted(nodes[i] + bytes([apart[i]]) for i in of)
+                    chain[of] = hashlib.blake2b(b"".join(parts), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays(
-                    [W.binaries([hubs[i] for i in keep]), pa.array([bands[i] for i in keep], pa.int32()),
+                    [W.binaries([chain[i] for i in keep]), pa.array(np.zeros(len(keep), np.int32)),
                      W.binaries([nodes[i] for i in keep]), pa.array(n[keep].astype(np.int32)),
-                     W.binaries([roots[i] for i in keep]), pa.array([apart[i] for i in keep], pa.bool_()),
-                     W.binaries([nodes[peer[i]] for i in keep])],
-                    ["hub", "band", "node", "n", "root", "apart", "peer"])
+                     W.binaries([roots[i] for i in keep]), pa.array([apart[i] for i in keep], pa.bool_())],
+                    ["hub", "band", "node", "n", "root", "apart"])
 
-    return met.mapInArrow(
-        bound, "hub binary, band int, node binary, n int, root binary, apart boolean, peer binary").distinct()
+    return met.mapInArrow(bound, "hub binary, band int, node binary, n int, root binary, apart boolean").distinct()
 
 
 def chained(near: np.ndarray) -> np.ndarray:
@@ -433,22 +436,8 @@ def chained(near: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _gathered(near: DataFrame) -> DataFrame:
-    """``near`` by chains of near bitmaps, over all groups, in place of the groups that nodes share.
-
-    All pairs that may link are in one chain. One of up to ``BLOCK`` nodes becomes one group in which each
-    node is apart; the nodes of a longer one stay in their groups."""
-    chains = components(near.select(F.col("node").alias("a"), F.col("peer").alias("b")))
-    short = chains.groupBy("root").agg(F.count("*").alias("nodes")).filter(F.col("nodes") <= BLOCK)
-    chain = chains.join(short, "root", "left").select(
-        "node", F.when(F.col("nodes").isNotNull(), F.col("root")).alias("chain"))
-    return near.join(chain, "node").select(
-        F.coalesce("chain", "hub").alias("hub"), F.when(F.col("chain").isNull(), F.col("band")).otherwise(-1).alias("band"),
-        "node", "n", "root", (F.col("apart") | F.col("chain").isNotNull()).alias("apart")).distinct()
-
-
 def between_components(near: DataFrame, source: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between nodes of one group that are in different components so far."""
+    """Links ``(a, b)`` between nodes of one chain that are in different components so far."""
     near = stage_table(_meetings(near, BLOCK, BLOCK_TOKENS), "jaccard-met")
     met = _with_texts(near, source, facts).repartition("meeting").sortWithinPartitions(*_MEETING)
 
