@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -159,6 +160,36 @@ def test_packing(table, prose):
     assert packing.packed(table([]), WORDS).count() == 0
 
 
+def test_packing_merges_a_word_once():
+    words, reference, draw = packing._Words(WORDS), Tokenizer.from_file(WORDS), random.Random(4)
+    merges, sent = words.merges, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(w for text in texts for w in text.split())
+            return merges.encode_batch_fast(texts, **options)
+
+    words.merges = Counting()
+    vocabulary = ["".join(draw.choices("abcdeßàíñ", k=n)) for n in range(1, 20) for _ in range(20)]
+    cases = [str, lambda w: w[0].upper() + w[1:] if w.isascii() else w, lambda w: w.upper() if w.isascii() else w]
+    texts = [" ".join(draw.choice(cases)(draw.choice(vocabulary)) + draw.choice(["", *".,;:!?"]) for _ in range(300))
+             for _ in range(40)]
+    for part in texts[:25], texts[25:]:
+        got = [ids.tolist() for ids in words.encode(pa.array(part))]
+        assert got == [reference.encode(text, add_special_tokens=False).ids for text in part]
+    assert len(sent) == len(set(sent)) <= len(set(vocabulary))
+
+
+@pytest.mark.parametrize("count", [1, 7, 2000])
+def test_packing_encodes_texts_together(count):
+    words, reference, draw = packing._Words(WORDS), Tokenizer.from_file(WORDS), random.Random(6)
+    parts = ["'s", " ", "  ", "\n", "\x0b", "\x1c", "\x85", "\u3000", "e\u0301", "É", "漢字", "😀", "a", "The", "12", "...", ".", ",",
+             "\t", "ß", "à", "\xad", "í", "÷", "ÿ", "x" * 50, "\x01", "\x00", "\u212a", "Σ", "<|endoftext|>", "</w>", "H\u0331", "\u0308"]
+    texts = [None, "", " ", "."] + ["".join(draw.choices(parts, k=draw.randrange(1, 30))) for _ in range(1000)]
+    got = [ids.tolist() for i in range(0, len(texts), count) for ids in words.encode(pa.array(texts[i : i + count], pa.string()))]
+    assert got == [reference.encode(text or "", add_special_tokens=False).ids for text in texts]
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
