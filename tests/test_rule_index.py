@@ -1,15 +1,22 @@
 from __future__ import annotations
 
+import random
+import re
+from collections import Counter
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_rules import CASES
+from vetgrid.functions.folding import spellings
 from vetgrid.operators.rule_index import (
+    FEW_WORDS,
     Entry,
     Index,
     _index,
+    _passes,
+    _sieve,
     checked_rules,
     matches,
     rejected_rules,
@@ -119,3 +126,63 @@ def test_globs_excludes_repeats_and_empty_tables(spark, make_files, rules):
     nulls = files.withColumn("content", F.lit(None).cast("string"))
     assert scan_with_rules(nulls, rules(row)).count() == 0
     assert scan_with_rules(files, rules(row), keep=("project", "path")).columns[:2] == ["project", "path"]
+
+
+LETTERS = "sSkKiIıİſ\u212aéÉσςΣµμßẞιͅǅǆa1_ſt"
+
+
+def test_a_folded_word_is_what_the_pattern_finds():
+    rng, spell, hits = random.Random(5), spellings(), 0
+    for _ in range(20_000):
+        word = "".join(rng.choices(LETTERS, k=rng.randint(1, 3)))
+        text = "".join(rng.choices(LETTERS + " .-\u0301", k=10))
+        folded = spell.word_of(rf"\b{word}\b")
+        if folded is not None:
+            hit = re.search(rf"\b{word}\b", text, re.I | re.M) is not None
+            assert hit == (folded in re.findall(r"\w+", spell.fold(text))), (word, text)
+            hits += hit
+    assert hits > 100
+    assert [spell.word_of(p) for p in (r"\bιδέα\b", r"\bStraẞe_1\b", r"\ba b\b", r"\bab", r"\ba+\b", "\\bab\\b\n")] == [
+        None, "straße_1", None, None, None, None]
+
+
+def test_the_sieve_lets_every_word_of_a_rule_pass(spark):
+    words = [f"wort{i}é" for i in range(5000)]
+    marked = spark.createDataFrame([(w,) for w in words], "word STRING").selectExpr(
+        "word", "crc32(encode(word, 'UTF-8')) AS mark")
+    sieve = _sieve(marked, len(words))
+    assert all(_passes(w, sieve) for w in words)
+    assert sum(_passes(f"other{i}", sieve) for i in range(5000)) < 250
+
+
+def test_many_words_are_joined_in_one_pass(spark, make_files, rules):
+    """The number of passes over the files does not grow with the rules; each rule still finds its lines."""
+    count = FEW_WORDS + 1
+    files = make_files({"p/a.txt": "x\nWORD00007, word01999\nword1", "p/b.txt": f"word{FEW_WORDS:05d}"})
+    got = scan_with_rules(files, rules(*[rf"\bword{i:05d}\b" for i in range(count)]), shard_bytes=5000)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert found(got, "path", "rule_id", "line_number", "line_content") == [
+        ("p/a.txt", "R1999", 2, "WORD00007, word01999"), ("p/a.txt", "R7", 2, "WORD00007, word01999"),
+        ("p/b.txt", f"R{FEW_WORDS}", 1, f"word{FEW_WORDS:05d}")]
+
+
+def test_joined_words_find_what_the_index_finds(spark, make_files, rules):
+    """Repeated rules and rows, odd letters, globs, excludes, switched-off lines, other patterns, null texts."""
+    rng = random.Random(6)
+    words = ["kind", "Kİnd", "task", "éTude", "straße", "ſos", "a_1", "été", "word", "ΣΑΣ", "ιδ", "中文", "x"]
+    texts = {}
+    for n in range(120):
+        parts = [rng.choice([*words, *map(str.upper, words), "\u212aind", "wordy", "- ", "\n", "\n", "\r\n", "\u2028", ".",
+                             "# owasp-ignore: A05\n", "# owasp-ignore: R3, x"]) + rng.choice([" ", " ", "", "\n"])
+                 for _ in range(rng.randint(0, 30))]
+        texts[f"p/{n}{rng.choice(['.py', '.txt'])}"] = "".join(parts)
+    files = make_files(texts)
+    files = files.unionByName(files.limit(10)).unionByName(files.limit(5).withColumn("content", F.lit(None).cast("string")))
+    table = rules(*[rf"\b{w}\b" for w in words], r"\bword\b", "wor", r"\d+", "(",
+                  ("G", "A06", "low", "t", "d", r"\bword\b", "*.py", None), ("E", "A06", "low", "t", "d", r"\btask\b", "*", "kind"))
+    table = table.unionByName(table.limit(3))
+    columns = (*COLUMNS, "owasp_category", "description", "suggested_fix")
+    rows = [Counter(map(tuple, scan_with_rules(files, table, few_words=n).select(*columns).collect())) for n in (0, 1000)]
+    assert rows[0] == rows[1] and sum(rows[0].values()) > 1000
+    assert {r[1] for r in rows[0]} >= {*(f"R{i}" for i in range(len(words) + 3)), "G", "E"}
+    assert scan_with_rules(files, table, few_words=0).schema == scan_with_rules(files, table).schema
